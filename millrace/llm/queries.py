@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, quality
+from millrace.llm import bpe, chat, mixing, quality
 from millrace.llm.common import load
 
 
@@ -24,9 +24,58 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+#: Production weights of the mix: the large source is brought down, later sources count for more.
+MIX_WEIGHTS = {"src0": 0.12} | {f"src{i}": 0.02 + 0.002 * i for i in range(1, 20)} | {mixing.REST: 0.04}
+MIX_EPOCHS = 1.0
+MIX_SEED = 42
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED, copy_col="copy")
+
+
+OP3_SQL = f"""
+WITH w(g, w) AS (VALUES {", ".join(f"('{s}', {w!r}::DOUBLE)" for s, w in MIX_WEIGHTS.items())}),
+d AS (SELECT *, coalesce((SELECT w.g FROM w WHERE w.g = source AND w.g <> '*'), '*') AS g FROM documents),
+n AS (SELECT g, count(*) AS n FROM d GROUP BY g),
+r AS (SELECT g, {MIX_EPOCHS} * coalesce(w, 0) / sum(coalesce(w, 0)) OVER () * sum(n) OVER () / n AS rate FROM n LEFT JOIN w USING (g)),
+p AS (SELECT g, rate, greatest(1, ceil(rate / {mixing.PART}))::INT AS parts FROM r),
+k AS (SELECT g, i AS k, exp(-rate / parts + CASE WHEN i = 0 THEN 0 ELSE i * ln(rate / parts) END - lgamma(i + 1)) AS mass FROM p, range(0, {mixing.TABLE + 1}) t(i) WHERE rate > 0),
+c AS (SELECT g, k, sum(mass) OVER (PARTITION BY g ORDER BY k) AS cdf FROM k),
+u AS (SELECT doc_id, any_value(d.g) AS g, part, any_value(('0x' || substr(md5('{MIX_SEED}:' || doc_id || ':' || part), 1, 13))::UBIGINT::DOUBLE / 16.0 ** 13) AS u
+      FROM d JOIN p ON d.g = p.g, range(1, p.parts + 1) t(part) GROUP BY doc_id, part),
+t AS (SELECT doc_id, count(*) AS times FROM u JOIN c ON u.g = c.g AND c.cdf <= u.u GROUP BY doc_id)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy FROM d JOIN t USING (doc_id), range(1, t.times + 1) x(copy)
+"""
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.chat_digest(chat.format_chats(turns.union(extra)))
+
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, replace(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t'), '<also>', '\a') AS et,
+    replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), '<also>', '\a'), ':', '\c') AS er,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role AS fresh
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(et) + CASE WHEN fresh THEN 4 + length(er) + 2 + 8 ELSE 6 END)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL, "op10_chat": OP10_SQL}
