@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, mixing, quality, simhash
+from millrace.llm import bpe, chat, mixing, quality, secrets, simhash
 from millrace.llm.common import load
 
 
@@ -49,6 +49,10 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy FROM d J
 """
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(load(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -78,7 +82,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
