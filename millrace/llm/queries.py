@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, mixing, quality, secrets, simhash
+from millrace.llm import bpe, chat, langid, mixing, quality, secrets, simhash, toxicity
 from millrace.llm.common import load
 
 
@@ -49,6 +49,18 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy FROM d J
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    net = toxicity.train(toxicity.draw_labelled(docs, labels.where(langid.fold("doc_id", 5) != 0)))
+    return toxicity.score_toxicity(docs, net).select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    profiles = langid.learn_profiles(docs.where(langid.fold("doc_id", 4) != 2))
+    return langid.identify(docs, profiles).select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(load(spark, sf_dir, "documents"))
 
@@ -82,7 +94,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
