@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, langid, mixing, quality, secrets, simhash, toxicity
+from millrace.llm import bpe, chat, embed_dedup, langid, mixing, quality, secrets, simhash, toxicity
 from millrace.llm.common import load
 
 
@@ -61,6 +61,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicate_vectors(load(spark, sf_dir, "embeddings"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(load(spark, sf_dir, "documents"))
 
@@ -94,7 +98,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:
