@@ -24,6 +24,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -259,8 +260,6 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
 def decode_column(ids: Column, tokenizer_path: str) -> Column:
     """Decode an ``array<int>`` column: the arcs' labels joined by spaces; null stays null."""
-    import pandas as pd
-
     spec = read_spec(tokenizer_path)
 
     @F.pandas_udf("string")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, embed_dedup, langid, mixing, quality, secrets, simhash, toxicity
+from millrace.llm import bpe, chat, embed_dedup, html_extract, langid, mixing, quality, secrets, simhash, toxicity
 from millrace.llm.common import load
 
 
@@ -73,6 +73,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(load(spark, sf_dir, "pages"), carry=("url",))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
@@ -98,7 +102,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_html": op9_html, "op10_chat": op10_chat}
 
 
 def oracle_sql() -> dict[str, str]:

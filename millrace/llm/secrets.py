@@ -14,6 +14,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -282,8 +283,6 @@ def redact_documents(docs: DataFrame, net: CharNet | None = None, text_col: str
     ``chars_col``, if the table has it, gets the new number of code points where a text was changed.
     A null text stays null. Edge cases otherwise as in :func:`scan_secrets`.
     """
-    import pandas as pd
-
     net = net or default_net()
 
     @F.pandas_udf("string")
