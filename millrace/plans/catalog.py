@@ -1 +1,3 @@
 """Registration modules are imported here."""
+
+from millrace.plans import text_queries  # noqa: F401
