@@ -1,3 +1,4 @@
 """Registration modules are imported here."""
 
 from millrace.plans import text_queries  # noqa: F401
+from millrace.plans import retrieval_queries  # noqa: F401
