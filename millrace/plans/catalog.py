@@ -3,3 +3,4 @@
 from millrace.plans import text_queries  # noqa: F401
 from millrace.plans import retrieval_queries  # noqa: F401
 from millrace.plans import gate_queries  # noqa: F401
+from millrace.plans import relational_queries  # noqa: F401
