@@ -24,7 +24,9 @@ import struct
 import unicodedata
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,9 +130,9 @@ class MergeAutomaton:
 class WordCodec:
     """A word-level BPE tokenizer file (NFC, lower case, word-end suffix) run through the automaton.
 
-    Text is cut at white space; the pieces are independent, so each distinct piece is encoded and
-    decoded once and kept. At most ``keep`` pieces are kept; then the store starts anew, so memory
-    stays bounded for any vocabulary.
+    Text is cut at white space; the pieces are independent, so each distinct piece is encoded once and
+    kept. At most ``keep`` pieces (and half as many words) are kept; then the store starts anew, so
+    memory stays bounded for any vocabulary.
     """
 
     def __init__(self, spec: bytes, keep: int = 400_000) -> None:
@@ -144,7 +146,8 @@ class WordCodec:
         base = [*self.alphabet, *(a + self.suffix for a in self.alphabet)]  # a byte, and a byte that ends its word
         self.automaton = MergeAutomaton(model["vocab"], merges, base)
         self.special = {t["content"]: t["id"] for t in spec_json["added_tokens"]}
-        self.automaton.label |= {i: s for s, i in self.special.items()}
+        labels = self.automaton.label | {i: s for s, i in self.special.items()}
+        self.label = [labels.get(i, "") for i in range(max(labels) + 1)]
         self.cut_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         self.pre_split = regex.compile(spec_json["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.keep = keep
@@ -152,11 +155,11 @@ class WordCodec:
         codec = self
 
         class Pieces(dict):
-            def __missing__(self, piece: str) -> tuple[bytes, str]:
+            def __missing__(self, piece: str) -> bytes:
                 if len(self) >= codec.keep:
                     self.clear()
                 ids = codec._piece(piece)
-                found = self[piece] = (struct.pack(f"<{len(ids)}I", *ids), " ".join(codec.automaton.decode(ids)))
+                found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
                 return found
 
         self.pieces = Pieces()
@@ -180,25 +183,28 @@ class WordCodec:
             if known is None:
                 symbols = list(word.encode())
                 symbols[-1] += 256
-                if len(self.words) >= self.keep:
+                if len(self.words) >= self.keep // 2:
                     self.words.clear()
                 known = self.words[word] = tuple(self.automaton.encode(symbols))
             ids += known
         return ids
 
-    def encode_bytes(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
+    def encode_bytes(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         cut = SPACES.split(text) if ODD_SPACE.search(text) else text.split()
-        pieces = self.pieces
-        found = [pieces[p] for p in cut if p]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+        return b"".join(map(self.pieces.__getitem__, filter(None, cut)))
 
     def encode(self, text: str) -> list[int]:
-        ids = self.encode_bytes(text)[0]
-        return [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.automaton.decode(ids))
+        """The labels of the arcs, joined by spaces as the tokenizer file (without a decoder) has it."""
+        return " ".join(map(self.label.__getitem__, ids))
+
+    def rest(self) -> None:
+        """Drop what is kept between texts; the compiled automaton stays."""
+        self.pieces.clear()
+        self.words.clear()
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -229,15 +235,13 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def make():
-        import numpy as np
-        import pyarrow as pa
-
         codec = codec_of(spec.value)
 
         def work(text):
             n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
             for t in text.to_pylist():
-                raw, back = codec.encode_bytes(t or "")
+                raw = codec.encode_bytes(t or "")
+                back = codec.decode(np.frombuffer(raw, "<u4").tolist())
                 n.append(len(raw) // 4)
                 ids_hash.append(hashlib.sha256(raw).hexdigest())
                 text_hash.append(hashlib.sha256(back.encode()).hexdigest())
@@ -251,7 +255,11 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 out += [pa.ListArray.from_arrays(pa.array(ends), flat), decoded]
             return out
 
-        return lambda row_id, text: [row_id, *work(text)]
+        def run(row_id, text):
+            return [row_id, *work(text)]
+
+        run.close = codec.rest
+        return run
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded string" if with_ids else "")

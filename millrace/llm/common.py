@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space of the word definition shared by the operators.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: Rows of an Arrow batch; a batch holds whole texts.
+BATCH_ROWS = 256
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,11 +42,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Hold Arrow batches of the session to ``rows``: whole texts go in them, on both sides of the pipe."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, rows)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns: list[str]) -> DataFrame:
     """Apply a Python function to Arrow columns, batch by batch, in one narrow stage.
 
     ``make()`` runs once in each task and returns ``f(*columns) -> list of columns`` for one batch,
-    each a list or a pyarrow array in the order of ``schema``.
+    each a list or a pyarrow array in the order of ``schema``. An attribute ``close`` of ``f`` is called
+    when the task ends, so that an idle Python worker holds little.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -56,11 +66,15 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for start in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(start, BATCH_ROWS)
                 out = work(*(part.column(i) for i in range(part.num_columns)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+                arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        if hasattr(work, "close"):
+            work.close()
 
+    small_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
