@@ -24,6 +24,40 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+_RATIOS = {
+    "symbols_per_word": "n_symbols / greatest(n_words, 1)", "duplicate_lines": "n_dup_lines / greatest(n_lines, 1)", "repeated_words": "n_repeat_words / greatest(n_words, 1)",
+    "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-(word_chars / greatest(n_words, 1))",
+}
+OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN lang IN {quality.LANGUAGES} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+win AS (SELECT doc_id, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+rep AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM win JOIN rep USING (doc_id, g), (VALUES (0), (1), (2)) t(o) GROUP BY doc_id),
+c AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+f AS ({" UNION ALL ".join(f"SELECT doc_id, stratum, '{name}' AS ratio, {sql} AS value FROM b WHERE NOT base_failed" for name, sql in _RATIOS.items())}),
+grid(ratio, above, cutoff) AS (VALUES {", ".join(f"('{name}', {i}, {cut!r}::DOUBLE)" for name, cuts in quality.GRID.items() for i, cut in enumerate(cuts, 1))}),
+y AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+t AS (SELECT stratum, ratio, above, cutoff, count(*) FILTER (WHERE good = 1 AND value > cutoff) AS k, count(*) FILTER (WHERE good = 1) AS n, count(*) FILTER (WHERE good <> 1 AND value > cutoff) AS caught
+  FROM f JOIN y USING (doc_id) JOIN grid USING (ratio) GROUP BY ALL),
+a AS (SELECT {quality.ALPHA / len(quality.GRID)!r}::DOUBLE AS a, {quality.DELTA / ((len(quality.LANGUAGES) + 1) * sum(map(len, quality.GRID.values())))!r}::DOUBLE AS limit_),
+p AS (SELECT t.*, limit_, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(a) + (n - j) * ln(1 - a))) FROM range(0, k + 1) r(j)) AS tail FROM t, a WHERE n > 0 AND caught > 0 AND k < n * a),
+best AS (SELECT stratum, ratio, arg_max(cutoff, (caught, above)) AS cutoff FROM p WHERE tail <= limit_ GROUP BY ALL),
+bad AS (SELECT DISTINCT doc_id FROM f JOIN best USING (stratum, ratio) WHERE value > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept, stratum FROM b
+"""
+
+OP6_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= {embed_dedup.THRESHOLD}),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT r.a AS vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.b) AS component_id, min(r.b) = r.a AS kept FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
+
 #: Production weights of the mix: the large source is brought down, later sources count for more.
 MIX_WEIGHTS = {"src0": 0.12} | {f"src{i}": 0.02 + 0.002 * i for i in range(1, 20)} | {mixing.REST: 0.04}
 MIX_EPOCHS = 1.0
@@ -106,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op10_chat": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op3_mixing": OP3_SQL, "op6_embeddings": OP6_SQL, "op10_chat": OP10_SQL}
