@@ -5,3 +5,4 @@ from millrace.plans import retrieval_queries  # noqa: F401
 from millrace.plans import gate_queries  # noqa: F401
 from millrace.plans import relational_queries  # noqa: F401
 from millrace.plans import corpus_queries  # noqa: F401
+from millrace.plans import rewrite_queries  # noqa: F401
