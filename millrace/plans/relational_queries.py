@@ -15,7 +15,8 @@ def _t(spark, sf_dir, *names):
     return found[0] if len(found) == 1 else found
 
 
-N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 
 
 @query("event_funnel", """SELECT user_id, count(*)::BIGINT AS events, count(*) FILTER (WHERE event_type = 'view')::BIGINT AS views, count(*) FILTER (WHERE event_type = 'click')::BIGINT AS clicks,
@@ -23,13 +24,13 @@ N = F.count(F.lit(1))
 def event_funnel(spark, sf_dir):
     kind = lambda k: F.count_if(F.col("event_type") == k)
     rate = F.round(F.coalesce(F.try_divide(kind("purchase"), kind("click")), F.lit(-1.0)), 9)
-    return _t(spark, sf_dir, "events").groupBy("user_id").agg(N.alias("events"), kind("view").alias("views"), kind("click").alias("clicks"), kind("purchase").alias("purchases"), rate.alias("rate"))
+    return _t(spark, sf_dir, "events").groupBy("user_id").agg(_n().alias("events"), kind("view").alias("views"), kind("click").alias("clicks"), kind("purchase").alias("purchases"), rate.alias("rate"))
 
 
 @query("zero_group_counts", "SELECT n_name, count(c_custkey)::BIGINT AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9000 AND c_mktsegment = 'BUILDING' GROUP BY n_name")
 def zero_group_counts(spark, sf_dir):
     nation, customer = _t(spark, sf_dir, "nation", "customer")
-    counts = customer.where("c_acctbal > 9000 AND c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(N.alias("n"))
+    counts = customer.where("c_acctbal > 9000 AND c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(_n().alias("n"))
     return R.zero_filled(counts, nation.select("n_nationkey", "n_name"), "n_nationkey", "n").select("n_name", "n")
 
 
@@ -41,7 +42,7 @@ def ordered_json_list(spark, sf_dir):
 
 @query("json_object_counts", "SELECT c_nationkey, string_agg(c_mktsegment || '=' || n, ',' ORDER BY c_mktsegment) AS object FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
 def json_object_counts(spark, sf_dir):
-    counts = _t(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(N.alias("n"))
+    counts = _t(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(_n().alias("n"))
     objects = counts.groupBy("c_nationkey").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("c_mktsegment", "n")))).alias("m"))
     return objects.select("c_nationkey", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("object"))
 
@@ -54,7 +55,7 @@ def string_agg_distinct(spark, sf_dir):
 @query("lateral_stats", "SELECT c_custkey, coalesce(n, 0)::BIGINT AS n_orders, round(total, 2) AS total, last_date FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n, sum(o_totalprice) AS total, max(o_orderdate) AS last_date FROM orders WHERE o_custkey = c_custkey HAVING count(*) > 0) ON TRUE")
 def lateral_stats(spark, sf_dir):
     customer, orders = _t(spark, sf_dir, "customer", "orders")
-    joined = R.with_stats(customer.select("c_custkey"), orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], N.alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_orderdate").alias("last_date"))
+    joined = R.with_stats(customer.select("c_custkey"), orders.withColumnRenamed("o_custkey", "c_custkey"), ["c_custkey"], _n().alias("n"), F.sum("o_totalprice").alias("total"), F.max("o_orderdate").alias("last_date"))
     return joined.select("c_custkey", F.coalesce("n", F.lit(0).cast("long")).alias("n_orders"), F.round("total", 2).alias("total"), "last_date")
 
 
@@ -96,7 +97,7 @@ def semi_join_scope(spark, sf_dir):
 @query("composite_semi_join", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY ALL HAVING count(*) > 1)")
 def composite_semi_join(spark, sf_dir):
     lines = _t(spark, sf_dir, "lineitem")
-    twice = lines.groupBy("l_partkey", "l_suppkey").agg(N.alias("n")).where("n > 1")
+    twice = lines.groupBy("l_partkey", "l_suppkey").agg(_n().alias("n")).where("n > 1")
     return lines.join(twice, ["l_partkey", "l_suppkey"], "left_semi").select("l_orderkey", "l_linenumber")
 
 
@@ -105,7 +106,7 @@ def composite_semi_join(spark, sf_dir):
 def star_join_report(spark, sf_dir):
     lines, orders, customer, nation, region = _t(spark, sf_dir, "lineitem", "orders", "customer", "nation", "region")
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
-    return joined.groupBy("r_name", F.year("o_orderdate").alias("year")).agg(N.alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+    return joined.groupBy("r_name", F.year("o_orderdate").alias("year")).agg(_n().alias("n_lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
 @query("chunk_neighbours", "SELECT a.conv_id, a.turn AS source, b.turn AS neighbour, CASE WHEN abs(a.turn - b.turn) <= 2 THEN 'near' ELSE 'far' END AS kind, abs(a.turn - b.turn)::BIGINT AS distance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND abs(a.turn - b.turn) BETWEEN 1 AND 6")
@@ -184,7 +185,7 @@ def upsert_actions(spark, sf_dir):
 def cascade_delete(spark, sf_dir):
     lines, orders, customer = _t(spark, sf_dir, "lineitem", "orders", "customer")
     doomed = orders.join(customer.where("c_acctbal < 0"), orders.o_custkey == customer.c_custkey, "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return R.deleted(lines, doomed, ["l_orderkey"]).groupBy("l_returnflag").agg(N.alias("n"))
+    return R.deleted(lines, doomed, ["l_orderkey"]).groupBy("l_returnflag").agg(_n().alias("n"))
 
 
 @query("optional_filter_page", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#2' ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 5")
@@ -196,7 +197,7 @@ def optional_filter_page(spark, sf_dir):
 @query("eta_ladder", """WITH a AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS done, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS ms FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN done = total THEN 'finished' WHEN done = 0 THEN 'pending' ELSE 'running' END AS state, CASE WHEN done = total THEN 0 WHEN done = 0 THEN NULL ELSE greatest(0, round((total - done) * (ms / 1000.0 / done)))::BIGINT END AS eta FROM a""")
 def eta_ladder(spark, sf_dir):
-    work = _t(spark, sf_dir, "events").groupBy("user_id").agg(N.alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("ms"))
+    work = _t(spark, sf_dir, "events").groupBy("user_id").agg(_n().alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("ms"))
     state = F.when(F.col("done") == F.col("total"), "finished").when(F.col("done") == 0, "pending").otherwise("running")
     eta = F.when(F.col("done") == F.col("total"), F.lit(0).cast("long")).when(F.col("done") > 0, F.greatest(F.lit(0).cast("long"), F.round((F.col("total") - F.col("done")) * (F.col("ms") / 1000.0 / F.col("done"))).cast("long")))
     return work.select("user_id", state.alias("state"), eta.alias("eta"))
@@ -212,14 +213,14 @@ def union_distinct_scope(spark, sf_dir):
 @query("label_quality_report", "SELECT source, count(*)::BIGINT AS labelled, count(*) FILTER (WHERE quality = 1)::BIGINT AS good, round(count(*) FILTER (WHERE toxic = 1) / count(*), 9) AS noise FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def label_quality_report(spark, sf_dir):
     docs, labels = _t(spark, sf_dir, "documents", "labels")
-    return docs.select("doc_id", "source").join(labels, "doc_id").groupBy("source").agg(N.alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.round(F.count_if(F.col("toxic") == 1) / N, 9).alias("noise"))
+    return docs.select("doc_id", "source").join(labels, "doc_id").groupBy("source").agg(_n().alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.round(F.count_if(F.col("toxic") == 1) / _n(), 9).alias("noise"))
 
 
 @query("readiness_counts", "SELECT count(*)::BIGINT AS total, count(l.doc_id)::BIGINT AS materialised, max(n_chars)::BIGINT AS longest FROM documents d LEFT JOIN labels l USING (doc_id)")
 def readiness_counts(spark, sf_dir):
     docs, labels = _t(spark, sf_dir, "documents", "labels")
     joined = docs.select("doc_id", "n_chars").join(labels.select("doc_id", F.lit(1).alias("m")), "doc_id", "left")
-    return joined.agg(N.alias("total"), F.count("m").alias("materialised"), F.max("n_chars").alias("longest"))
+    return joined.agg(_n().alias("total"), F.count("m").alias("materialised"), F.max("n_chars").alias("longest"))
 
 
 @query("section_running_index", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS running FROM documents")
@@ -231,7 +232,7 @@ def section_running_index(spark, sf_dir):
 @query("fingerprint_dedup", "SELECT min(doc_id) AS kept, count(*)::BIGINT AS copies, md5(text) AS fingerprint FROM documents GROUP BY text HAVING count(*) > 1")
 def fingerprint_dedup(spark, sf_dir):
     keyed = _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("fingerprint"), F.xxhash64("text").alias("h"))
-    return keyed.groupBy("fingerprint", "h").agg(F.min("doc_id").alias("kept"), N.alias("copies")).where("copies > 1").select("kept", "copies", "fingerprint")
+    return keyed.groupBy("fingerprint", "h").agg(F.min("doc_id").alias("kept"), _n().alias("copies")).where("copies > 1").select("kept", "copies", "fingerprint")
 
 
 @query("dataset_quota_sampling", """WITH h AS (SELECT doc_id, lang, md5('7:' || doc_id) AS h FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS k FROM h)
@@ -254,4 +255,4 @@ def pair_audit(spark, sf_dir):
 def row_audit(spark, sf_dir):
     bad = F.col("text").isNull() | (F.trim("text") == "") | (F.length("text") > 2000) | (F.col("turn") < 0)
     split = F.when(F.col("role").isin("user", "assistant"), F.col("role")).otherwise("other")
-    return _t(spark, sf_dir, "conversations").groupBy(split.alias("split")).agg(N.alias("n_rows"), F.count_if(bad).alias("n_bad"))
+    return _t(spark, sf_dir, "conversations").groupBy(split.alias("split")).agg(_n().alias("n_rows"), F.count_if(bad).alias("n_bad"))
