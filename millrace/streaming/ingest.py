@@ -32,7 +32,8 @@ def upsert_into(stream: DataFrame, folder: str, checkpoint: str, keys: list[str]
     def merge(batch: DataFrame, number: int) -> None:
         rows = relational.prefer(batch, keys, [F.desc(newest)])
         if number:
-            rows = relational.upsert(batch.sparkSession.read.parquet(f"{folder}/{number - 1}"), rows, keys)
+            old = batch.sparkSession.read.parquet(f"{folder}/{number - 1}")
+            rows = relational.prefer(old.unionByName(rows), keys, [F.desc(newest)])
         rows.write.mode("overwrite").parquet(f"{folder}/{number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
