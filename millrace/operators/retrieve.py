@@ -207,3 +207,34 @@ def raw_loss_guard(raw: Column, candidate: Column, raw_score: Column, floor: flo
     overlap = F.size(F.array_intersect(raw, candidate)) / F.greatest(F.size(F.array_distinct(raw)), F.lit(1))
     lost = ~kept if need_top1 else F.lit(True)
     return (F.size(raw) > 0) & (raw_score >= floor) & lost & (overlap < least_overlap)
+
+
+def substring_overlap(query_terms: Column, text: Column, most: int = 16) -> Column:
+    """Share of the first ``most`` distinct terms that occur anywhere in the text."""
+    terms = F.slice(F.array_distinct(query_terms), 1, most)
+    low = F.lower(text)
+    return F.coalesce(F.try_divide(F.size(F.filter(terms, lambda t: low.contains(t))), F.size(terms)), F.lit(0.0))
+
+
+def domain_score(dense: Column, lexical: Column, technical: Column, weights: tuple[float, float, float] = (0.60, 0.32, 0.08)) -> Column:
+    """The other published fusion: substring overlaps instead of BM25, mapped to -1..1."""
+    a, b, c = fusion_weights("hybrid", weights)
+    combined = a * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (dense + 1) / 2)) + b * lexical + c * technical
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * combined - 1))
+
+
+def lexical_boost(ranked: DataFrame, share: float = 0.3, k: int = 5) -> DataFrame:
+    """Re-rank by ``share`` of the substring hit ratio and the rest of the old score."""
+    boosted = ranked.withColumn("score", F.round(share * F.col("hit_ratio") + (1 - share) * F.col("score"), 9))
+    return top_k(boosted.drop("rank"), "score", k)
+
+
+def adjacency(relations: DataFrame, source: str = "source", kind: str = "kind", target: str = "neighbour") -> DataFrame:
+    """Near and far neighbours of each source as sorted arrays."""
+    pick = lambda k: F.sort_array(F.collect_set(F.when(F.col(kind) == k, F.col(target))))
+    return relations.groupBy(source).agg(pick("near").alias("near"), pick("far").alias("far"))
+
+
+def strategy_view(**frames: DataFrame) -> DataFrame:
+    """Union of the tables of several strategies; ``strategy`` names the table, absent columns are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("strategy", F.lit(name)) for name, df in frames.items()))

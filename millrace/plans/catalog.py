@@ -7,3 +7,4 @@ from millrace.plans import relational_queries  # noqa: F401
 from millrace.plans import corpus_queries  # noqa: F401
 from millrace.plans import rewrite_queries  # noqa: F401
 from millrace.plans import dataset_queries  # noqa: F401
+from millrace.plans import lookup_queries  # noqa: F401
