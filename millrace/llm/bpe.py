@@ -9,8 +9,8 @@ Merge k, (u, v) -> w, then installs one gadget:
 * the arc for v is struck from state u (u followed by v would have been merged).
 
 A sequence of tokens is the BPE encoding of its text if and only if it is a path of the finished
-automaton, and each prefix of a path is a path. So a word is encoded left to right: at each
-position exactly one of the tokens ending there continues a path. The table of arcs is determinised
+automaton, and each prefix of a path is a path. So a word is encoded left to right along the table,
+stepping back only from places that no path leaves. The table of arcs is determinised
 when an arc is first asked for, by unrolling the gadgets that made it, and kept. Spelling of tokens
 is a second transition table (a trie over symbols). Decoding emits the labels of the arcs taken.
 """
@@ -45,6 +45,15 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Spelling(dict):
+    """A node of the spelling table: the next node by symbol, and the token spelled so far or -1."""
+
+    __slots__ = ("token",)
+
+    def __init__(self) -> None:
+        self.token = -1
+
+
 class MergeAutomaton:
     """The compiled merges. ``ids`` maps labels to ids; merges are pairs of labels, best first."""
 
@@ -54,7 +63,7 @@ class MergeAutomaton:
         self.halves: dict[int, tuple[int, int]] = {}
         self.struck: dict[tuple[int, int], int] = {}
         self.table: dict[int, dict[int, bool]] = {-1: {}}  # by state (-1 is the start), then token
-        self.trie: list = [-1, {}]  # a node is [token or -1, {symbol: node}]
+        self.trie = Spelling()
         self.spelling: dict[int, tuple[int, ...]] = {}
         for n, symbol in enumerate(base):
             self._spell(ids[symbol], (n,))
@@ -67,8 +76,8 @@ class MergeAutomaton:
         self.table[token] = {}
         node = self.trie
         for s in symbols:
-            node = node[1].setdefault(s, [-1, {}])
-        node[0] = token
+            node = node.setdefault(s, Spelling())
+        node.token = token
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
         if w in self.born:
@@ -96,30 +105,42 @@ class MergeAutomaton:
                 before, t = made_t + 1, self.halves[t][0]
 
     def encode(self, symbols: list[int]) -> list[int]:
-        """The one path that spells ``symbols`` (indices into ``base``), found in one pass over them."""
-        size = len(symbols)
-        last = [-1] * (size + 1)
-        start = [0] * (size + 1)
-        table = self.table
-        for i in range(size):
-            p = last[i]
+        """The one path that spells ``symbols`` (indices into ``base``).
+
+        From each place the longest token that the state has an arc for is taken. A place from which
+        no path goes on is marked and left for a shorter token before it; since each prefix has one
+        path, a place is marked once at most, so the work is linear in the word.
+        """
+        size, table, trie = len(symbols), self.table, self.trie
+        path: list[int] = []
+        places: list[int] = []
+        closed: set[int] = set()
+        i, p = 0, -1
+        while i < size:
             arcs = table[p]
-            node, j = self.trie, i
+            node, j = trie, i
+            spelled = []
             while j < size:
-                node = node[1].get(symbols[j])
+                node = node.get(symbols[j])
                 if node is None:
                     break
                 j += 1
-                t = node[0]
-                if t >= 0:
-                    open_ = arcs.get(t)
-                    if open_ or open_ is None and self.arc(p, t):
-                        last[j], start[j] = t, i
-        path, i = [], size
-        while i:
-            path.append(last[i])
-            i = start[i]
-        path.reverse()
+                if node.token >= 0:
+                    spelled.append((node.token, j))
+            for t, j in reversed(spelled):
+                open_ = arcs.get(t)
+                if open_ is None:
+                    open_ = self.arc(p, t)
+                if open_ and j not in closed:
+                    path.append(t)
+                    places.append(i)
+                    i, p = j, t
+                    break
+            else:
+                closed.add(i)
+                i = places.pop()
+                path.pop()
+                p = path[-1] if path else -1
         return path
 
     def decode(self, ids: Iterable[int]) -> list[str]:
@@ -131,11 +152,11 @@ class WordCodec:
     """A word-level BPE tokenizer file (NFC, lower case, word-end suffix) run through the automaton.
 
     Text is cut at white space; the pieces are independent, so each distinct piece is encoded once and
-    kept. At most ``keep`` pieces (and half as many words) are kept; then the store starts anew, so
-    memory stays bounded for any vocabulary.
+    kept. At most ``keep`` pieces (and half as many words) are kept, the first that come, so mostly the
+    frequent; after eight times as many misses the store starts anew. Memory is bounded for any vocabulary.
     """
 
-    def __init__(self, spec: bytes, keep: int = 400_000) -> None:
+    def __init__(self, spec: bytes, keep: int = 250_000) -> None:
         import regex
 
         spec_json = json.loads(spec)
@@ -152,14 +173,19 @@ class WordCodec:
         self.pre_split = regex.compile(spec_json["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.keep = keep
         self.words: dict[str, tuple[int, ...]] = {}
+        self.missed = 0
         codec = self
 
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
-                if len(self) >= codec.keep:
-                    self.clear()
                 ids = codec._piece(piece)
-                found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+                found = struct.pack(f"<{len(ids)}I", *ids)
+                if len(self) < codec.keep:
+                    self[piece] = found
+                else:
+                    codec.missed += 1
+                    if codec.missed > 8 * codec.keep:
+                        codec.rest()
                 return found
 
         self.pieces = Pieces()
@@ -183,9 +209,9 @@ class WordCodec:
             if known is None:
                 symbols = list(word.encode())
                 symbols[-1] += 256
-                if len(self.words) >= self.keep // 2:
-                    self.words.clear()
-                known = self.words[word] = tuple(self.automaton.encode(symbols))
+                known = tuple(self.automaton.encode(symbols))
+                if len(self.words) < self.keep // 2:
+                    self.words[word] = known
             ids += known
         return ids
 
@@ -205,6 +231,7 @@ class WordCodec:
         """Drop what is kept between texts; the compiled automaton stays."""
         self.pieces.clear()
         self.words.clear()
+        self.missed = 0
 
 
 _CODECS: dict[str, WordCodec] = {}
@@ -255,11 +282,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 out += [pa.ListArray.from_arrays(pa.array(ends), flat), decoded]
             return out
 
-        def run(row_id, text):
-            return [row_id, *work(text)]
-
-        run.close = codec.rest
-        return run
+        return lambda row_id, text: [row_id, *work(text)]
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", token_ids array<int>, decoded string" if with_ids else "")
