@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import whole_row
+
 REST = "*"
 PART = 32
 #: Entries of the inverted table: beyond them a Poisson with mean PART has less than 2 ** -52 left.
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: i
     goes to a partition by the hash of its id and copy, so sources, however large, are spread evenly.
     """
     rates = repetition_rates(docs, weights, epochs, source_col)
-    rows = docs.select(F.struct(*docs.columns).alias("_m_row"), F.col(id_col).alias("_m_id"), source_group(source_col, weights).alias("_m_group"))
+    rows = docs.select(whole_row(docs).alias("_m_row"), F.col(id_col).alias("_m_id"), source_group(source_col, weights).alias("_m_group"))
     drawn = rows.join(F.broadcast(rates.select("_m_group", "parts", "cdf")), "_m_group").select("_m_row", "_m_id", poisson_copies(seed, F.col("_m_id")).alias("_m_n"))
     copies = drawn.where("_m_n > 0").select("_m_row", F.explode(F.sequence(F.lit(1), F.col("_m_n"))).alias("_m_copy"), "_m_id")
     keyed = copies.select("_m_row", "_m_copy", F.xxhash64(F.lit(seed), F.col("_m_id"), F.col("_m_copy")).alias("_m_key"))

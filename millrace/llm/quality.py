@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import WORD_BREAK, durable
+from millrace.llm.common import WORD_BREAK, durable, whole_row
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK = r"[\x20\x09-\x0D]"
@@ -192,6 +192,6 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     source = docs.select(F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
     cutoffs = durable(certify(measure(source, "_q_text", ["_q_id", "_q_stratum"]), labels))
-    rows = docs.select(F.struct(*docs.columns).alias("_q_row"), F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
+    rows = docs.select(whole_row(docs).alias("_q_row"), F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
     measured = measure(rows, "_q_text", ["_q_row", "_q_id", "_q_stratum"])
     return judged(measured, cutoffs).where("_q_kept").select("_q_row.*")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, small_batches
+from millrace.llm.common import map_rows, small_batches, whole_row
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -291,7 +291,7 @@ def redact_documents(docs: DataFrame, net: CharNet | None = None, text_col: str
         return pd.Series([None if t is None else redact(t, s) if s else t for t, s in zip(values, scan_texts(values, net), strict=True)], dtype=object)
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*docs.columns).alias("_x_row"), clean(F.col(text_col)).alias("_x_text"))
+    rows = docs.select(whole_row(docs).alias("_x_row"), clean(F.col(text_col)).alias("_x_text"))
     new_text = F.col("_x_text")
     columns = []
     for c in docs.columns:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, durable, map_rows
+from millrace.llm.common import components, durable, map_rows, whole_row
 
 RADIUS = 2
 #: The three pieces of a fingerprint as (first bit, bits).
@@ -218,7 +218,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     :func:`near_duplicates`.
     """
     classes = durable(near_duplicates(docs, id_col, text_col))
-    rows = docs.select(F.struct(*docs.columns).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
+    rows = docs.select(whole_row(docs).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
     kept = classes.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_s_id")).distinct()
     firsts = rows.join(kept, "_s_id").dropDuplicates(["_s_id"]).select("_s_row.*")
     nameless = classes.where("component_id IS NULL").select("fp", "group").distinct()

@@ -17,7 +17,7 @@ TEXTS = [(1, None), (2, ""), (3, "  \n\t "), (4, "One two three four five."), (4
 def docs(spark):
     rows = [(i, t, "en" if k % 2 else None, "a" if k < 5 else None, -1, "x", 0.5) for k, (i, t) in enumerate(TEXTS)]
     # columns whose names the operators use for their own results
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept string, score double")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept string, score double").withColumn("a.b c", F.lit(1))
 
 
 @pytest.fixture(scope="module")
@@ -84,7 +84,7 @@ def test_quality(docs, none, labels):
     assert rows[1, 0]["base_failed"] and not rows[1, 0]["kept"] and rows[5, 30_001]["n_repeat_words"] == 30_000
     assert quality.quality_report(none, labels.where("false")).count() == 0
     assert quality.quality_filter(docs, labels).columns == docs.columns
-    good = docs.limit(1).select(F.lit(9).cast("long").alias("doc_id"), F.lit(" ".join(f"w{i}" for i in range(60))).alias("text"), *docs.columns[2:])
+    good = docs.limit(1).select(F.lit(9).cast("long").alias("doc_id"), F.lit(" ".join(f"w{i}" for i in range(60))).alias("text"), *(F.col(f"`{c}`") for c in docs.columns[2:]))
     assert [r["doc_id"] for r in quality.quality_filter(docs.union(good), labels).collect()] == [9]
 
 
