@@ -24,6 +24,16 @@ def test_hash_slots_are_the_known_ones(spark):
         assert one(spark, V.hash_slot(F.lit(token))) == slot
 
 
+def test_alias_normal_forms(spark):
+    from millrace.functions.anchors import normal_alias
+
+    cases = [("Transactional", "en", "annotation", "@transactional"), ("@Bean", "en", "annotation", "@bean"), ("transaction-readonly", "en", "concept", "transaction readonly"), ("트랜잭션 관리", "ko", "concept", "트랜잭션관리"),
+             ("spring.jpa.open-in-view", "en", "config_key", "spring.jpa.open-in-view"), ("Spring-Boot-Starter", "en", "artifact", "spring-boot-starter"), (" “x  y”, ", "en", "class", "“x y”"), ("Ａｂｃ", "en", "class", "abc"), (None, "en", "class", "")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, alias string, language string, kind string, wanted string")
+    for r in df.select("wanted", normal_alias(F.col("alias"), F.col("language"), F.col("kind")).alias("got")).collect():
+        assert r["got"] == r["wanted"]
+
+
 def test_markdown_segments(spark):
     text = "# Head\n\npara one\nstill\n\n- item\n\n```sql\nselect 1\n\nfrom t\n```\nafter"
     rows = one(spark, T.markdown_segments(F.lit(text)))
