@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the least id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) stays, that of the least id."""
+    return simhash.one_of_each(docs, width=5, least=0.8)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

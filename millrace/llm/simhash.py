@@ -18,12 +18,14 @@ is returned, never the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import jaccard
 from millrace.llm.common import components, durable, map_rows, whole_row
 
 RADIUS = 2
@@ -211,13 +213,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_s_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "group", "fp")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, least: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component, with its columns: the row of the least id.
 
-    A component without any id keeps the row of its least text. Edge cases otherwise as in
-    :func:`near_duplicates`.
+    With ``least`` the components are those of an exact Jaccard similarity of ``width``-word shingles of
+    at least that (:mod:`millrace.llm.jaccard`), else of fingerprints within ``RADIUS``. A component
+    without any id keeps the row of its least text. Edge cases otherwise as in :func:`near_duplicates`.
     """
-    classes = durable(near_duplicates(docs, id_col, text_col))
+    near, prints = (near_duplicates, fingerprints) if least is None else (partial(jaccard.near_duplicates, least=least), jaccard.nodes)
+    classes = durable(near(docs, id_col, text_col, width))
     rows = docs.select(whole_row(docs).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
     kept = classes.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_s_id")).distinct()
     firsts = rows.join(kept, "_s_id").dropDuplicates(["_s_id"]).select("_s_row.*")
@@ -225,5 +229,5 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if nameless.isEmpty():
         return firsts
     bare = rows.where("_s_id IS NULL")
-    texts = fingerprints(bare.select("_s_text", F.col("_s_text").alias("_s_t")), "_s_text", "_s_t").join(nameless, "fp").groupBy("group").agg(F.min("_s_text").alias("_s_text"))
+    texts = prints(bare.select("_s_text", F.col("_s_text").alias("_s_t")), "_s_text", "_s_t", width).join(nameless, "fp").groupBy("group").agg(F.min("_s_text").alias("_s_text"))
     return firsts.union(bare.join(texts, "_s_text").dropDuplicates(["_s_text"]).select("_s_row.*"))

@@ -362,3 +362,43 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
             expected += [(doc_id, json.dumps(ids))] * n
     assert sorted((r["doc_id"], json.dumps(r["token_ids"])) for r in out) == sorted(expected)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "secrets", "mixing", "bpe"]
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{j}" for j in range(104)]  # 100 shingles of five words
+    inner = lambda k: " ".join(words[:k] + ["other"] + words[k + 1 :])
+    first = lambda n: " ".join([f"x{j}" for j in range(n)] + words[n:])
+    rows = [(1, " ".join(words)), (2, inner(50)), (3, first(11)), (4, first(12)), (5, " ".join(f"y{j}" for j in range(90))), (6, None), (7, " "), (8, "two words")]
+    # 3: 89 of 111 shingles shared (0.802); 4: 88 of 112 with 1, but 92 of 108 with 3
+    docs = spark.createDataFrame([(i, t) for i, t in rows if i != 4], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 5, 6, 8]
+    docs = spark.createDataFrame([(i, t) for i, t in rows if i != 3], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4, 5, 6, 8]
+
+
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Chains of near copies in one large group, against all pairs."""
+    from millrace.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    g = np.random.default_rng(3)
+    base, texts = [f"w{j}" for j in range(60)], []
+    for i in range(60):
+        text = list(base)
+        for j in g.choice(60, g.integers(0, 4), replace=False):
+            text[j] = f"z{g.integers(0, 3)}"
+        texts.append((i, " ".join(text)))
+    sets = {i: set(jaccard.shingle_set(t.encode()).tolist()) for i, t in texts}
+    component, changed = {i: i for i in sets}, True
+    while changed:
+        changed = False
+        for i in sets:
+            for j in sets:
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and component[i] != component[j]:
+                    component[i] = component[j] = min(component[i], component[j])
+                    changed = True
+    found = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == component
