@@ -1,13 +1,18 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions only.
 
-Every document gets five ratios. For each stratum (language), ratio and cutoff of a fixed grid, the
-labelled holdout says how many good documents the rule "ratio > cutoff" would reject: k of n. The
-rule's false rejection rate is certified to be at most ``alpha`` / (number of ratios) if the exact
-binomial tail P(Bin(n, alpha / ratios) <= k) is at most ``delta`` / (number of all tests), the
-Bonferroni correction. So with probability 1 - delta every certified rule keeps its promise, and the
-rules of a stratum together reject at most ``alpha`` of its good documents. Of the certified cutoffs
-the one that rejects most labelled bad documents is taken, the most lenient on ties; a ratio with
-none, or whose rule rejects no bad document, rejects nothing.
+Every document gets five ratios. Each ratio has ten cutoffs, from the most lenient (step 1) to the
+strictest (step 10); step s of the rules rejects a document if any ratio exceeds its cutoff of step s.
+A ratio only moves to a step at which it catches a labelled bad document that its earlier steps did
+not, so steps that gain nothing reject nothing. That choice uses bad documents alone, so the good ones
+still are a clean sample for the test of the rule.
+
+Steps are nested, so for each stratum (language) those that catch a bad document anew are tested in
+fixed sequence, lenient first: step s is certified if all steps before it are and the exact binomial tail P(Bin(n, alpha) <= k), where k of
+the n labelled good documents of the stratum are rejected by the whole rule, is at most ``delta`` divided
+by the number of strata (fixed-sequence testing needs no correction within a stratum, Bonferroni's holds
+over the strata). So with probability 1 - ``delta`` the rules of every stratum together reject at most
+``alpha`` of its good documents. The strictest certified step is taken; a stratum without one, as any
+with too few labels, keeps all that pass the base rule. Strata come from the data.
 """
 
 from __future__ import annotations
@@ -21,9 +26,9 @@ from millrace.llm.common import WORD_BREAK, durable, whole_row
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
-#: Strata by language; every other language (or none) is the stratum "other". Bounds the broadcast.
-LANGUAGES = ("en", "de", "fr", "es")
-#: Cutoffs tried for each ratio (a rule rejects above its cutoff).
+#: Strata up to which the certified rules are broadcast; beyond, Spark chooses the join.
+STRATA = 10_000
+#: Cutoffs of each ratio, strictest first (a rule rejects above its cutoff).
 GRID = {
     "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0),
     "duplicate_lines": (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9),
@@ -31,7 +36,8 @@ GRID = {
     "long_words": (9.0, 10.0, 11.0, 12.0, 14.0, 17.0, 20.0, 25.0, 30.0, 50.0),
     "short_words": (-3.0, -2.75, -2.5, -2.25, -2.0, -1.75, -1.5, -1.35, -1.2, -1.1),
 }
-ALPHA, DELTA = 0.05, 0.1
+ALPHA, DELTA = 0.02, 0.1
+STEPS = 10
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -104,12 +110,19 @@ def ratios() -> dict[str, Column]:
 
 
 def stratum(lang_col: str) -> Column:
-    return F.when(F.col(lang_col).isin(*LANGUAGES), F.col(lang_col)).otherwise("other")
+    """The language; the empty string where there is none."""
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
 
 
-def exceeded(value: Column, cutoffs: tuple[float, ...]) -> Column:
-    """How many of the ascending ``cutoffs`` lie below ``value``."""
-    return F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: value > c))
+def first_step(value: Column, cutoffs: tuple[float, ...]) -> Column:
+    """The first step whose cutoff lies below ``value``; one more than the last where none does."""
+    return F.lit(len(cutoffs) + 1) - F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: value > c))
+
+
+def rejecting_step(steps: Column, gains: Column) -> Column:
+    """The step of the rules that first rejects a document with ``steps`` by ratio, given the gaining steps by ratio; null if none does."""
+    each = F.transform(steps, lambda s, i: F.array_min(F.filter(F.get(gains, i), lambda g: g >= s)))
+    return F.array_min(F.filter(each, lambda s: s.isNotNull()))
 
 
 def binomial_tail(k: Column, n: Column, p: float) -> Column:
@@ -130,68 +143,67 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_top) * rest)
 
 
+def all_steps() -> Column:
+    return F.array(*(first_step(v, GRID[name]) for name, v in ratios().items()))
+
+
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum with labels, one column for each ratio: its cutoff, or null.
+    """``(_q_stratum, _q_gains, _q_step)`` of each stratum with a certified step; ``_q_gains`` are the gaining steps by ratio.
 
     ``measured`` needs ``_q_id``, ``_q_stratum`` and the counts; ``labels`` needs ``doc_id`` and
-    ``quality`` (of several labels of one document the worst counts). The result has at most
-    len(LANGUAGES) + 1 rows whatever the input. Labelled rows are counted by (stratum, ratio, number
-    of cutoffs exceeded) before anything else, so no key gathers rows.
+    ``quality`` (of several labels of one document the worst counts). Labelled rows are combined to
+    counts by (stratum, step) before each shuffle, so no key gathers rows; the result has at most one
+    row for each stratum with labels.
     """
-    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_q_id")).agg(F.min("quality").alias("_q_good"))
-    rated = F.explode(F.array(*(F.struct(F.lit(name).alias("ratio"), exceeded(v, GRID[name]).alias("above")) for name, v in ratios().items())))
-    counts = (
-        measured.where(~base_failed()).join(marks, "_q_id").select("_q_stratum", "_q_good", rated.alias("r"))
-        .groupBy("_q_stratum", "r.ratio", "r.above").agg(F.count_if(F.col("_q_good") == 1).alias("good"), F.count_if(F.col("_q_good") != 1).alias("bad"))
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_q_id")).agg((F.min("quality") == 1).alias("_q_good"))
+    rated = measured.where(~base_failed()).join(marks, "_q_id").groupBy("_q_stratum", "_q_good", all_steps().alias("steps")).agg(F.count(F.lit(1)).alias("n"))
+    rated = durable(rated)
+    caught = F.array(*(F.array_sort(F.collect_set(F.when(~F.col("_q_good") & (F.col("steps")[i] <= STEPS), F.col("steps")[i]))) for i in range(len(GRID))))
+    gains = rated.groupBy("_q_stratum").agg(caught.alias("_q_gains"), F.sum(F.when(F.col("_q_good"), F.col("n"))).alias("good"))
+    strata = gains.agg(F.count_if(F.col("good") > 0).alias("strata"))
+    ruled = rated.join(gains, "_q_stratum").groupBy("_q_stratum", rejecting_step(F.col("steps"), F.col("_q_gains")).alias("step"))
+    ruled = ruled.agg(F.sum(F.when(F.col("_q_good"), F.col("n")).otherwise(0)).alias("k"), F.count_if(~F.col("_q_good")).alias("bad"))
+    by_step = ruled.groupBy("_q_stratum").agg(F.collect_list(F.struct("step", "k", "bad")).alias("ks"))
+    rejected = lambda s: F.aggregate(F.filter(F.col("ks"), lambda x: x["step"] <= s), F.lit(0).cast("long"), lambda t, x: t + x["k"])
+    tried = by_step.join(gains, "_q_stratum").crossJoin(F.broadcast(strata)).select(
+        "_q_stratum", "_q_gains", "good", "strata", F.explode(F.filter("ks", lambda x: x["step"].isNotNull() & (x["bad"] > 0))["step"]).alias("step"), "ks")
+    tested = tried.select("_q_stratum", "_q_gains", "step", (binomial_tail(rejected(F.col("step")), F.col("good"), alpha) <= delta / F.col("strata")).alias("ok"))
+    return (
+        tested.groupBy("_q_stratum").agg(F.first("_q_gains").alias("_q_gains"), F.min(F.when(~F.col("ok"), F.col("step"))).alias("stop"), F.collect_set("step").alias("steps"))
+        .select("_q_stratum", "_q_gains", F.array_max(F.filter("steps", lambda s: F.col("stop").isNull() | (s < F.col("stop")))).alias("_q_step")).where("_q_step IS NOT NULL")
     )
-    every = Window.partitionBy("_q_stratum", "ratio")
-    over = every.orderBy(F.desc("above"))
-    grid = F.create_map(*(x for name, cuts in GRID.items() for x in (F.lit(name), F.array(*map(F.lit, cuts)))))
-    tests = (len(LANGUAGES) + 1) * sum(map(len, GRID.values()))
-    filled = counts.groupBy("_q_stratum", "ratio").agg(F.map_from_entries(F.collect_list(F.struct("above", F.struct("good", "bad")))).alias("m"))
-    filled = filled.select("_q_stratum", "ratio", F.explode(F.sequence(F.lit(0), F.lit(max(map(len, GRID.values()))))).alias("above"), "m").select(
-        "_q_stratum", "ratio", "above", F.coalesce(F.col("m")[F.col("above")]["good"], F.lit(0).cast("long")).alias("good"), F.coalesce(F.col("m")[F.col("above")]["bad"], F.lit(0).cast("long")).alias("bad"))
-    tried = filled.select(
-        "_q_stratum", "ratio", "above",
-        F.sum("good").over(over).alias("k"), F.sum("bad").over(over).alias("caught"), F.sum("good").over(every).alias("n"),
-    ).where("above > 0 AND n > 0")
-    certified = tried.where(F.col("caught") > 0).where(binomial_tail(F.col("k"), F.col("n"), alpha / len(GRID)) <= delta / tests)
-    best = certified.groupBy("_q_stratum", "ratio").agg(F.max(F.struct("caught", "above")).alias("b")).select("_q_stratum", "ratio", F.get(grid[F.col("ratio")], F.col("b.above") - 1).alias("cutoff"))
-    return best.groupBy("_q_stratum").agg(*(F.max(F.when(F.col("ratio") == name, F.col("cutoff"))).alias(f"_q_cut_{name}") for name in GRID))
-
-
-def judged(df: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Add ``_q_base_failed`` and ``_q_kept`` to measured rows. ``cutoffs`` is tiny by construction."""
-    joined = df.join(F.broadcast(cutoffs), "_q_stratum", "left")
-    rejects = [F.coalesce(value > F.col(f"_q_cut_{name}"), F.lit(False)) for name, value in ratios().items()]
-    bad = rejects[0]
-    for r in rejects[1:]:
-        bad = bad | r
+
+
+def judged(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """Add ``_q_base_failed`` and ``_q_kept`` to measured rows by the (stored) certified rules."""
+    few = rules.limit(STRATA + 1).count() <= STRATA
+    joined = df.join(F.broadcast(rules) if few else rules, "_q_stratum", "left")
+    bad = F.coalesce(rejecting_step(all_steps(), F.col("_q_gains")) <= F.col("_q_step"), F.lit(False))
     return joined.withColumn("_q_base_failed", base_failed()).withColumn("_q_kept", ~F.col("_q_base_failed") & ~bad)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts and verdict of every document: id, the five counts, ``base_failed``, ``kept``, ``stratum``.
 
-    A null text has no words and fails the base rule; a null or unknown language is the stratum
-    "other"; a null id is judged like any other but carries no label; repeated rows each get a row;
+    A null text has no words and fails the base rule; a null language is a stratum of its own (the
+    empty string); a null id is judged like any other but carries no label; repeated rows each get a row;
     empty tables give empty or uncertified (lenient) results. Other columns are not read. The
     narrow table of counts is checkpointed so that texts are measured once.
     """
     source = docs.select(F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
     counts = durable(measure(source, "_q_text", ["_q_id", "_q_stratum"]))
-    out = judged(counts, certify(counts, labels))
+    out = judged(counts, durable(certify(counts, labels)))
     return out.select(F.col("_q_id").alias(id_col), *(F.col(f"_q_{c}").alias(c) for c in COUNTS), F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_stratum").alias("stratum"))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with exactly its columns (whatever their names).
 
-    Edge cases as in :func:`quality_report`. The cutoffs come from a first pass over the texts; the
+    Edge cases as in :func:`quality_report`. The rules come from a first pass over the texts; the
     second pass judges each row where it is read, so texts are not shuffled.
     """
     source = docs.select(F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
-    cutoffs = durable(certify(measure(source, "_q_text", ["_q_id", "_q_stratum"]), labels))
+    rules = durable(certify(measure(source, "_q_text", ["_q_id", "_q_stratum"]), labels))
     rows = docs.select(whole_row(docs).alias("_q_row"), F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
     measured = measure(rows, "_q_text", ["_q_row", "_q_id", "_q_stratum"])
-    return judged(measured, cutoffs).where("_q_kept").select("_q_row.*")
+    return judged(measured, rules).where("_q_kept").select("_q_row.*")

@@ -30,7 +30,7 @@ _RATIOS = {
     "long_words": "word_chars / greatest(n_words, 1)", "short_words": "-(word_chars / greatest(n_words, 1))",
 }
 OP2_SQL = rf"""
-WITH d AS (SELECT doc_id, CASE WHEN lang IN {quality.LANGUAGES} THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 win AS (SELECT doc_id, i, w[i] || chr(0) || w[i + 1] || chr(0) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
 rep AS (SELECT doc_id, g FROM win GROUP BY ALL HAVING count(*) > 1),
@@ -39,14 +39,17 @@ c AS (SELECT doc_id, stratum, len(w)::BIGINT AS n_words, coalesce(list_sum(list_
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l) AS n_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
 f AS ({" UNION ALL ".join(f"SELECT doc_id, stratum, '{name}' AS ratio, {sql} AS value FROM b WHERE NOT base_failed" for name, sql in _RATIOS.items())}),
-grid(ratio, above, cutoff) AS (VALUES {", ".join(f"('{name}', {i}, {cut!r}::DOUBLE)" for name, cuts in quality.GRID.items() for i, cut in enumerate(cuts, 1))}),
-y AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-t AS (SELECT stratum, ratio, above, cutoff, count(*) FILTER (WHERE good = 1 AND value > cutoff) AS k, count(*) FILTER (WHERE good = 1) AS n, count(*) FILTER (WHERE good <> 1 AND value > cutoff) AS caught
-  FROM f JOIN y USING (doc_id) JOIN grid USING (ratio) GROUP BY ALL),
-a AS (SELECT {quality.ALPHA / len(quality.GRID)!r}::DOUBLE AS a, {quality.DELTA / ((len(quality.LANGUAGES) + 1) * sum(map(len, quality.GRID.values())))!r}::DOUBLE AS limit_),
-p AS (SELECT t.*, limit_, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(a) + (n - j) * ln(1 - a))) FROM range(0, k + 1) r(j)) AS tail FROM t, a WHERE n > 0 AND caught > 0 AND k < n * a),
-best AS (SELECT stratum, ratio, arg_max(cutoff, (caught, above)) AS cutoff FROM p WHERE tail <= limit_ GROUP BY ALL),
-bad AS (SELECT DISTINCT doc_id FROM f JOIN best USING (stratum, ratio) WHERE value > cutoff)
+grid(ratio, step, cutoff) AS (VALUES {", ".join(f"('{name}', {len(cuts) - i}, {cut!r}::DOUBLE)" for name, cuts in quality.GRID.items() for i, cut in enumerate(cuts))}),
+s AS (SELECT doc_id, stratum, ratio, min(step) AS step FROM f JOIN grid USING (ratio) WHERE value > cutoff GROUP BY ALL),
+y AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+g AS (SELECT DISTINCT stratum, ratio, step FROM s JOIN y USING (doc_id) WHERE NOT good),
+r AS (SELECT doc_id, s.stratum, min(g.step) AS step FROM s JOIN g ON g.stratum = s.stratum AND g.ratio = s.ratio AND g.step >= s.step GROUP BY ALL),
+n AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM b JOIN y USING (doc_id) WHERE good AND NOT base_failed GROUP BY stratum),
+k AS (SELECT h.stratum, h.step, n.n, n.strata, count(q.doc_id) AS k FROM (SELECT DISTINCT stratum, step FROM r JOIN y USING (doc_id) WHERE NOT good) h JOIN n USING (stratum)
+  LEFT JOIN (SELECT r.* FROM r JOIN y USING (doc_id) WHERE good) q ON q.stratum = h.stratum AND q.step <= h.step GROUP BY ALL),
+p AS (SELECT *, CASE WHEN k >= n * {quality.ALPHA!r}::DOUBLE THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({quality.ALPHA!r}) + (n - j) * ln(1 - {quality.ALPHA!r}))) FROM range(0, k + 1) t(j)) END AS tail FROM k),
+best AS (SELECT stratum, max(step) AS step FROM (SELECT *, max(CASE WHEN tail > {quality.DELTA!r} / strata THEN 1 ELSE 0 END) OVER (PARTITION BY stratum ORDER BY step) AS failed FROM p) WHERE failed = 0 GROUP BY stratum),
+bad AS (SELECT doc_id FROM r JOIN best ON best.stratum = r.stratum AND r.step <= best.step)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept, stratum FROM b
 """
 

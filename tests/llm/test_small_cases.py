@@ -89,7 +89,7 @@ def test_quality(docs, none, labels):
 
 
 def test_quality_certificates(spark):
-    """400 good documents, 100 with symbols: the cutoff between is certified; with 20 nothing is."""
+    """Documents with many symbols are bad: a step between is certified; with 20 labels none is."""
     from math import comb
 
     n = 1500
