@@ -290,7 +290,7 @@ def test_marginals_are_exact():
     total, good = 0.0, [0.0] * len(nodes)
     for labels in itertools.product((0, 1), repeat=len(nodes)):
         weight = sum(model.potential(html_extract.node_features(n)) for n, y in zip(nodes, labels, strict=True) if y)
-        weight += sum(model.edge[labels[at[id(n.parent)]], labels[at[id(n)]]] for n in nodes if n.parent is not None)
+        weight += sum(model.edges(n)[2 * labels[at[id(n.parent)]] + labels[at[id(n)]]] for n in nodes if n.parent is not None)
         total += math.exp(weight)
         for i, y in enumerate(labels):
             good[i] += math.exp(weight) * y
@@ -299,18 +299,13 @@ def test_marginals_are_exact():
 
 def test_html_on_held_out_pages():
     model, wrong, seen = html_extract.default_model(), 0, 0
-    import re
-
     for k in range(100):
         source, content = html_extract.labelled_page(99_000_000 + k)
-        nodes = html_extract.in_order(html_extract.parse(source))
-        marks = [re.search(r'data-n="(\w+)"', n.attrs) for n in nodes]
-        for n in nodes:
-            n.attrs = re.sub(r'\s*data-n="\w+"', "", n.attrs)
+        nodes, marks = html_extract.marked_nodes(source)
         for m, x in zip(marks, model.marginals(nodes)[0], strict=True):
             if m:
                 seen += 1
-                wrong += (x > 0.5) != (m[1] in content)
+                wrong += (x > 0.5) != (m in content)
     assert wrong / seen < 0.01
 
 
@@ -378,12 +373,13 @@ def test_pipeline_drops_near_copies(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4, 5, 6, 8]
 
 
-def test_jaccard_large_groups(spark, monkeypatch):
-    """Chains of near copies in one large group, against all pairs."""
+@pytest.mark.parametrize("settings", [{}, {"PLAIN": 2, "LEADERS": 1}, {"BLOCK": 16, "COMMON": 2}, {"BLOCK": 9, "COMMON": 1, "PLAIN": 3, "PART": 8, "RARE": 2}])
+def test_jaccard_large_groups(spark, monkeypatch, settings):
+    """Chains of near copies in one large group, against all pairs; blocks, parts and leaders of several sizes."""
     from millrace.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    for name, value in settings.items():
+        monkeypatch.setattr(jaccard, name, value)
     g = np.random.default_rng(3)
     base, texts = [f"w{j}" for j in range(60)], []
     for i in range(60):
@@ -391,7 +387,7 @@ def test_jaccard_large_groups(spark, monkeypatch):
         for j in g.choice(60, g.integers(0, 4), replace=False):
             text[j] = f"z{g.integers(0, 3)}"
         texts.append((i, " ".join(text)))
-    sets = {i: set(jaccard.shingle_set(t.encode()).tolist()) for i, t in texts}
+    sets = {i: set(jaccard.shingles(t.encode()).tolist()) for i, t in texts}
     component, changed = {i: i for i in sets}, True
     while changed:
         changed = False
