@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +26,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set for the session.
+    Where that is unset, a session on one machine gets a temporary folder; on a cluster, whose executors
+    would each write to a disk of their own, it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} share no other folder")
         folder = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -54,6 +62,28 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(name, rows)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers stay between tasks and should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` over the batches of a task, tidying up at its end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return whole
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns: list[str]) -> DataFrame:
     """Apply a Python function to Arrow columns, batch by batch, in one narrow stage.
 
@@ -80,19 +110,98 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns:
             work.close()
 
     small_batches(df.sparkSession)
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(tidied(run), schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups, from batches sorted by their first ``keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        inside = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in columns]))
+        whole = int(inside[-1]) + 1 if len(inside) else 0
+        if not whole and held and all(held[-1].column(i)[-1].as_py() == c[-1] for i, c in enumerate(columns)):
+            held.append(batch)
+            continue
+        if held or whole:
+            yield pa.Table.from_batches([*held, batch.slice(0, whole)])
+        held = [batch.slice(whole)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def starts_of(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted groups begin, and the end."""
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [len(columns[0])]]) if len(columns[0]) else np.zeros(1, np.int64)
+
+
+def least_roots(size: int, links: Iterator[tuple[np.ndarray, np.ndarray]], root: np.ndarray | None = None) -> np.ndarray:
+    """For each of ``size`` places the least place reachable by links (and what ``root`` has joined already)."""
+    root = np.arange(size) if root is None else root.copy()
+    for x, y in links:
+        while True:
+            a, b = root[x], root[y]
+            differ = a != b
+            if not differ.any():
+                break
+            x, y, a, b = x[differ], y[differ], a[differ], b[differ]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root != root[root]).any():
+                root = root[root]
+    return root
+
+
+#: Edges that one task reduces to a forest at a time.
+PART_EDGES = 1 << 20
+
+
+def _local_forest(edges: DataFrame) -> DataFrame:
+    """Each partition's edges as star edges ``(a, b)``, b the least node its edges reach from a; at most ``PART_EDGES`` are held at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64)]
+
+        def reduce() -> np.ndarray:
+            edge = np.concatenate(held, axis=1)
+            node, place = np.unique(edge, return_inverse=True)
+            place = place.reshape(edge.shape)
+            root = least_roots(len(node), iter([(place[0], place[1])]))
+            moved = root != np.arange(len(node))
+            return np.stack([node[moved], node[root[moved]]])
+
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)]))
+            if sum(h.shape[1] for h in held) > PART_EDGES:
+                done = reduce()
+                held[:] = [done]
+                if done.shape[1] > PART_EDGES // 2:  # a partition of too many nodes to be held
+                    yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(done[1])], names=["a", "b"])
+                    held[:] = [done[:, :0]]
+        done = reduce()
+        yield pa.RecordBatch.from_arrays([pa.array(done[0]), pa.array(done[1])], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: ``(node, component)``, component the least node.
 
-    Alternating large-star and small-star passes: each is one minimum by node (combined before the
-    shuffle) and one join, which AQE can split where a node is hot. Every pass is checkpointed, and
-    only a count and a checksum reach the driver. Nodes without edges do not appear.
+    As many partitions as the edges need (``PART_EDGES`` each) are joined and reduced to a forest each: if
+    that is one, its forest is the answer. Else large-star and
+    small-star passes alternate: each is one minimum by node (combined before the shuffle) and one
+    join, which AQE can split where a node is hot. Every pass is checkpointed, and only a count and a
+    checksum reach the driver. Nodes without edges do not appear.
     """
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = durable(edges.where("a <> b").select("a", "b"))
     state = None
     for _ in range(rounds):
+        parts = -(-now.count() // PART_EDGES)
+        now = durable(_local_forest(now.coalesce(max(1, parts))))
+        if parts <= 1:
+            break
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
