@@ -8,11 +8,15 @@ Merge k, (u, v) -> w, then installs one gadget:
 * every state with an arc for u gets an arc for w;
 * the arc for v is struck from state u (u followed by v would have been merged).
 
-A sequence of tokens is the BPE encoding of its text if and only if it is a path of the finished
-automaton, and each prefix of a path is a path. So a word is encoded left to right along the table,
-stepping back only from places that no path leaves. The table of arcs is determinised
-when an arc is first asked for, by unrolling the gadgets that made it, and kept. Spelling of tokens
-is a second transition table (a trie over symbols). Decoding emits the labels of the arcs taken.
+A gadget is held as these three differences; whole rows of arcs would take states times tokens. A
+sequence of tokens is the BPE encoding of its text if and only if it is a path of the finished
+automaton, each text has one path, and each prefix of a path is a path. So the last token of every
+prefix of a word is determined, and a word is encoded by one transition for each of its symbols: the
+token automaton is spelled out into a second table whose states hold the longest suffix read that some
+token begins with, and the last token at each place of that suffix. A transition finds the one token
+that ends at the new place and has an arc from the last token at its start. States and transitions are
+determinised when first met and kept; reading a word again is one table look-up for each symbol, with no search and
+no step back. Decoding emits the labels of the arcs taken.
 """
 
 from __future__ import annotations
@@ -46,37 +50,41 @@ def byte_alphabet() -> list[str]:
 
 
 class Spelling(dict):
-    """A node of the spelling table: the next node by symbol, and the token spelled so far or -1."""
+    """A node of the spelling trie: the next node by symbol, the token spelled so far or -1, its length, and the longest proper suffix that is a node."""
 
-    __slots__ = ("token",)
+    __slots__ = ("token", "size", "shorter")
 
-    def __init__(self) -> None:
-        self.token = -1
+    def __init__(self, size: int, shorter: Spelling | None) -> None:
+        self.token, self.size, self.shorter = -1, size, shorter
 
 
 class MergeAutomaton:
-    """The compiled merges. ``ids`` maps labels to ids; merges are pairs of labels, best first."""
+    """The compiled merges. ``ids`` maps labels to ids; merges are pairs of labels, best first. At most ``keep`` states are held."""
 
-    def __init__(self, ids: dict[str, int], merges: Iterable[tuple[str, str]], base: Iterable[str]) -> None:
+    def __init__(self, ids: dict[str, int], merges: Iterable[tuple[str, str]], base: Iterable[str], keep: int = 150_000) -> None:
         self.label = {i: s for s, i in ids.items()}
         self.born: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.struck: dict[tuple[int, int], int] = {}
-        self.table: dict[int, dict[int, bool]] = {-1: {}}  # by state (-1 is the start), then token
-        self.trie = Spelling()
+        self.root = Spelling(0, None)
         self.spelling: dict[int, tuple[int, ...]] = {}
+        self.keep = keep
         for n, symbol in enumerate(base):
             self._spell(ids[symbol], (n,))
             self.born[ids[symbol]] = -1
         for k, (u, v) in enumerate(merges):
             self._gadget(k, ids[u], ids[v], ids[u + v])
+        self._link()
+        self.rest()
 
     def _spell(self, token: int, symbols: tuple[int, ...]) -> None:
         self.spelling[token] = symbols
-        self.table[token] = {}
-        node = self.trie
+        node = self.root
         for s in symbols:
-            node = node.setdefault(s, Spelling())
+            below = node.get(s)
+            if below is None:
+                below = node[s] = Spelling(node.size + 1, self.root)
+            node = below
         node.token = token
 
     def _gadget(self, k: int, u: int, v: int, w: int) -> None:
@@ -86,12 +94,44 @@ class MergeAutomaton:
         self.struck[u, v] = k
         self._spell(w, self.spelling[u] + self.spelling[v])
 
-    def arc(self, p: int, t: int) -> bool:
-        """Whether state p has an arc for token t, determinised into the table when first asked."""
-        found = self.table[p][t] = p < 0 or self._unroll(p, t)
+    def _link(self) -> None:
+        """Suffix links of the trie, level by level."""
+        level = list(self.root.values())
+        while level:
+            below = []
+            for node in level:
+                for symbol, child in node.items():
+                    at = node.shorter
+                    while at is not None and symbol not in at:
+                        at = at.shorter
+                    child.shorter = self.root if at is None else at[symbol]
+                    below.append(child)
+            level = below
+
+    def rest(self) -> None:
+        """Drop the states; they are made again as words ask for them."""
+        self.state_of: dict[tuple[int, tuple[int, ...]], int] = {}
+        self.table: list[dict[int, int]] = []  # by state: the next state by symbol
+        self.token: list[int] = []  # by state: the last token
+        self.nodes: list[Spelling] = []
+        self.ends: list[tuple[int, ...]] = []
+        self._state(self.root, (-1,))
+
+    def _state(self, node: Spelling, ends: tuple[int, ...]) -> int:
+        key = (id(node), ends)
+        found = self.state_of.get(key)
+        if found is None:
+            found = self.state_of[key] = len(self.table)
+            self.table.append({})
+            self.token.append(ends[-1])
+            self.nodes.append(node)
+            self.ends.append(ends)
         return found
 
-    def _unroll(self, p: int, t: int) -> bool:
+    def arc(self, p: int, t: int) -> bool:
+        """Whether state p of the token automaton has an arc for token t, by unrolling the gadgets that made it."""
+        if p < 0:
+            return True
         before = NEVER  # only gadgets earlier than this had acted on the arc in hand
         while True:
             if self.struck.get((p, t), NEVER) < before:
@@ -104,43 +144,36 @@ class MergeAutomaton:
             else:  # arc t was laid beside the arc of its left half; of equal merges the left one goes first
                 before, t = made_t + 1, self.halves[t][0]
 
+    def _determinise(self, state: int, symbol: int) -> int:
+        """Lay the transition of ``state`` for ``symbol``."""
+        node, ends = self.nodes[state], self.ends[state]
+        while symbol not in node:  # every symbol is a token, so the root has it
+            node = node.shorter
+        node = node[symbol]
+        # ends[-1 - j] is the last token j places back; a token of n symbols begins n - 1 places back
+        end = node
+        while end.token < 0 or not self.arc(ends[-end.size], end.token):
+            end = end.shorter
+        found = self.table[state][symbol] = self._state(node, (*(ends[-node.size :]), end.token))
+        return found
+
     def encode(self, symbols: list[int]) -> list[int]:
-        """The one path that spells ``symbols`` (indices into ``base``).
-
-        From each place the longest token that the state has an arc for is taken. A place from which
-        no path goes on is marked and left for a shorter token before it; since each prefix has one
-        path, a place is marked once at most, so the work is linear in the word.
-        """
-        size, table, trie = len(symbols), self.table, self.trie
-        path: list[int] = []
-        places: list[int] = []
-        closed: set[int] = set()
-        i, p = 0, -1
-        while i < size:
-            arcs = table[p]
-            node, j = trie, i
-            spelled = []
-            while j < size:
-                node = node.get(symbols[j])
-                if node is None:
-                    break
-                j += 1
-                if node.token >= 0:
-                    spelled.append((node.token, j))
-            for t, j in reversed(spelled):
-                open_ = arcs.get(t)
-                if open_ is None:
-                    open_ = self.arc(p, t)
-                if open_ and j not in closed:
-                    path.append(t)
-                    places.append(i)
-                    i, p = j, t
-                    break
-            else:
-                closed.add(i)
-                i = places.pop()
-                path.pop()
-                p = path[-1] if path else -1
+        """The one path that spells ``symbols`` (indices into ``base``): a transition for each, then the tokens from the last place back."""
+        if len(self.table) > self.keep:
+            self.rest()
+        table, token = self.table, self.token
+        state, last = 0, []
+        for s in symbols:
+            after = table[state].get(s)
+            state = self._determinise(state, s) if after is None else after
+            last.append(token[state])
+        path = []
+        i = len(symbols)
+        while i:
+            t = last[i - 1]
+            path.append(t)
+            i -= len(self.spelling[t])
+        path.reverse()
         return path
 
     def decode(self, ids: Iterable[int]) -> list[str]:
@@ -171,8 +204,10 @@ class WordCodec:
         self.label = [labels.get(i, "") for i in range(max(labels) + 1)]
         self.cut_special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)))
         self.pre_split = regex.compile(spec_json["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.spec, self.library = spec, None
+        self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.keep = keep
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[bytes, tuple[int, ...]] = {}
         self.missed = 0
         codec = self
 
@@ -200,14 +235,28 @@ class WordCodec:
             at = m.end()
         return ids + self._plain(piece[at:])
 
-    def _plain(self, piece: str) -> list[int]:
+    def _split(self, piece: str) -> list[bytes]:
+        """The words of a piece, normalised, as bytes."""
+        if piece.isascii():
+            return [w.encode() for w in self.pre_split.findall(piece.lower())]
+        if any(unicodedata.category(c) == "Cn" for c in piece):
+            # code points that this Python does not know, but the library's newer tables may: it normalises and splits
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_str(self.spec.decode())
+            words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))
+            return [bytes(self.byte_of[c] for c in w) for w, _ in words]
         # lower() maps a final capital sigma by its place in the word; the tokenizer maps it alone
-        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        text = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        return [w.encode() for w in self.pre_split.findall(text)]
+
+    def _plain(self, piece: str) -> list[int]:
         ids: list[int] = []
-        for word in self.pre_split.findall(text):
+        for word in self._split(piece):
             known = self.words.get(word)
             if known is None:
-                symbols = list(word.encode())
+                symbols = list(word)
                 symbols[-1] += 256
                 known = tuple(self.automaton.encode(symbols))
                 if len(self.words) < self.keep // 2:
@@ -231,6 +280,7 @@ class WordCodec:
         """Drop what is kept between texts; the compiled automaton stays."""
         self.pieces.clear()
         self.words.clear()
+        self.automaton.rest()
         self.missed = 0
 
 
