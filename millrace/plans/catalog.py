@@ -9,3 +9,4 @@ from millrace.plans import rewrite_queries  # noqa: F401
 from millrace.plans import dataset_queries  # noqa: F401
 from millrace.plans import lookup_queries  # noqa: F401
 from millrace.plans import context_queries  # noqa: F401
+from millrace.plans import report_queries  # noqa: F401
