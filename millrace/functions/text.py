@@ -169,15 +169,6 @@ def without_ascii_anchors(text: Column) -> Column:
     return single_spaced(F.regexp_replace(text, "[A-Za-z0-9_./:$#@-]+", " "))
 
 
-def compressed_query(text: Column, most: int = 4, suffix: str = "") -> Column:
-    """The longest distinct tokens in text order, as a short query."""
-    kept = let(
-        F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= 3)),
-        lambda ts: let(F.slice(F.reverse(F.array_sort(F.transform(ts, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"))))), 1, most), lambda top: F.filter(ts, lambda t, i: F.exists(top, lambda x: x["i"] == -i))),
-    )
-    return F.trim(F.concat_ws(" ", F.array_join(kept, " "), F.lit(suffix)))
-
-
 def markdown_segments(text: Column) -> Column:
     """Blocks of a Markdown text, array<struct<kind, text, sha256>>: code fences stay whole, other blocks end at blank lines."""
     fenced = F.split(F.coalesce(text, F.lit("")), "(?m)^```", -1)

@@ -40,15 +40,26 @@ def query_text(strategy: Column, reply: Column, fields: dict[str, tuple[str, ...
     return out
 
 
-def family(url: Column) -> Column:
-    """Host and first path part: pages that belong together."""
-    return F.concat_ws("/", F.regexp_extract(url, r"^[a-z]+://([^/?#]*)", 1), F.regexp_extract(url, r"^[a-z]+://[^/?#]*/([^/?#]*)", 1))
-
-
-def category(text: Column) -> Column:
-    return (
-        F.when(F.lower(text).rlike("error|exception|fail"), "troubleshooting").when(F.lower(text).rlike("how|configure|setting"), "how_to")
-        .when(F.length(text) <= 40, "short").otherwise("general"))
+def family(url: Column, document_id: Column | None = None) -> Column:
+    """Host and first path part (the host alone where there is none): pages that belong together. Without a URL, the first part of the document's id."""
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    part = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?/*([^/?#]*)", 1)
+    source = F.lit(None).cast("string") if document_id is None else F.split_part(document_id, F.lit("::"), F.lit(1))
+    by_url = F.when(part != "", F.concat(host, F.lit("/"), part)).otherwise(F.coalesce(F.nullif(host, F.lit("")), source))
+    return F.when(F.coalesce(url, F.lit("")) == "", source).otherwise(by_url)
+
+
+#: Words that make a query one of troubleshooting, part of the results' definition.
+TROUBLE = ("오류", "에러", "exception", "failed", "fail")
+
+
+def category(query_type: Column, text: Column) -> Column:
+    """Category of a query: some types are their own, then trouble words decide."""
+    low = F.lower(text)
+    trouble = F.lit(False)
+    for t in TROUBLE:
+        trouble = trouble | low.contains(t)
+    return F.when(query_type.isin("short_user", "code_mixed", "follow_up"), query_type).when(trouble, "troubleshooting").otherwise("general_ko")
 
 
 def split_families(samples: DataFrame, share: float = 0.5, seed: str = "split") -> DataFrame:

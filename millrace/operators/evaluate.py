@@ -35,20 +35,26 @@ def retrieval_metrics(ranked: DataFrame, expected: DataFrame, sample: str = "sam
     )
 
 
-def answer_metrics(rows: DataFrame, query: str, answer: str, context: str, points: str) -> DataFrame:
-    """Token-overlap answer metrics added to ``rows``; faithfulness falls with verbatim copying."""
-    grounding = T.overlap_ratio(F.col(answer), F.col(context))
-    return rows.select(
-        "*",
-        T.overlap_ratio(F.col(points), F.col(answer)).alias("correctness"),
-        grounding.alias("grounding"),
-        F.greatest(F.lit(0.0), 1 - grounding).alias("hallucination_rate"),
-        T.overlap_ratio(F.col(query), F.col(answer)).alias("answer_relevance"),
-    )
-
+def answer_metrics(rows: DataFrame, query: str, answer: str, context: str, points: str, ids: str | None = None, expected: str | None = None, found: str | None = None) -> DataFrame:
+    """The token-overlap answer metrics added to ``rows``; faithfulness falls with verbatim copying.
 
-def with_faithfulness(rows: DataFrame, answer: str, context: str) -> DataFrame:
-    return rows.withColumn("faithfulness", 1 - F.least(F.lit(1.0), T.copy_ratio(F.col(answer), F.col(context), 3)))
+    With ``ids`` (expected chunk and document ids as text), ``expected`` and ``found`` (arrays of chunk ids)
+    also keyword overlap, context recall and context precision. Key points that are empty give way to
+    the expected ids.
+    """
+    grounding = T.overlap_ratio(F.col(answer), F.col(context))
+    wanted = F.col(points) if expected is None else F.coalesce(F.nullif(F.col(points), F.lit("")), F.array_join(expected, " "))
+    out = [
+        T.overlap_ratio(wanted, F.col(answer)).alias("correctness"), grounding.alias("grounding"), F.greatest(F.lit(0.0), 1 - grounding).alias("hallucination_rate"),
+        T.overlap_ratio(F.col(query), F.col(answer)).alias("answer_relevance"), (1 - F.least(F.lit(1.0), T.copy_ratio(F.col(answer), F.col(context), 3))).alias("faithfulness"),
+    ]
+    if ids is not None:
+        covered = F.size(F.filter(expected, lambda x: F.array_contains(found, x)))
+        out += [
+            T.overlap_ratio(F.col(ids), F.col(answer)).alias("keyword_overlap"), (covered / F.greatest(F.lit(1), F.size(expected))).alias("context_recall"),
+            (covered / F.greatest(F.lit(1), F.size(found))).alias("context_precision"),
+        ]
+    return rows.select("*", *out)
 
 
 def mode_summary(metrics: DataFrame, mode: str = "mode", baseline: str = "raw") -> DataFrame:

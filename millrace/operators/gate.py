@@ -149,33 +149,70 @@ def cutoff(decided: DataFrame, level: str) -> DataFrame:
     return decided
 
 
-def greedy_diversity(rows: DataFrame, config: GateConfig = GateConfig(), group: str = "target_doc_id", order: str = "seq", vec: str = "embedding") -> DataFrame:
-    """In order within each document, accept a query unless it is too like an accepted one of its chunk or
-    document. ``rows(id, group, chunk_id, order, vec)``; adds ``diversity_ok`` and ``novelty`` (1 minus the
-    greatest similarity to accepted queries of the group). Documents are independent and run in parallel;
-    to have novelty over everything, pass a constant group."""
+def sequential_gate(rows: DataFrame, config: GateConfig = GateConfig(), batch: str = "batch", order: str = "seq") -> DataFrame:
+    """``(batch, id, diversity_ok, novelty)``: what each query of a gating batch is compared with are the queries accepted before it.
+
+    ``rows(batch, order, id, chunk_id, doc_id, embedding, rule_ok, llm_ok, llm_avg, utility)``, all stages
+    before diversity decided. Diversity looks at the accepted of the same chunk and of the same document,
+    novelty (1 minus the greatest cosine) at all accepted of the batch; a query is accepted as :func:`decide`
+    accepts it, so later rows depend on earlier ones. Rows of a batch stream through one task in order (ties
+    by id) with the accepted vectors as carried state; batches run in parallel, null is a batch, chunk and document
+    like any other. A stage that does not run gives nulls.
+    """
     import numpy as np
-    import pandas as pd
-
-    same_chunk, same_doc = config.same_chunk, config.same_doc
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, "id"], kind="stable")
-        kept = np.zeros((len(pdf), len(pdf[vec].iloc[0])))
-        chunks: list = []
-        ok, novelty = [], []
-        for chunk, v in zip(pdf["chunk_id"], pdf[vec], strict=True):
-            v = np.asarray(v, float)
-            v = v / n if (n := np.linalg.norm(v)) > 0 else v
-            near = kept[: len(chunks)] @ v
-            mine = near[[c == chunk for c in chunks]]
-            good = bool((mine.max(initial=0.0) <= same_chunk) and (near.max(initial=0.0) <= same_doc))
-            ok.append(good)
-            novelty.append(float(max(0.0, 1.0 - near.max(initial=0.0))))
-            if good:
-                kept[len(chunks)] = v
-                chunks.append(chunk)
-        return pd.DataFrame({"id": pdf["id"], "diversity_ok": ok, "novelty": novelty})
-
-    slim = rows.select("id", group, "chunk_id", order, vec)
-    return slim.groupBy(group).applyInPandas(run, "id bigint, diversity_ok boolean, novelty double")
+    import pyarrow as pa
+
+    on, counted = config.enabled, {"ungated": 0, "rule_only": 1, "rule_plus_llm": 2}.get(config.preset, 5)
+
+    class Accepted:
+        def __init__(self) -> None:
+            self.vectors, self.places = np.zeros((64, 1)), {}
+            self.n = 0
+
+        def greatest(self, v: np.ndarray, key=None) -> float:
+            at = slice(0, self.n) if key is None else self.places.get(key, [])
+            near = self.vectors[at] @ v if v.shape[0] == self.vectors.shape[1] else np.zeros(0)
+            return float(near.max()) if len(near) else 0.0
+
+        def add(self, v: np.ndarray, *keys) -> None:
+            if self.n == 0:
+                self.vectors = np.zeros((64, len(v)))
+            if self.n == len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+            if len(v) == self.vectors.shape[1]:
+                self.vectors[self.n] = v
+                for k in keys:
+                    self.places.setdefault(k, []).append(self.n)
+                self.n += 1
+
+    def run(batches):
+        now, held = object(), Accepted()
+        for part in batches:
+            ok, fresh = [], []
+            for r in part.to_pylist():
+                if r["batch"] != now:
+                    now, held = r["batch"], Accepted()
+                rule = r["rule_ok"] is not False if on["rule_filter"] else True
+                llm = (r["llm_ok"] if rule else None) if on["llm_self_eval"] else True
+                runs = rule and llm is not False
+                useful = (r["utility"] >= config.utility_threshold if runs else None) if on["retrieval_utility"] else True
+                runs = runs and useful is not False
+                good = novelty = final = None
+                v = np.asarray(r["embedding"] or [], float)
+                v = v / norm if (norm := np.linalg.norm(v)) > 0 else v
+                chunk, doc = ("chunk", r["chunk_id"]), ("doc", r["doc_id"])
+                if runs:
+                    novelty = max(0.0, 1.0 - held.greatest(v))
+                    good = held.greatest(v, chunk) <= config.same_chunk and held.greatest(v, doc) <= config.same_doc
+                    if good or not on["diversity_dedup"]:
+                        final = FINAL["utility"] * r["utility"] + FINAL["llm"] * (r["llm_avg"] or 0.0) + FINAL["novelty"] * novelty >= config.final_threshold
+                passed = (rule, llm, useful, good if on["diversity_dedup"] else True, final)
+                if all(x is not False for x in passed[:counted]):
+                    held.add(v, chunk, doc)
+                ok.append(good)
+                fresh.append(novelty)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_()), pa.array(fresh, pa.float64())], names=["batch", "id", "diversity_ok", "novelty"])
+
+    slim = rows.select(F.col(batch).cast("string").alias("batch"), F.col("id").cast("bigint").alias("id"), F.col(order).alias("_o"), "chunk_id", "doc_id", "embedding", "rule_ok", "llm_ok", "llm_avg", "utility")
+    dealt = slim.repartition("batch").sortWithinPartitions("batch", "_o", "id").drop("_o")
+    return dealt.mapInArrow(run, "batch string, id bigint, diversity_ok boolean, novelty double")

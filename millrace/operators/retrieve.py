@@ -39,6 +39,14 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum(T.token_count(F.col(text_col))) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
 
 
+def bm25_statistics(docs: DataFrame, queries: DataFrame, query_id: str = "item_id", text_col: str = "text") -> tuple[int, float, DataFrame]:
+    """Documents, mean length, and ``(token, df)`` of the tokens that some query has."""
+    wanted = query_tokens(queries, query_id, "text").select("token").distinct()
+    seen = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("token")).join(wanted, "token", "left_semi")
+    stats = corpus_stats(docs, text_col).first()
+    return stats["n_docs"], float(stats["avgdl"] or 0.0), seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text", digits: int = 9) -> DataFrame:
     """``(query_id, doc_id, bm25)`` of every document that shares a token with the query."""
     wanted = query_tokens(queries, query_id, query_text)
@@ -85,31 +93,6 @@ def fuse(pool: DataFrame, mode: str = "hybrid", weights: tuple[float, float, flo
     return pool.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * combined - 1)))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, pool: int = 50, k: int = 10, mode: str = "hybrid", weights: tuple[float, float, float] = FUSION) -> DataFrame:
-    """Top k by the fused score over the BM25 pool of each query; dense scores by hash embedding.
-
-    Embeddings and technical sets are made for the rows of the pool only.
-    """
-    pooled = top_k(bm25(docs, queries), "bm25", pool).drop("rank")
-    texts = pooled.join(docs.select("doc_id", "text"), "doc_id").join(queries.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
-    cut = texts.select("query_id", "doc_id", "bm25", T.tokens(F.col("text")).alias("dt"), T.tokens(F.col("q")).alias("qt"))
-    dense = _pool_cosine(cut)
-    shared = F.size(F.array_intersect(T.technical_tokens(F.col("dt")), T.technical_tokens(F.col("qt"))))
-    sizes = F.size(T.technical_tokens(F.col("dt"))) * F.size(T.technical_tokens(F.col("qt")))
-    technical = cut.select("query_id", "doc_id", "bm25", F.coalesce(F.try_divide(shared, F.sqrt(sizes)), F.lit(0.0)).alias("technical"))
-    scored = technical.join(dense, ["query_id", "doc_id"], "left").withColumn("dense", F.coalesce("dense", F.lit(0.0)))
-    fused = fuse(scored, mode, weights).withColumn("score", F.round("score", 9))
-    return top_k(fused, "score", k)
-
-
-def _pool_cosine(cut: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, dense)`` by joining sparse hash embeddings on the slot within each pair."""
-    doc_vec = V.hash_embedding(cut.select("doc_id", "dt").dropDuplicates(["doc_id"]), "doc_id", F.col("dt"))
-    query_vec = V.hash_embedding(cut.select("query_id", "qt").dropDuplicates(["query_id"]), "query_id", F.col("qt"))
-    pairs = cut.select("query_id", "doc_id").join(query_vec.withColumnRenamed("value", "qv"), "query_id")
-    return pairs.join(doc_vec, ["doc_id", "slot"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("qv") * F.col("value")).alias("dense"))
-
-
 def union_pools(*pools: DataFrame) -> DataFrame:
     """Union of ``(query_id, doc_id, score)`` pools; of equal items the row of the first pool stays."""
     marked = reduce(DataFrame.unionByName, (p.select("query_id", "doc_id", "score").withColumn("source", F.lit(i)) for i, p in enumerate(pools)))
@@ -153,20 +136,16 @@ def rerank(pool: DataFrame, scores: DataFrame | None, k: int = 5) -> DataFrame:
 def pattern_pool(docs: DataFrame, patterns: DataFrame, k: int = 10, columns: tuple[str, ...] = ("text",)) -> DataFrame:
     """``(query_id, doc_id, hits)``: for each query the documents that hold most of its lower-case patterns.
 
-    ``patterns(query_id, patterns array<string>)`` is a query table of a few rows; it is held as one
-    array (so the documents are read once) only while it has at most 10,000 rows.
+    ``patterns(query_id, patterns array<string>)`` of any size: distinct patterns are matched in one
+    pass over the documents (:func:`millrace.operators.search.literal_matches`), then counted by query.
     """
-    few = patterns.limit(10_001).collect()
-    if len(few) > 10_000:
-        raise ValueError("pattern_pool takes at most 10,000 queries at a time; split the query table")
-    rows = [(r["query_id"], list(r["patterns"])) for r in few]
-    low = F.lower(F.concat_ws("\n", *columns))
-    counted = [
-        F.struct(F.lit(q).alias("query_id"), sum((low.contains(p.lower()).cast("int") for p in ps), F.lit(0)).alias("hits"))
-        for q, ps in rows
-    ]
-    spread = docs.select("doc_id", F.explode(F.filter(F.array(*counted), lambda x: x["hits"] > 0)).alias("x")).select("x.query_id", "doc_id", "x.hits")
-    return top_k(spread, "hits", k)
+    from millrace.operators.search import literal_matches
+
+    asked = patterns.select("query_id", F.explode("patterns").alias("p")).select("query_id", F.lower("p").alias("pattern"))
+    distinct = asked.select("pattern").distinct().withColumn("pattern_id", F.xxhash64("pattern"))
+    low = docs.select("doc_id", F.lower(F.concat_ws("\n", *columns)).alias("text"))
+    hits = literal_matches(low, distinct).join(asked.withColumn("pattern_id", F.xxhash64("pattern")), "pattern_id")
+    return top_k(hits.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("hits")), "hits", k)
 
 
 def trigram_pool(items: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.0) -> DataFrame:
@@ -179,18 +158,11 @@ def trigram_pool(items: DataFrame, queries: DataFrame, k: int = 10, floor: float
 
 
 def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", passage_id: str = "item_id") -> DataFrame:
-    """``(item_id, doc_id)`` where the text holds the passage literally, found through an inverted index.
+    """``(item_id, doc_id)`` where the text holds the passage literally, whatever its length or script."""
+    from millrace.operators.search import literal_matches
 
-    A document with the passage has all its inner tokens (the outer two may be cut), so candidates
-    come from the rarest of them; each is then checked. Passages of fewer than three tokens take the
-    longest alphanumeric part instead of an index.
-    """
-    cut = passages.select(F.col(passage_id).alias("item_id"), F.col("text").alias("passage"), T.tokens(F.col("text")).alias("t"))
-    inner = cut.where(F.size("t") >= 3).select("item_id", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("token"))
-    post = postings(docs, inner, id_col)
-    rare = inner.join(post.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token").groupBy("item_id").agg(F.min_by("token", F.struct("df", "token")).alias("token"))
-    candidates = rare.join(post, "token").select("item_id", "doc_id").join(cut.select("item_id", "passage"), "item_id")
-    return candidates.join(docs.select(F.col(id_col).alias("doc_id"), "text"), "doc_id").where(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
+    found = literal_matches(docs, passages, id_col, "text", passage_id, "text")
+    return found.select(F.col("pattern_id").alias("item_id"), "doc_id")
 
 
 def retrieval_shift(left: Column, right: Column) -> Column:

@@ -47,10 +47,11 @@ def has_any(text: Column, terms: tuple[str, ...]) -> Column:
     return found
 
 
-def route(query: Column, agentic: bool = True, min_tokens: int = 8, rewrite_ready: Column | None = None, memory_ready: Column | None = None, inject: bool = True, agentic_first: bool = True) -> Column:
+def route(query: Column, agentic: bool = False, min_tokens: int = 8, rewrite_ready: Column | None = None, memory_ready: Column | None = None, inject: bool = True, agentic_first: bool = True) -> Column:
     """Struct ``(strategy, reason)``: raw, agentic, anchor-aware or selective rewrite.
 
-    ``agentic_first=False`` is the other published order, which asks for anchors before agentic signals.
+    Agentic planning is off unless asked for. ``agentic_first=False`` is the other published order, which
+    asks for anchors before agentic signals.
     """
     ready = F.lit(True) if rewrite_ready is None else rewrite_ready
     memory = F.lit(True) if memory_ready is None else memory_ready

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import anchors
+from millrace.functions import phrases as P
 from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import memory
@@ -49,13 +50,34 @@ def prompt_context(spark, sf_dir):
     return top.join(docs, "doc_id").select("query_id", "rank", "excerpt", "product")
 
 
-@query("heuristic_rewrites", f"""WITH s AS (SELECT item_id, {SQL_SENTENCES.format("text")} AS s FROM benchmark)
-SELECT item_id, label, candidate FROM (SELECT item_id, 'first_sentence' AS label, s[1] AS candidate FROM s UNION ALL SELECT item_id, 'last_sentence', s[len(s)] FROM s UNION ALL SELECT item_id, 'reference_style', s[1] || ' (reference, usage)' FROM s)""")
+SQL_CONTEXT = """c AS (SELECT conv_id, turn, coalesce(text, '') AS raw, trim(coalesce(CASE WHEN turn % 2 = 0 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END, '')) AS p, CASE WHEN turn % 3 = 0 THEN role ELSE '' END AS e, CASE WHEN turn % 2 = 1 THEN 'memory of ' || role END AS m FROM conversations)"""
+
+
+def _context(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turn = F.col("turn")
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce("text", F.lit("")).alias("raw"), F.when(turn % 2 == 0, before).alias("p"), F.when(turn % 3 == 0, F.col("role")).otherwise("").alias("e"), F.when(turn % 2 == 1, F.concat(F.lit("memory of "), "role")).alias("m"))
+
+
+@query("template_rewrites", f"""WITH {SQL_CONTEXT} SELECT conv_id, turn, 'explicit_standalone' AS label, CASE WHEN p <> '' OR e <> '' THEN trim(p || ' 이후 맥락에서 ' || raw || '를 독립 질문으로 재작성해 주세요. ' || e) ELSE raw || '를 스프링 기술 문서 기준으로 독립 질문 형태로 상세히 설명해 주세요.' END AS query FROM c
+UNION ALL SELECT conv_id, turn, 'memory_anchored', raw || ' 관련하여 ' || coalesce(m, raw) FROM c UNION ALL SELECT conv_id, turn, 'task_or_error_focused', raw || '가 실패하거나 오류가 날 때 점검 순서를 알려주세요.' FROM c""")
+def template_rewrites(spark, sf_dir):
+    made = P.template_rewrites(F.col("raw"), F.col("m"), F.col("p"), F.col("e"))
+    return _context(spark, sf_dir).select("conv_id", "turn", F.inline(made))
+
+
+@query("heuristic_rewrites", f"""WITH {SQL_CONTEXT}, s AS (SELECT *, coalesce(nullif(trim(concat_ws(' ', nullif(p, ''), nullif(raw, ''), nullif(e, ''))), ''), raw) AS s FROM c), g AS (SELECT *, s || CASE WHEN turn % 4 = 1 THEN '  ' ELSE ' ' || m END AS g FROM s)
+SELECT conv_id, turn, 'standalone' AS label, s AS query, 0 AS source_memory_index, 'low' AS intent_risk FROM g UNION ALL SELECT conv_id, turn, 'expanded', g, greatest(1, turn % 3)::INT, 'medium' FROM g
+WHERE g IS NOT NULL AND trim(regexp_replace(g, '\\s+', ' ', 'g')) <> '' AND lower(trim(regexp_replace(g, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(s, '\\s+', ' ', 'g')))""")
 def heuristic_rewrites(spark, sf_dir):
-    cut = table(spark, sf_dir, "benchmark").select("item_id", T.sentences(F.col("text")).alias("s"))
-    first, last = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(-1))
-    rows = F.array(*(F.struct(F.lit(k).alias("label"), v.alias("candidate")) for k, v in (("first_sentence", first), ("last_sentence", last), ("reference_style", F.concat(first, F.lit(" (reference, usage)"))))))
-    return cut.select("item_id", F.inline(rows))
+    """Rewrites without a model: the query in its session, and the same with a hint of its best memory."""
+    alone = P.standalone_text(F.col("raw"), F.col("p"), F.col("e"))
+    hinted = F.when(F.col("m").isNotNull(), F.concat(alone, F.when(F.col("turn") % 4 == 1, "  ").otherwise(F.concat(F.lit(" "), "m"))))
+    made = P.standalone_rewrites(F.col("raw"), hinted, F.col("turn") % 3, F.col("p"), F.col("e"))
+    return _context(spark, sf_dir).select("conv_id", "turn", F.inline(made))
 
 
 @query("alias_normal_forms", r"""SELECT DISTINCT p_name AS alias, p_type AS kind, CASE WHEN p_type = 'ECONOMY' THEN '@' || lower(replace(p_name, ' ', '_')) ELSE lower(replace(p_name, ' ', ' ')) END AS normal FROM part""")

@@ -43,9 +43,13 @@ def family_split(spark, sf_dir):
     return dataset.split_families(pages)
 
 
-@query("query_categories", "SELECT CASE WHEN regexp_matches(lower(text), 'error|exception|fail') THEN 'troubleshooting' WHEN regexp_matches(lower(text), 'how|configure|setting') THEN 'how_to' WHEN length(text) <= 40 THEN 'short' ELSE 'general' END AS category, count(*)::BIGINT AS n FROM conversations GROUP BY 1")
+@query("query_categories", """WITH q AS (SELECT CASE conv_id % 5 WHEN 0 THEN 'short_user' WHEN 1 THEN 'follow_up' ELSE 'definition' END AS t, coalesce(text, '') || CASE WHEN turn = 1 THEN ' FAILED' ELSE '' END AS text FROM conversations)
+SELECT CASE WHEN t IN ('short_user', 'code_mixed', 'follow_up') THEN t WHEN regexp_matches(lower(text), '오류|에러|exception|failed|fail') THEN 'troubleshooting' ELSE 'general_ko' END AS category, count(*)::BIGINT AS n FROM q GROUP BY 1""")
 def query_categories(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy(dataset.category(F.col("text")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+    turns = table(spark, sf_dir, "conversations")
+    kind = F.when(F.col("conv_id") % 5 == 0, "short_user").when(F.col("conv_id") % 5 == 1, "follow_up").otherwise("definition")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") == 1, " FAILED").otherwise(""))
+    return turns.groupBy(dataset.category(kind, text).alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("category_summary", "SELECT o_orderpriority AS mode, o_orderstatus AS category, count(*)::BIGINT AS n, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY ALL")
@@ -110,7 +114,7 @@ def remap_anchors(spark, sf_dir):
         suppliers.select(F.col("s_suppkey").alias("term_id"), (F.col("s_acctbal") > 0).alias("active")))
 
 
-@query("memory_snapshot", f"""WITH {SQL_DECIDED} SELECT b.item_id AS query_id, left(d.text, 700) AS preview, round(de.utility, 9) AS utility FROM de JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = b.item_id
+@query("memory_snapshot", f"""WITH RECURSIVE {SQL_DECIDED} SELECT b.item_id AS query_id, left(d.text, 700) AS preview, round(de.utility, 9) AS utility FROM de JOIN benchmark b USING (item_id) JOIN documents d ON d.doc_id = b.item_id
 WHERE coalesce(rule_ok, TRUE) AND coalesce(p2, TRUE) AND coalesce(p3, TRUE)""")
 def memory_snapshot(spark, sf_dir):
     bench, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import phrases as P
 from millrace.functions import text as T
 from millrace.operators import relational, retrieve
 from millrace.plans.registry import query
@@ -59,12 +60,22 @@ def ascii_stripped(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.without_ascii_anchors(F.col("text")).alias("rest"))
 
 
+SQL_SHORT_TEXT = "CASE item_id % 3 WHEN 0 THEN 'Using JdbcTemplate.query with spring.datasource.url and HTTP2Client, ' || text WHEN 1 THEN 'The custom Type of ABCD ' || text ELSE text END"
+
+
 @query("compressed_queries", f"""
-WITH t AS (SELECT item_id, list_distinct_ordered AS ts FROM (SELECT item_id, list_filter(x, lambda v, i: list_position(x, v) = i) AS list_distinct_ordered FROM (SELECT item_id, list_filter({SQL_TOKENS.format("text")}, lambda t: length(t) >= 3) AS x FROM benchmark))),
-e AS (SELECT item_id, unnest(ts) AS token, unnest(range(len(ts))) AS i FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(token) DESC, i) AS k FROM e)
-SELECT item_id, string_agg(token, ' ' ORDER BY i) AS short FROM k WHERE k <= 4 GROUP BY item_id""")
+WITH q AS (SELECT item_id, trim(regexp_replace({SQL_SHORT_TEXT}, '\\s+', ' ', 'g')) AS text, {SQL_SHORT_TEXT} AS raw FROM benchmark),
+t AS (SELECT item_id, text, list_filter(list_transform(regexp_extract_all(raw, '@[A-Za-z][A-Za-z0-9_]+|[A-Za-z][A-Za-z0-9_.:/+-]{{2,}}'), lambda x: trim(x, '.,;:!?()[]{{}}<>"''`')), lambda x: length(x) >= 3 AND lower(x) NOT IN {P.GENERIC_TERMS_EN}
+  AND (starts_with(x, '@') OR regexp_matches(x, '[._/:-]') OR regexp_matches(x, '[0-9]') OR (regexp_matches(x, '[A-Za-z]') AND NOT regexp_matches(x, '\\p{{Ll}}') AND length(x) >= 4) OR (regexp_matches(substr(x, 2), '\\p{{Lu}}') AND regexp_matches(x, '\\p{{Ll}}')))) AS ts FROM q),
+d AS (SELECT item_id, text, list_slice(list_filter(ts, lambda x, i: list_position(list_transform(ts, lambda y: lower(y)), lower(x)) = i), 1, 8) AS ts FROM t),
+v AS (SELECT item_id, text, CASE WHEN len(ts) > 0 THEN list_filter([ts[1] || ' how?', CASE WHEN len(ts) > 1 THEN ts[1] || ' ' || ts[2] || ' how?' END, CASE WHEN len(ts) > 2 THEN ts[1] || ' ' || ts[2] || ' ' || ts[3] || '?' END], lambda x: length(x) BETWEEN 3 AND 72)
+  ELSE list_filter([rtrim(array_to_string(list_slice(string_split(text, ' '), 1, 3), ' '), '?.!') || '?'], lambda x: length(x) BETWEEN 3 AND 72) END AS vs FROM d)
+SELECT item_id, coalesce(vs[1], rtrim(substr(text, 1, 64)) || '?') AS short, len(vs)::INT AS variants FROM v""")
 def compressed_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", T.compressed_query(F.col("text")).alias("short"))
+    k = F.col("item_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("Using JdbcTemplate.query with spring.datasource.url and HTTP2Client, "), "text")).when(k == 1, F.concat(F.lit("The custom Type of ABCD "), "text")).otherwise(F.col("text"))
+    made = P.short_query_variants(text, F.array().cast("array<string>"), F.lit("procedure"), "en")
+    return table(spark, sf_dir, "benchmark").select("item_id", made.alias("v")).select("item_id", F.get("v", F.lit(0)).alias("short"), (F.size("v") - 1).alias("variants"))
 
 
 @query("markdown_segments")

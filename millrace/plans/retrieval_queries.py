@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import dense, evaluate, retrieve
+from millrace.operators import dense, evaluate, retrieve, search
 from millrace.plans.registry import query
 from millrace.plans.text_queries import SQL_TOKENS
 from millrace.sources.tables import table
@@ -71,16 +71,43 @@ def hash_embedding_cosine(spark, sf_dir):
     return vec.join(after, ["conv_id", "turn", "slot"]).groupBy("conv_id", "turn").agg(F.round(F.sum(F.col("value") * F.col("next")), 9).alias("cosine"))
 
 
-@query("hybrid_top10", f"""
-WITH {SQL_BM25}, {SQL_TECH_SETS}, {SQL_HASH.format('d', 'doc_id', SQL_TOKENS.format('text'), 'documents')}, {SQL_HASH.format('q', 'item_id', SQL_TOKENS.format('text'), 'benchmark')},
-p AS (SELECT query_id, doc_id, bm25 FROM r WHERE rank <= 50),
-dn2 AS (SELECT p.query_id, p.doc_id, sum(dn.value * qn.value) AS dense FROM p JOIN qn ON qn.item_id = p.query_id JOIN dn ON dn.doc_id = p.doc_id AND dn.slot = qn.slot GROUP BY ALL),
-x AS (SELECT p.query_id, p.doc_id, p.bm25, coalesce(dense, 0) AS dense, coalesce(len(list_intersect(q, d)) / nullif(sqrt(len(q) * len(d)), 0), 0) AS technical, max(bm25) OVER (PARTITION BY p.query_id) AS top
-  FROM p JOIN qs ON qs.item_id = p.query_id JOIN ds ON ds.doc_id = p.doc_id LEFT JOIN dn2 ON dn2.query_id = p.query_id AND dn2.doc_id = p.doc_id),
-f AS (SELECT query_id, doc_id, round(greatest(-1, least(1, 2 * (0.58 * greatest(0, least(1, (dense + 1) / 2)) + 0.34 * CASE WHEN top > 0 THEN greatest(0, bm25 / top) ELSE 0 END + 0.08 * technical) - 1)), 9) AS score FROM x),
-z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, score, rank::INT AS rank FROM z WHERE rank <= 10""")
+SQL_DENSE = f"""{SQL_BM25}, {SQL_TECH_SETS}, {SQL_HASH.format('d', 'doc_id', SQL_TOKENS.format('text'), 'documents')}, {SQL_HASH.format('q', 'item_id', SQL_TOKENS.format('text'), 'benchmark')},
+dd AS (SELECT qn.item_id AS query_id, dn.doc_id, sum(dn.value * qn.value) AS dense FROM qn JOIN dn ON dn.slot = qn.slot GROUP BY ALL),
+x AS (SELECT qs.item_id AS query_id, ds.doc_id, coalesce(s.bm25, 0) AS bm25, coalesce(dense, 0) AS dense, coalesce(len(list_intersect(q, d)) / nullif(sqrt(len(q) * len(d)), 0), 0) AS technical
+  FROM qs CROSS JOIN ds LEFT JOIN s ON s.query_id = qs.item_id AND s.doc_id = ds.doc_id LEFT JOIN dd ON dd.query_id = qs.item_id AND dd.doc_id = ds.doc_id)"""
+SQL_FUSED = """round(greatest(-1, least(1, 2 * ({0} * greatest(0, least(1, (dense + 1) / 2)) + {1} * CASE WHEN top > 0 THEN greatest(0, bm25 / top) ELSE 0 END + {2} * technical) - 1)), 9)"""
+
+
+def _sql_hybrid(weights):
+    return f"""WITH {SQL_DENSE}, t AS (SELECT *, max(bm25) OVER (PARTITION BY query_id) AS top FROM x), f AS (SELECT query_id, doc_id, {SQL_FUSED.format(*weights)} AS score FROM t),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, score, rank::INT AS rank FROM z WHERE rank <= 10"""
+
+
+@query("hybrid_top10", _sql_hybrid((0.58, 0.34, 0.08)))
 def hybrid_top10(spark, sf_dir):
-    return retrieve.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return search.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir))
+
+
+@query("dense_only_top10", _sql_hybrid((1, 0, 0)))
+def dense_only_top10(spark, sf_dir):
+    return search.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir), mode="dense_only")
+
+
+@query("bm25_only_top10", _sql_hybrid((0, 1, 0)))
+def bm25_only_top10(spark, sf_dir):
+    return search.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir), mode="bm25_only")
+
+
+@query("pooled_hybrid_top10", f"""WITH {SQL_DENSE}, k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS r2, row_number() OVER (PARTITION BY query_id ORDER BY round(technical, 9) DESC, doc_id) AS r3 FROM x),
+po AS (SELECT query_id, doc_id, round(dense, 9) AS dense, round(technical, 9) AS technical FROM k1 WHERE r1 <= 20 OR (r2 <= 20 AND bm25 > 0) OR (r3 <= 20 AND technical > 0)),
+st2 AS (SELECT query_id, count(*) AS n, avg(dl.dl) AS avgdl FROM po JOIN dl USING (doc_id) GROUP BY query_id),
+h AS (SELECT po.query_id, po.doc_id, tf.token, tf.tf, dl.dl FROM po JOIN q ON q.item_id = po.query_id JOIN tf ON tf.doc_id = po.doc_id AND tf.token = q.token JOIN dl ON dl.doc_id = po.doc_id),
+f2 AS (SELECT query_id, token, count(*) AS df FROM h GROUP BY ALL),
+b2 AS (SELECT h.query_id, h.doc_id, round(sum(ln(1 + (st2.n - f2.df + 0.5) / (f2.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * h.dl / st2.avgdl))), 9) AS bm25 FROM h JOIN f2 USING (query_id, token) JOIN st2 USING (query_id) GROUP BY ALL),
+y AS (SELECT po.query_id, po.doc_id, dense, technical, coalesce(b2.bm25, 0) AS bm25, max(coalesce(b2.bm25, 0)) OVER (PARTITION BY po.query_id) AS top FROM po LEFT JOIN b2 ON b2.query_id = po.query_id AND b2.doc_id = po.doc_id),
+w AS (SELECT query_id, doc_id, {SQL_FUSED.format(0.58, 0.34, 0.08)} AS score FROM y), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w) SELECT query_id, doc_id, score, rank::INT AS rank FROM z WHERE rank <= 10""")
+def pooled_hybrid_top10(spark, sf_dir):
+    return search.pooled_hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 @query("dense_top10", """

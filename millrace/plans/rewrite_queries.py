@@ -35,7 +35,7 @@ SELECT o_orderkey, CASE WHEN tokens >= 8 AND len(signals) >= 2 THEN 'agentic_mul
   CASE WHEN tokens >= 8 AND len(signals) >= 2 THEN 'agentic_complex_query:' || array_to_string(signals, '_and_') WHEN n > 0 THEN 'anchor_injection_enabled_and_technical_anchor_detected' ELSE 'rewrite_backed_mode_ready' END AS reason FROM g""")
 def router_strategy(spark, sf_dir):
     asked = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ORDER_TEXT).alias("q"))
-    return asked.select("o_orderkey", rewrite.route(F.col("q")).alias("r")).select("o_orderkey", "r.*")
+    return asked.select("o_orderkey", rewrite.route(F.col("q"), agentic=True).alias("r")).select("o_orderkey", "r.*")
 
 
 @query("memory_rerank", f"""

@@ -95,23 +95,33 @@ def test_utility_ladder(spark):
     assert value([], 2, 3) == 0.55 and value([], 2, 5) == 0.4 and value([], 2, 6) == 0 and value([], 1, 1) == 0
 
 
-def test_greedy_diversity_against_plain_python(spark):
+@pytest.mark.parametrize("preset", ["full_gating", "ungated", "rule_only"])
+def test_sequential_gate_against_plain_python(spark, preset):
+    """Decisions one after the other: novelty over all accepted of the batch, diversity by chunk and document."""
     r = random.Random(3)
-    rows = [(i, r.randrange(3), r.randrange(2), i, [r.choice((0.0, 1.0, 1.1)) for _ in range(4)]) for i in range(60)]
-    df = spark.createDataFrame(rows, "id long, target_doc_id int, chunk_id int, seq long, embedding array<double>")
-    got = {x["id"]: (x["diversity_ok"], round(x["novelty"], 9)) for x in gate.greedy_diversity(df).collect()}
+    rows = [(r.choice([None, 1, 2]), i, i, r.randrange(4), r.randrange(2), [r.choice((0.0, 1.0, 1.1, -1.0)) for _ in range(4)], r.random() < 0.9, r.choice([True, True, False, None]), r.random(), r.choice([0.5, 0.8, 1.0])) for i in range(150)]
+    schema = "batch int, seq long, id long, chunk_id int, doc_id int, embedding array<double>, rule_ok boolean, llm_ok boolean, llm_avg double, utility double"
+    config = gate.GateConfig(preset=preset)
+    got = {x["id"]: (x["diversity_ok"], x["novelty"] if x["novelty"] is None else round(x["novelty"], 9)) for x in gate.sequential_gate(spark.createDataFrame(rows, schema).repartition(5), config).collect()}
 
     def cos(a, b):
         na, nb = math.hypot(*a), math.hypot(*b)
         return sum(x * y for x, y in zip(a, b, strict=True)) / na / nb if na and nb else 0.0
 
     kept = []
-    for i, doc, c, _, v in rows:
-        near = [(cos(v, w), c2) for d2, c2, w in kept if d2 == doc]
-        ok = max([s for s, c2 in near if c2 == c], default=0.0) <= 0.93 and max([s for s, _ in near], default=0.0) <= 0.96
-        assert got[i] == (ok, round(max(0.0, 1 - max([s for s, _ in near], default=0.0)), 9))
-        if ok:
-            kept.append((doc, c, v))
+    for batch, _, i, chunk_, doc, v, rule, llm, avg, useful in rows:
+        near = [(cos(v, w), c, d) for b, c, d, w in kept if b == batch]
+        llm = llm if rule else None
+        runs = rule and llm is not False and useful >= 0.7
+        good = novelty = final = None
+        if runs:
+            novelty = max(0.0, 1 - max([s for s, _, _ in near] or [0.0]))
+            good = max([s for s, c, _ in near if c == chunk_] or [0.0]) <= 0.93 and max([s for s, _, d in near if d == doc] or [0.0]) <= 0.96
+            final = good and 0.5 * useful + 0.35 * avg + 0.15 * novelty >= 0.75
+        assert got[i] == (good, novelty if novelty is None else round(novelty, 9))
+        passed = {"ungated": True, "rule_only": rule, "full_gating": bool(final)}[preset]
+        if passed:
+            kept.append((batch, chunk_, doc, v))
 
 
 def test_chunk_budgets():
@@ -173,8 +183,9 @@ def test_mmr_prefers_the_different(spark):
 
 def test_router_order(spark):
     text = F.lit("compare FooService and BarClient error cause in the deployment environment now")
-    assert one(spark, rewrite.route(text))["strategy"] == "agentic_multi_query"
-    assert one(spark, rewrite.route(text, agentic_first=False))["strategy"] == "anchor_aware_rewrite"
+    assert one(spark, rewrite.route(text, agentic=True))["strategy"] == "agentic_multi_query"
+    assert one(spark, rewrite.route(text))["strategy"] == "anchor_aware_rewrite"
+    assert one(spark, rewrite.route(text, agentic=True, agentic_first=False))["strategy"] == "anchor_aware_rewrite"
     assert one(spark, rewrite.route(F.lit("FooService BarClient setup"), inject=False))["reason"] == "specific_technical_query"
     assert one(spark, rewrite.route(F.lit("어떻게 하나요")))["strategy"] == "selective_rewrite"
     assert one(spark, rewrite.route(text, rewrite_ready=F.lit(False)))["reason"] == "rewrite_readiness_failed"
