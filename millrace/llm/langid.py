@@ -13,14 +13,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.llm.common import map_rows
+from millrace.llm.common import durable, map_rows
 
 UNKNOWN = "und"
 #: Length of a profile.
 PLACES = 400
-#: Bounds of what is learned from: documents of each language, and languages (the most frequent).
-PER_LANGUAGE, MAX_LANGUAGES = 400, 100
+#: Bound of what is learned from: documents of each language. Languages up to which their rates are broadcast.
+PER_LANGUAGE, LANGUAGES = 400, 10_000
 BLOCK = 1 << 20
 
 _LETTER: np.ndarray | None = None
@@ -106,25 +107,42 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, places: int = PLACES) -> Profiles:
-    """Profiles from about ``per_language`` documents of each of the ``max_languages`` most frequent languages.
+def learn_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, places: int = PLACES) -> Profiles:
+    """Profiles from about ``per_language`` documents of each language, however many languages there are.
 
-    Documents are drawn by the hash of their id at a rate set from the counts of all rows, so a draw
-    covers the whole table and what reaches the driver is bounded by the two parameters.
+    Documents are drawn by the hash of id and text at a rate set from the counts of all rows, so a draw
+    covers the whole table. Executors count the n-grams of whole texts, merged by batch and then by
+    language; the driver gets the ``places`` most frequent of each language.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rates = rows.groupBy(F.col(lang_col).alias("_l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_l").limit(max_languages).select("_l", (F.lit(float(per_language)) / F.col("n")).alias("rate"))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = rows.join(F.broadcast(rates), rows[lang_col] == F.col("_l")).where(draw < F.col("rate")).select("_l", F.col(text_col).alias("_t")).limit(2 * per_language * max_languages)
-    gathered: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for row in drawn.toLocalIterator():
-        gathered.setdefault(row["_l"], []).append(ngram_counts(row["_t"]))
-    lists = {}
-    for name, parts in gathered.items():
-        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        if len(keys):
-            lists[name] = top_places(keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64), places)
-    return Profiles(lists, places)
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_l"), F.col(text_col).alias("_t"), F.col(id_col).alias("_i"))
+    rates = durable(rows.groupBy("_l").agg((F.lit(float(per_language)) / F.count(F.lit(1))).alias("rate")))
+    few = rates.limit(LANGUAGES + 1).count() <= LANGUAGES
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "_i", "_t"), F.lit(1 << 40)) / float(1 << 40)
+    drawn = rows.join(F.broadcast(rates) if few else rates, "_l").where(draw < F.col("rate"))
+
+    def make():
+        def work(lang, text):
+            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for name, t in zip(lang.to_pylist(), text.to_pylist(), strict=True):
+                parts.setdefault(name, []).append(ngram_counts(t))
+            merged = {name: merged_counts(p) for name, p in parts.items()}
+            return [list(merged), [k.view(np.int64) for k, _ in merged.values()], [n for _, n in merged.values()]]
+
+        return work
+
+    counted = map_rows(drawn, "l string, k array<bigint>, n array<bigint>", make, ["_l", "_t"])
+    flat = counted.select("l", F.inline(F.arrays_zip("k", "n"))).groupBy("l", "k").agg(F.sum("n").alias("n"))
+    top = flat.withColumn("place", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "k"))).where(F.col("place") <= places)
+    lists: dict[str, list[tuple[int, int]]] = {}
+    for r in top.select("l", "place", "k").toLocalIterator():
+        lists.setdefault(r["l"], []).append((r["place"], r["k"]))
+    return Profiles({name: np.array([k for _, k in sorted(found)], np.int64).view(np.uint64) for name, found in lists.items()}, places)
+
+
+def merged_counts(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys of several counts with their sums."""
+    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
