@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import whole_row
+from millrace.llm.common import durable, whole_row
 
 REST = "*"
 PART = 32
@@ -46,7 +46,7 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float], epochs: float =
         raise ValueError(f"more than {MAX_SOURCES} weighted sources")
     if any(not math.isfinite(w) or w < 0 for w in weights.values()) or not sum(weights.values()) > 0:
         raise ValueError("weights are finite, not negative and not all 0")
-    counts = docs.groupBy(source_group(source_col, weights).alias("_m_group")).agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(docs.groupBy(source_group(source_col, weights).alias("_m_group")).agg(F.count(F.lit(1)).alias("n")))  # read once, used for each source and for all
     wanted = F.create_map(*(x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))))
     weighed = counts.select("_m_group", "n", F.coalesce(F.try_element_at(wanted, F.col("_m_group")), F.lit(0.0)).alias("w"))
     total = weighed.agg(F.sum("w").alias("all_w"), F.sum("n").alias("all_n"))
@@ -78,12 +78,13 @@ def mix(docs: DataFrame, weights: dict[str, float], epochs: float = 1.0, seed: i
     ``copy_col`` adds the number of the copy, from 1. A null source belongs to the rest group; a
     null id draws like an empty id; rows repeated under one id draw alike; an empty table gives an
     empty one; texts are carried as they are, null or long. Columns may have any names. A document
-    goes to a partition by the hash of its id and copy, so sources, however large, are spread evenly.
+    goes to a partition by the hash of id, copy and content, so sources, however large, are spread evenly.
     """
     rates = repetition_rates(docs, weights, epochs, source_col)
     rows = docs.select(whole_row(docs).alias("_m_row"), F.col(id_col).alias("_m_id"), source_group(source_col, weights).alias("_m_group"))
     drawn = rows.join(F.broadcast(rates.select("_m_group", "parts", "cdf")), "_m_group").select("_m_row", "_m_id", poisson_copies(seed, F.col("_m_id")).alias("_m_n"))
+    content = [F.col("_m_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]  # rows without an id, or of one id, are spread too
     copies = drawn.where("_m_n > 0").select("_m_row", F.explode(F.sequence(F.lit(1), F.col("_m_n"))).alias("_m_copy"), "_m_id")
-    keyed = copies.select("_m_row", "_m_copy", F.xxhash64(F.lit(seed), F.col("_m_id"), F.col("_m_copy")).alias("_m_key"))
+    keyed = copies.select("_m_row", "_m_copy", F.xxhash64(F.lit(seed), F.col("_m_id"), F.col("_m_copy"), *content).alias("_m_key"))
     shuffled = keyed.repartition("_m_key").sortWithinPartitions("_m_key")
     return shuffled.select("_m_row.*", *([F.col("_m_copy").alias(copy_col)] if copy_col else []))
