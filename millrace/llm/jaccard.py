@@ -1,13 +1,22 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles (a prefix-filtered join).
-
-Shingles are XXH64 (seed 42) of runs of ``width`` words. Texts of equal shingle sets are one node.
-Two sets of similarity ``least`` or more share ``MANY`` of their first ``n - ceil(least * n) + MANY``
-shingles in any fixed order of all shingles (smaller sets all they must), so only those are shuffled. Shingles that are frequent in
-a sample go last; the sample decides the work, never the result.
-
-Nodes that share so many are candidates. Of a large group each is first checked against a few
-others and its neighbour in size; then every pair that the links found so far do not connect is.
-So a large group of copies costs a few checks a node, and no link between two groups is missed.
+"""Near-duplicate texts at a similarity of word shingles (Jaccard, 0.8 or more), searched by SimHash.
+
+Shingles are XXH64 (seed 42) of runs of ``width`` words. Texts of equal shingle sets are one node. A node
+has a SimHash of 128 bits over its shingles (XXH64 and a mix of it) and lies below several upper nodes:
+
+* two sets of similarity ``least`` or more share one of their first ``n - ceil(least * n) + 1`` shingles
+  in any fixed order of all shingles, so each of these is an upper node. Shingles that are frequent in
+  a sample go last; the sample decides the work, never the result.
+* below an upper node the fingerprints are sorted by Gray rank and joined from the top of the hierarchy
+  (:class:`millrace.llm.simhash.GrayIndex`); whole groups are pruned by their accumulated differences.
+  ``RADIUS`` lies more than 5.5 standard deviations above what similarity 0.8 makes, so fewer than one
+  pair in ten million at the threshold itself is lost; sets of less than ``SMALL_SET`` shingles, whose
+  bits are not so regular, are not pruned.
+
+What the search returns of an upper node is a spanning forest of its candidates, never the pairs. Its
+components get the shingle sets of their members, each once, and all pairs of a component are
+counted exactly by products of incidence blocks; only a forest of the links leaves the task. Components
+larger than a block are first checked block by block with some common leaders; what that leaves
+apart is searched again and checked in pairs of blocks, so that a large group costs a few checks a node.
 """
 
 from __future__ import annotations
@@ -20,23 +29,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, durable, map_rows
+from millrace.llm.common import components, durable, least_roots, map_rows, starts_of, tidied, whole_groups
+from millrace.llm.simhash import GrayIndex
 
 WIDTH, LEAST = 5, 0.8
+#: Differing bits of 128 up to which sets of ``SMALL_SET`` shingles or more are candidates.
+RADIUS, SMALL_SET = 42, 32
 #: Rows of the sample for the order of shingles, the count there from which one is frequent, and the frequent ones kept.
 SAMPLE, OFTEN, FREQUENT = 8192, 6, 100_000
-#: Shingles of their prefixes that two sets must share.
-MANY = 4
-#: Shingles of a block of sets compared with another, and the nodes up to which the wanted ones are broadcast.
-BLOCK, FEW = 1 << 19, 500_000
-#: Pairs of one shingle looked at together.
-LOT = 1 << 20
-#: Groups of so many nodes are checked in full at once; in larger ones each node is first checked against so many others.
-SMALL, LEADERS = 16, 8
+#: Upper nodes of so few members are compared pair by pair; in others each member is first compared with so many leaders.
+PLAIN, LEADERS = 8, 4
+#: Nodes and shingles of a block of one task, and the nodes that lead each block of a larger component.
+BLOCK, BLOCK_SHINGLES, COMMON = 1024, 1 << 22, 32
+#: Nodes of which an upper node has more are dealt out to pairs of parts.
+PART = 1 << 15
+#: Nodes up to which the wanted ones are broadcast.
+FEW = 500_000
+#: A shingle in more sets of a task than this is counted by a matrix product.
+RARE = 6
 EPS = 1e-9
 
 
-def shingle_set(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
+def shingles(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
     """Sorted distinct shingles of a UTF-8 text; a shorter text is one shingle, an empty one has none."""
     from itertools import repeat
 
@@ -47,179 +61,230 @@ def shingle_set(text: bytes, width: int = WIDTH, seed: int = 42) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < width:
         return np.array([xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
-    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(seed)), np.uint64, len(words) - width + 1))
+    runs = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, runs, repeat(seed)), np.uint64, len(words) - width + 1))
+
 
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """128 bits as two unsigned words: a bit is 1 if set in over half of the shingles."""
+    mixed = (found ^ found >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    out = []
+    for h in (found, mixed ^ mixed >> np.uint64(32)):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 14):
+            part = h[at : at + (1 << 14)]
+            ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+    return np.array(out, np.uint64)
 
-def _node(shingles: np.ndarray) -> int:
+
+def node_of(found: np.ndarray) -> int:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(shingles.tobytes(), 42) if len(shingles) else 0
+    return xxh64_intdigest(found.tobytes(), 42) if len(found) else 0
 
 
 def nodes(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, least: float = LEAST, frequent: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """``(id, fp, n, first)``: hash and size of the shingle set, and (with ``frequent``) its prefix."""
+    """``(id, fp, n, s0, s1, first)``: hash and size of the shingle set, its fingerprint, and (with ``frequent``) its upper nodes."""
 
     def make():
         def work(row_id, text):
-            fp, sizes, first = [], [], []
+            fp, sizes, prints, first = [], [], [], []
             for t in text.cast(pa.binary()).to_pylist():
-                s = shingle_set(t or b"", width)
-                fp.append(_node(s))
+                s = shingles(t or b"", width)
+                fp.append(node_of(s))
                 sizes.append(len(s))
                 if frequent is None:
+                    prints.append(np.zeros(2, np.uint64))
                     first.append(None)
                     continue
+                prints.append(fingerprint(s))
                 if len(frequent[0]) and len(s):
                     at = np.minimum(np.searchsorted(frequent[0], s), len(frequent[0]) - 1)
                     s = s[np.argsort(np.where(frequent[0][at] == s, frequent[1][at], 0), kind="stable")]
-                first.append(s[: len(s) - math.ceil(least * len(s) - EPS) + MANY].view(np.int64))
-            return [row_id, np.array(fp, np.uint64).view(np.int64), sizes, first]
+                first.append(s[: len(s) - math.ceil(least * len(s) - EPS) + 1].view(np.int64))
+            sims = np.array(prints, np.uint64).reshape(len(fp), 2).view(np.int64)
+            return [row_id, np.array(fp, np.uint64).view(np.int64), sizes, np.ascontiguousarray(sims[:, 0]), np.ascontiguousarray(sims[:, 1]), first]
 
         return work
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(docs, f"`{id_col}` {kind}, fp bigint, n int, first array<bigint>", make, [id_col, text_col])
-
-
-def shingle_arrays(texts: DataFrame, key: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """``(key, set array<long>)`` of every row."""
-
-    def make():
-        return lambda row_id, text: [row_id, [shingle_set(t or b"", width).view(np.int64) for t in text.cast(pa.binary()).to_pylist()]]
-
-    return map_rows(texts, f"`{key}` bigint, set array<bigint>", make, [key, text_col])
+    return map_rows(docs, f"`{id_col}` {kind}, fp bigint, n int, s0 bigint, s1 bigint, first array<bigint>", make, [id_col, text_col])
 
 
 def frequent_shingles(docs: DataFrame, text_col: str, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that many texts of a sample share, and their counts (at most ``FREQUENT``)."""
     every = max(1, docs.count() // SAMPLE)
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(F.xxhash64(text_col).alias("key"), text_col).dropDuplicates(["key"])
-    counted = shingle_arrays(some, "key", text_col, width).select(F.explode("set").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    make = lambda: lambda text: [[shingles(t or b"", width).view(np.int64) for t in text.cast(pa.binary()).to_pylist()]]
+    counted = map_rows(some, "found array<bigint>", make, [text_col]).select(F.explode("found").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
     found = counted.where(F.col("c") >= OFTEN).orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
     h, c = np.array([r["h"] for r in found], np.int64).view(np.uint64), np.array([r["c"] for r in found], np.int64)
     order = np.argsort(h)
     return h[order], c[order]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Lots of whole groups, from batches sorted by their first column."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
-        inside = np.flatnonzero(columns[0] != columns[0][-1])
-        whole = inside[-1] + 1 if len(inside) else 0
-        if not whole and held and held[-1][0][-1] == columns[0][-1]:
-            held.append(columns)
-            continue
-        done = [*held, [c[:whole] for c in columns]]
-        held = [[c[whole:] for c in columns]]
-        yield [np.concatenate(c) for c in zip(*done, strict=True)]
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows ``(h, node, n)`` of the shingles that two or more nodes have, each once."""
+    """``(h, node, m)``: the ``m`` members of each upper node that has two or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, node, n in _groups(batches):
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])[: len(h)]
-            h, node, n = h[new], node[new], n[new]
-            same = np.concatenate([[False], h[1:] == h[:-1], [False]])
-            many = (same[:-1] | same[1:])[: len(h)]
-            yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(node[many]), pa.array(n[many])], names=["h", "node", "n"])
+        for table in whole_groups(batches):
+            h, node = (table.column(i).to_numpy() for i in range(2))
+            cut = starts_of(h)
+            m = np.repeat(np.diff(cut), np.diff(cut)).astype(np.int32)
+            many = m > 1
+            yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(node[many]), pa.array(m[many])], names=["h", "node", "m"])
+
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(tidied(run), "h bigint, node bigint, m int")
+
 
-    return rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(run, "h bigint, node bigint, n int")
+def _near(sim: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether the pairs of places can have the similarity, by size and fingerprint."""
+    low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+    apart = np.bitwise_count(sim[x] ^ sim[y]).sum(axis=1, dtype=np.int64)
+    return (low >= least * high - EPS) & ((apart <= RADIUS) | (low < SMALL_SET))
 
 
-def _near_in_size(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    return np.minimum(x, y) >= least * np.maximum(x, y) - EPS
+def candidate_roots(sim: np.ndarray, n: np.ndarray, component: np.ndarray, least: float) -> np.ndarray:
+    """For each member of an upper node the least place that candidates of different components reach."""
+    size = len(n)
+    every = np.arange(size)
 
+    def tried() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(min(LEADERS, size)):  # spread over the Gray order
+            yield every, np.full(size, order[k * size // LEADERS])
+        yield order[1:], order[:-1]
 
-def _tries(node: np.ndarray, n: np.ndarray, component: np.ndarray, whole: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of one group to check: all that are unconnected, or (of a large group) some for each node."""
-    if whole or len(node) <= SMALL:
-        step = max(1, LOT // len(node))
-        for k in range(0, len(node), step):
-            mine = slice(k, k + step)
-            x, y = np.nonzero((node[mine, None] < node) & (component[mine, None] != component) & _near_in_size(n[mine, None], n, least))
-            yield k + x, y
-        return
-    order, every = np.lexsort((node, n)), np.arange(len(node))
-    yield order[1:], order[:-1]  # the neighbour in size: a node that is near no neighbour is near none
-    for r in range(LEADERS):
-        mixed = (node.view(np.uint64) ^ np.uint64(r * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        yield every, np.full(len(node), np.argmin(mixed ^ mixed >> np.uint64(31)))
+    def real(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, y in pairs:
+            ok = component[x] != component[y]
+            x, y = x[ok], y[ok]
+            ok = _near(sim, n, x, y, least)
+            yield x[ok], y[ok]
 
+    index = GrayIndex(sim)
+    order = index.order
+    root = least_roots(size, real(tried()))
+    if (root == root[0]).all():
+        return root
+    small = np.flatnonzero(n < SMALL_SET)
+    beside = ((np.repeat(small[k : k + 64], size), np.tile(every, len(small[k : k + 64]))) for k in range(0, len(small), 64))
+    return least_roots(size, real(pair for pairs in (index.links(RADIUS, root), beside) for pair in pairs), root)
 
-def _candidates(rows: DataFrame, whole: bool, least: float) -> DataFrame:
-    """Distinct pairs ``(a, b)``, a < b, from ``rows(h, node, n, component)``: nodes that share enough shingles, are near in size and have different components."""
+
+def candidates(rows: DataFrame, least: float) -> DataFrame:
+    """Forest edges ``(a, b)`` of the candidates below each upper node, from ``rows(h, node, m, n, s0, s1, component)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal size
-            h = np.repeat(np.array([m[0] for m in made]), [len(m[1]) for m in made])
-            a, b, need = (np.concatenate([m[i] for m in made]) for i in (1, 2, 3))
-            made.clear()
-            size = 0
-            # the pair of a shingle once, whichever way it was tried
-            order = np.lexsort((h, b, a))
-            h, a, b, need = h[order], a[order], b[order], need[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            h, a, b, need = h[new], a[new], b[new], need[new]
-            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            counts = np.diff(np.append(at, len(a))).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(counts), pa.array(need[at])], names=["a", "b", "c", "need"])
-
-        for h, node, n, component in _groups(batches):
-            n = n.astype(float)
-            cut = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+        for table in whole_groups(batches, 3):
+            h, low, high, node, n, s0, s1, component = (table.column(i).to_numpy() for i in range(8))
+            sim = np.stack([s0.view(np.uint64), s1.view(np.uint64)], axis=1)
+            cut = starts_of(h, low, high)
+            sizes = np.diff(cut)
+            a, b = [], []
+            for size in range(2, PLAIN + 1):
+                own = cut[:-1][sizes == size]
+                for i in range(size):
+                    for j in range(i + 1, size):
+                        x, y = own + i, own + j
+                        ok = component[x] != component[y]
+                        x, y = x[ok], y[ok]
+                        ok = _near(sim, n, x, y, least)
+                        a.append(node[x[ok]])
+                        b.append(node[y[ok]])
+            for s, e in zip(cut[:-1][sizes > PLAIN], cut[1:][sizes > PLAIN], strict=True):
+                if (component[s:e] != component[s]).any():
+                    root = candidate_roots(sim[s:e], n[s:e], component[s:e], least)
+                    moved = root != np.arange(e - s)
+                    a.append(node[s:e][moved])
+                    b.append(node[s:e][root[moved]])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    parts = F.ceil(F.col("m") / PART).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = rows.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("h", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "n", "s0", "s1", "component")
+    return dealt.repartition("h", "low", "high").sortWithinPartitions("h", "low", "high").mapInArrow(tidied(run), "a bigint, b bigint")
+
+
+def linked_roots(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each shingle set the least place reachable by pairs of the similarity, all pairs counted exactly."""
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, count = owner[order], count
+    begin = np.cumsum(count) - count
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for c in range(2, RARE + 1):  # rare shingles pair by pair
+        at = begin[count == c]
+        for i in range(c):
+            for j in range(i + 1, c):
+                np.add.at(both, (owner[at + i], owner[at + j]), 1)
+    both += both.T
+    often = np.flatnonzero(count > RARE)
+    for k in range(0, len(often), 4096):
+        part = often[k : k + 4096]
+        block = np.zeros((len(sets), len(part)), np.float32)
+        size = count[part]
+        at = np.repeat(begin[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        block[owner[at], np.repeat(np.arange(len(part)), size)] = 1
+        both += block @ block.T
+    near = both >= least * (n[:, None] + n - both) - EPS
+    return least_roots(len(sets), iter([np.nonzero(np.triu(near, 1))]))
+
+
+def links(asked: DataFrame, least: float) -> DataFrame:
+    """Forest edges ``(a, b)`` of the true links within each group of ``asked(component, low, high, node, set)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 3):
+            component, low, high, node = (table.column(i).to_numpy() for i in range(4))
+            held = table.column("set").combine_chunks()
+            flat, ends = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
+            a, b = [], []
+            cut = starts_of(component, low, high)
             for s, e in zip(cut[:-1], cut[1:], strict=True):
-                if e - s < 2 or (component[s:e] == component[s]).all():
-                    continue
-                for x, y in _tries(node[s:e], n[s:e], component[s:e], whole, least):
-                    x, y = x + s, y + s
-                    ok = (component[x] != component[y]) & _near_in_size(n[x], n[y], least)
-                    x, y, most = node[x[ok]], node[y[ok]], np.maximum(n[x[ok]], n[y[ok]])
-                    if len(x):
-                        need = np.minimum(MANY, np.ceil(least * most - EPS)).astype(np.int32)
-                        made.append((h[s], np.minimum(x, y), np.maximum(x, y), need))
-                        size += len(x)
-                    if size > LOT // 8:
-                        yield flush()
-            if made:
-                yield flush()
-
-    dealt = rows.select("h", "node", "n", "component").repartition("h").sortWithinPartitions("h", "node")
-    found = dealt.mapInArrow(run, "a bigint, b bigint, c int, need int")
-    return found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
-
-
-def links(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets ``(node, set)`` have the similarity.
-
-    Nodes are dealt to blocks of about ``BLOCK`` shingles; each pair of blocks gets a set it needs once.
-    """
-    total = sets.agg(F.sum(F.size("set")).alias("n")).first()["n"] or 0
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(-(-total // BLOCK) or 1))
-    keyed = pairs.select(block("a").alias("p"), block("b").alias("q"), "a", "b")
-    ends = keyed.select(F.col("p").alias("r"), F.col("q").alias("s"), F.col("a").alias("node")).union(keyed.select("p", "q", "b")).distinct()
+                own, at = np.unique(node[s:e], return_index=True)
+                root = linked_roots([flat[ends[s + i] : ends[s + i + 1]] for i in at], least)
+                moved = root != np.arange(len(own))
+                a.append(own[moved])
+                b.append(own[root[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    return asked.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high").mapInArrow(tidied(run), "a bigint, b bigint")
 
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        found = {k: v.values.to_numpy() for k, v in zip(held["node"].to_pylist(), held["set"], strict=True)} if held.num_rows else {}
-        ok = []
-        for a, b in zip(asked["a"].to_pylist(), asked["b"].to_pylist(), strict=True):
-            both = len(np.intersect1d(found[a], found[b], assume_unique=True))
-            ok.append(both >= least * (len(found[a]) + len(found[b]) - both) - EPS)
-        return asked.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return keyed.groupBy("p", "q").cogroup(ends.join(sets, "node").select("r", "s", "node", "set").groupBy("r", "s")).applyInArrow(run, "a bigint, b bigint")
+def _with_sets(texts: DataFrame, places: DataFrame, distinct: DataFrame, width: int) -> DataFrame:
+    """``places(node, ...)`` with the column ``set``; each node's set is made from one text (that of its least id)."""
+
+    def make():
+        def work(text):
+            found = [shingles(t or b"", width) for t in text.cast(pa.binary()).to_pylist()]
+            return [np.array([node_of(s) for s in found], np.uint64).view(np.int64), [s.view(np.int64) for s in found]]
+
+        return work
+
+    wanted = durable(places.select("node").distinct().join(distinct.select(F.col("fp").alias("node"), "least"), "node"))
+    few = wanted.limit(FEW + 1).count() <= FEW
+    small = lambda df: F.broadcast(df) if few else df
+    rows = texts.join(small(wanted.where("least IS NOT NULL").select(F.col("least").alias("_s_id")).distinct()), "_s_id", "left_semi")
+    if not wanted.where("least IS NULL").isEmpty():
+        rows = rows.union(texts.where("_s_id IS NULL"))
+    made = map_rows(rows, "node bigint, set array<bigint>", make, ["_s_text"])
+    once = made.join(small(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    return once.join(places, "node")
+
+
+def _parted(members: DataFrame) -> DataFrame:
+    """``(node, component, blocks, led)`` of ``members(node, n, component)``: the blocks of its component, and whether the node leads each of them."""
+    sized = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+    sized = sized.select("component", "size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("blocks"))
+    drawn = F.pmod(F.xxhash64(F.lit("lead"), "node"), F.lit(1 << 30)) / float(1 << 30)
+    return members.join(sized, "component").select("node", "component", "blocks", ((F.col("blocks") > 1) & (drawn < COMMON / F.col("size"))).alias("led"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: float = LEAST) -> DataFrame:
@@ -227,36 +292,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``fp`` is the hash of the shingle set, ``group`` the least one of the component, ``component_id`` the
     least id (null if no row of the component has one). Null and empty texts are one node; ids are
-    integers. Sets are kept for candidates only.
+    integers. Sets are made for candidates only, and shuffled once.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("_s_id"), F.col(text_col).alias("_s_text"))
+    named = docs.select(F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
     own = durable(nodes(named, "_s_id", "_s_text", width, least, frequent_shingles(named, "_s_text", width)))
-    shared = durable(_shared(own.select(F.explode("first").alias("h"), F.col("fp").alias("node"), "n")))
-    distinct = durable(own.groupBy("fp").agg(F.min("_s_id").alias("least")))
-
-    first = durable(_candidates(shared.withColumn("component", F.col("node")), False, least))
-    texts = named.select(F.coalesce("_s_text", F.lit("")).alias("_s_text"))
-    found = durable(links(first, _sets(texts, first, width), least))
-    labelled = shared.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = durable(_candidates(labelled, True, least).join(first, ["a", "b"], "left_anti"))
-    reached = components(found.union(links(rest, _sets(texts, rest, width), least)))
+    alike = own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("first").alias("first"))
+    distinct = durable(own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.max(F.struct("n", "s0", "s1")).alias("x")).select("fp", "least", "x.*"))
+    shared = durable(_shared(alike.select(F.explode("first").alias("h"), F.col("fp").alias("node"))))
+    known = distinct.select(F.col("fp").alias("node"), "n", "s0", "s1")
+
+    rows = shared.join(known, "node").withColumn("component", F.col("node"))
+    members = components(candidates(rows, least)).join(known.select("node", "n"), "node")
+    parted = durable(_parted(members))
+    block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
+    places = parted.select("node", "component", F.explode(F.when(F.col("led"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))).alias("low")).withColumn("high", F.col("low"))
+    found = durable(links(_with_sets(named, places, distinct, width).select("component", "low", "high", "node", "set"), least))
+    reached = components(found)
+
+    large = parted.where("blocks > 1").select("node", F.col("component").alias("around"))
+    if not large.isEmpty():  # pairs of different blocks that are not connected yet
+        state = durable(large.join(reached, "node", "left").select("node", "around", F.coalesce("component", "node").alias("component")))
+        open_ = state.groupBy("around").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("around")
+        rest = state.join(open_, "around").select("node", "component")
+        again = components(candidates(shared.join(known, "node").join(rest, "node"), least)).join(known.select("node", "n"), "node")
+        pairs = _parted(again).withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other OR blocks = 1")
+        pairs = pairs.select("node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        more = durable(links(_with_sets(named, durable(pairs), distinct, width).select("component", "low", "high", "node", "set"), least))
+        reached = components(found.union(more))
 
     grouped = distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
     classes = grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "group", "component_id")
     return own.join(classes, "fp").select(F.col("_s_id").alias(id_col), "component_id", "group", "fp")
-
-
-def _sets(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """``(node, set)`` of the nodes in ``pairs``, kept."""
-
-    def make():
-        def work(text):
-            found = [shingle_set(t or b"", width) for t in text.cast(pa.binary()).to_pylist()]
-            return [np.array([_node(s) for s in found], np.uint64).view(np.int64), [s.view(np.int64) for s in found]]
-
-        return work
-
-    wanted = durable(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    few = wanted.limit(FEW + 1).count() <= FEW
-    made = map_rows(texts, "node bigint, set array<bigint>", make, ["_s_text"])
-    return durable(made.join(F.broadcast(wanted) if few else wanted, "node", "left_semi").dropDuplicates(["node"]))

@@ -9,10 +9,11 @@ before anything is searched. The index then has two storeys:
   the fingerprints that share its bits, and every link lies below one of them: the search is exact.
 * below an upper node, fingerprints are sorted by Gray rank, and runs of 1, 2, 4, ... neighbours form
   a hierarchy whose nodes hold the bits all their members share. The node is joined with itself from
-  the top: a pair of nodes whose shared bits differ in more than 2 places is pruned with all below it.
+  the top; differences accumulate from level to level as more bits are shared, and a pair of nodes
+  that has come to more than 2 is pruned with all below it.
 
-Upper nodes are spread over tasks by their pattern; within a node only a spanning forest of the links
-is returned, never the pairs.
+Upper nodes are spread over tasks by their pattern, a hot one by pairs of its parts; within a node only
+a spanning forest of the links is returned, never the pairs.
 """
 
 from __future__ import annotations
@@ -25,14 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm import jaccard
-from millrace.llm.common import components, durable, map_rows, whole_row
+from millrace.llm.common import components, durable, least_roots, map_rows, starts_of, tidied, whole_groups, whole_row
 
 RADIUS = 2
 #: The three pieces of a fingerprint as (first bit, bits).
 PIECES = ((0, 22), (22, 21), (43, 21))
 #: Pairs of index nodes looked at together; more are taken one lot after the other.
-LOT = 1 << 19
+LOT = 1 << 15
+#: Members of an upper node of which more are dealt out in parts, and hot nodes up to which they are broadcast.
+PART, FEW = 1 << 18, 100_000
 
 
 def masks() -> list[int]:
@@ -87,109 +89,110 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The place of each code in the Gray sequence."""
+    """The place of each code in the Gray sequence; codes of several words have the leading one first."""
     rank = codes.copy()
     for shift in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(shift)
+    if rank.ndim == 2:
+        for w in range(1, rank.shape[1]):
+            rank[:, w] ^= np.where(rank[:, w - 1] & np.uint64(1), ~np.uint64(0), np.uint64(0))
     return rank
 
 
 class GrayIndex:
-    """The hierarchy over the distinct fingerprints of one upper node."""
+    """The hierarchy over the fingerprints below one upper node: (rows,) or (rows, words) of unsigned words.
+
+    A node of the hierarchy stands for a run of neighbours in Gray order and holds the bits on which
+    all of them agree. Two nodes joined at one level bring the differences found so far, and the
+    bits these were found on; only bits that their agreement decides anew are added.
+    """
 
     def __init__(self, codes: np.ndarray) -> None:
-        self.order = np.argsort(gray_rank(codes), kind="stable")
+        codes = codes.reshape(len(codes), -1)
+        rank = gray_rank(codes)
+        self.order = np.lexsort(rank.T[::-1])
         low = high = codes[self.order]
-        self.both, self.any = [low], [high]  # bits set in all members, and in some
+        self.value, self.fixed = [low], [np.full_like(low, ~np.uint64(0))]
         while len(low) > 1:
             odd = len(low) % 2
             a, b = low[: len(low) - odd], high[: len(high) - odd]
             low = np.concatenate([a[::2] & a[1::2], low[len(low) - odd :]])
             high = np.concatenate([b[::2] | b[1::2], high[len(high) - odd :]])
-            self.both.append(low)
-            self.any.append(high)
+            self.value.append(low)
+            self.fixed.append(low | ~high)
 
-    def links(self, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of places (in the given order of codes) at distance <= ``radius``, lot by lot."""
-        lots = [(len(self.both) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    def links(self, radius: int = RADIUS, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of places (in the given order of codes) at distance <= ``radius``, lot by lot; pairs of one ``root`` are left out."""
+        words = self.value[0].shape[1]
+        lots = [(len(self.value) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros((1, words), np.uint64))]
         while lots:
-            level, x, y = lots.pop()
-            both, any_ = self.both[level], self.any[level]
-            # bits on which the two nodes, each of one mind, disagree
-            apart = np.bitwise_count((both[x] & ~any_[y]) | (both[y] & ~any_[x]))
-            x, y = x[apart <= radius], y[apart <= radius]
+            level, x, y, apart, decided = lots.pop()
+            value, fixed = self.value[level], self.fixed[level]
+            both = fixed[x] & fixed[y]
+            apart = apart + np.bitwise_count((value[x] ^ value[y]) & both & ~decided).sum(axis=1, dtype=np.int64)
+            near = apart <= radius
+            x, y, apart, decided = x[near], y[near], apart[near], both[near]
             if not len(x):
                 continue
             if level == 0:
-                yield self.order[x[x != y]], self.order[y[x != y]]
+                x, y = self.order[x[x != y]], self.order[y[x != y]]
+                if root is not None:
+                    new = root[x] != root[y]
+                    x, y = x[new], y[new]
+                yield x, y
                 continue
-            below = len(self.both[level - 1])
+            below = len(self.value[level - 1])
             left = np.concatenate([2 * x, 2 * x, 2 * x + 1, 2 * x + 1])
             right = np.concatenate([2 * y, 2 * y + 1, 2 * y, 2 * y + 1])
+            apart, decided = np.tile(apart, 4), np.tile(decided, (4, 1))
             real = (left <= right) & (right < below) & (left < below)
-            left, right = left[real], right[real]
-            lots += [(level - 1, left[k : k + LOT], right[k : k + LOT]) for k in range(0, len(left), LOT)]
-
-
-def forest(size: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of ``size`` places the least place reachable by links."""
-    root = np.arange(size)
-    for x, y in links:
-        while True:
-            a, b = root[x], root[y]
-            differ = a != b
-            if not differ.any():
-                break
-            x, y, a, b = x[differ], y[differ], a[differ], b[differ]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root != root[root]).any():
-                root = root[root]
-    return root
+            left, right, apart, decided = left[real], right[real], apart[real], decided[real]
+            lots += [(level - 1, left[k : k + LOT], right[k : k + LOT], apart[k : k + LOT], decided[k : k + LOT]) for k in range(0, len(left), LOT)]
 
 
 def _node_edges(codes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (node, least linked node) among the members of one upper node."""
-    if len(codes) == 2:
+    if len(codes) == 2:  # a hierarchy of one level
         near = int(codes[0] ^ codes[1]).bit_count() <= RADIUS
         return (nodes[1:], nodes[:1]) if near else (nodes[:0], nodes[:0])
-    root = forest(len(codes), GrayIndex(codes).links())
+    root = least_roots(len(codes), GrayIndex(codes).links())
     moved = root != np.arange(len(codes))
     return nodes[moved], nodes[root[moved]]
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``(mask, pattern, low, high, fp, node)``: members of upper nodes, those of hot ones in every pair of their parts.
+
+    Upper nodes with more than ``PART`` members by a sample of every 16th fingerprint are hot; the
+    sample decides how the work is dealt out, never the result.
+    """
+    counted = rows.where(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0).groupBy("mask", "pattern").count().where(F.col("count") * 16 > PART)
+    hot = durable(counted.select("mask", "pattern", F.ceil(F.col("count") * 16 / PART).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.select("mask", "pattern", F.lit(0).alias("low"), F.lit(0).alias("high"), "fp", "node")
+    few = hot.limit(FEW + 1).count() <= FEW
+    joined = rows.join(F.broadcast(hot) if few else hot, ["mask", "pattern"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    joined = joined.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return joined.select("mask", "pattern", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "node")
+
+
 def search(distinct: DataFrame) -> DataFrame:
     """Links ``(a, b)`` among the nodes of distinct ``(fp, node)``: a spanning forest below each upper node."""
     rows = distinct.select("fp", "node", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks()))).alias("mask", "pattern"))
-    dealt = rows.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
+    keys = ["mask", "pattern", "low", "high"]
+    dealt = _dealt(rows).repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def close(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            mask, pattern, fp, node = (np.concatenate(c) for c in zip(*parts, strict=True))
-            cut = np.flatnonzero((mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])) + 1
-            starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(mask)]])
-            found = [_node_edges(fp[s:e], node[s:e]) for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True)]
-            a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            mask, pattern, fp, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        for table in whole_groups(batches, 4):
+            *key, fp, node = (table.column(i).to_numpy() for i in range(6))
             fp = fp.view(np.uint64)
-            # all but the last upper node of the batch are complete
-            last = np.flatnonzero((mask != mask[-1]) | (pattern != pattern[-1]))
-            whole = last[-1] + 1 if len(last) else 0
-            if not whole and held and (held[-1][0][-1], held[-1][1][-1]) == (mask[-1], pattern[-1]):
-                held.append((mask, pattern, fp, node))
-                continue
-            yield close([*held, (mask[:whole], pattern[:whole], fp[:whole], node[:whole])]) if held or whole else close([(mask[:0], pattern[:0], fp[:0], node[:0])])
-            held = [(mask[whole:], pattern[whole:], fp[whole:], node[whole:])]
-        if held:
-            yield close(held)
+            cut = starts_of(*key)
+            many = np.diff(cut) > 1
+            found = [_node_edges(fp[s:e], node[s:e]) for s, e in zip(cut[:-1][many], cut[1:][many], strict=True)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return dealt.select("mask", "pattern", "fp", "node").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select(*keys, "fp", "node").mapInArrow(tidied(run), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -220,6 +223,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at least that (:mod:`millrace.llm.jaccard`), else of fingerprints within ``RADIUS``. A component
     without any id keeps the row of its least text. Edge cases otherwise as in :func:`near_duplicates`.
     """
+    from millrace.llm import jaccard
+
     near, prints = (near_duplicates, fingerprints) if least is None else (partial(jaccard.near_duplicates, least=least), jaccard.nodes)
     classes = durable(near(docs, id_col, text_col, width))
     rows = docs.select(whole_row(docs).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
