@@ -28,6 +28,8 @@ BLANK = r"[\x20\x09-\x0D]"
 SYMBOL = "[#*$%&|<>]"
 #: Strata up to which the certified rules are broadcast; beyond, Spark chooses the join.
 STRATA = 10_000
+#: Labelled ids up to which they are broadcast to pick the texts that the rules are certified on.
+LABELLED = 1_000_000
 #: Cutoffs of each ratio, strictest first (a rule rejects above its cutoff).
 GRID = {
     "symbols_per_word": (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.0),
@@ -203,6 +205,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     second pass judges each row where it is read, so texts are not shuffled.
     """
     source = docs.select(F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
+    named = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").alias("_q_id")).distinct()
+    if named.limit(LABELLED + 1).count() <= LABELLED:  # only labelled texts need be measured for the rules
+        source = source.join(F.broadcast(named), "_q_id", "left_semi")
     rules = durable(certify(measure(source, "_q_text", ["_q_id", "_q_stratum"]), labels))
     rows = docs.select(whole_row(docs).alias("_q_row"), F.col(id_col).alias("_q_id"), stratum(lang_col).alias("_q_stratum"), F.col(text_col).alias("_q_text"))
     measured = measure(rows, "_q_text", ["_q_row", "_q_id", "_q_stratum"])
