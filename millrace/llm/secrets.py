@@ -20,13 +20,14 @@ import math
 import random
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows, small_batches, whole_row
+from millrace.llm.common import map_rows, small_batches, tidy, whole_row
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -439,9 +440,11 @@ def redact_documents(docs: DataFrame, net: CharNet | None = None, text_col: str
     net = net or default_net()
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        values = list(texts)
-        return pd.Series([None if t is None else redact(t, s) if s else t for t, s in zip(values, scan_texts(values, net), strict=True)], dtype=object)
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            values = list(texts)
+            yield pd.Series([None if t is None else redact(t, s) if s else t for t, s in zip(values, scan_texts(values, net), strict=True)], dtype=object)
+        tidy()
 
     small_batches(docs.sparkSession)
     rows = docs.select(whole_row(docs).alias("_x_row"), clean(F.col(text_col)).alias("_x_text"))
