@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.functions import text as T
+from millrace.functions import phrases as P
 from millrace.operators import chunk, glossary, html_sections
 from millrace.plans.registry import query
-from millrace.plans.text_queries import SQL_UNWRAPPED
+from millrace.plans.text_queries import SQL_TECHNICAL
 from millrace.sources import urls
 from millrace.sources.tables import table
 
@@ -69,27 +69,46 @@ def page_chunks(spark, sf_dir):
     return chunk.chunk_documents(chunk.gather_sections(html_sections.normalize_pages(_pages(spark, sf_dir))))
 
 
-SQL_OCCURRENCES = " UNION ALL ".join(
-    f"SELECT doc_id, '{kind}' AS term_type, {SQL_UNWRAPPED.format('form')} AS form, place FROM (SELECT doc_id, unnest(m) AS form, unnest(range(len(m))) AS place FROM (SELECT page_id AS doc_id, regexp_extract_all(url, '{pattern}', {group}) AS m FROM pages))"
-    for kind, pattern, group in glossary.PATTERNS
-)
+PRODUCTS = (("Example Net", ("example.net",)), ("Blog Engine", ("blog", "weblog")), ("Absent", ("no such name",)))
+SQL_ALIAS = {"annotation": "[regexp_replace(form, '^@', '')]", "class_interface": "list_filter([regexp_replace(form, '^.*\\.', '')], lambda y: y <> form)"}
+SQL_OCCURRENCES = " UNION ALL ".join([
+    *(f"SELECT doc_id, '{kind}' AS term_type, trim(form) AS form, place, {SQL_ALIAS.get(kind, '[]::VARCHAR[]')} AS aliases FROM (SELECT doc_id, unnest(m) AS form, unnest(range(len(m))) AS place FROM (SELECT page_id AS doc_id, regexp_extract_all(u, '{pattern}', {group}) AS m FROM u))" for kind, pattern, group in glossary.PATTERNS),
+    *(f"SELECT page_id, 'spring_product', '{name}', 0, {list(aliases)!r} FROM u WHERE regexp_matches(u, '(?i)\\b(?:{'|'.join(n.replace('.', '[.]') for n in (name, *aliases))})\\b')" for name, aliases in PRODUCTS),
+    """SELECT page_id, 'cli_command', line, 0, []::VARCHAR[] FROM (SELECT page_id, trim(ltrim(trim(unnest(string_split(string_split(u, '```')[2], chr(10)))), '$')) AS line FROM u WHERE contains(u, '```')) WHERE regexp_matches(line, '^([.]/gradlew|gradle|mvn|java|jar|spring|docker|curl|http|kubectl|helm|psql)')""",
+])
+#: Page addresses with types, keys, artifacts and code put to them (ASCII: word boundaries beside other letters differ between the engines).
+SQL_ADDRESS = "url || CASE page_id % 4 WHEN 0 THEN ' @Bean.Name org.acme.core.JdbcTemplate new Widget spring.jpa.show-sql spring-boot-starter-web' WHEN 1 THEN ' org.acme.lib:core-x:1.2 UserRepository' WHEN 2 THEN chr(10) || '```' || chr(10) || '$ mvn -q test' || chr(10) || 'echo no' || chr(10) || '```' ELSE '' END"
+
+
+def _addresses(spark, sf_dir):
+    k = F.col("page_id") % 4
+    more = F.when(k == 0, " @Bean.Name org.acme.core.JdbcTemplate new Widget spring.jpa.show-sql spring-boot-starter-web").when(k == 1, " org.acme.lib:core-x:1.2 UserRepository").when(k == 2, "\n```\n$ mvn -q test\necho no\n```").otherwise("")
+    return table(spark, sf_dir, "pages").select("page_id", F.concat("url", more).alias("u"))
 
 
 @query("glossary_terms", f"""
-WITH o AS (SELECT * FROM ({SQL_OCCURRENCES}) WHERE form <> ''),
-s AS (SELECT term_type, lower(form) AS key, form, min((doc_id, place)) AS first, count(*) AS n FROM o GROUP BY ALL),
-t AS (SELECT term_type, key, arg_min(form, (-length(form), first, form)) AS canonical_form, sum(n) AS n FROM s GROUP BY ALL)
-SELECT 'gls_' || substr(sha1(term_type || ':' || key), 1, 16) AS term_id, term_type, canonical_form, n::BIGINT AS evidence_count,
+WITH u AS (SELECT page_id, {SQL_ADDRESS} AS u FROM pages), o AS (SELECT * FROM ({SQL_OCCURRENCES}) WHERE form <> ''),
+s AS (SELECT term_type, lower(form) AS key, form, min((doc_id, place)) AS first, count(*) AS n, list_distinct(flatten(list(aliases))) AS al FROM o GROUP BY ALL),
+t AS (SELECT term_type, key, arg_min(form, (-length(form), first, form)) AS canonical_form, sum(n) AS n, list_distinct(list_concat(list(form), flatten(list(al)))) AS forms FROM s GROUP BY ALL)
+SELECT 'gls_' || substr(sha1(term_type || ':' || key), 1, 16) AS term_id, term_type, canonical_form, array_to_string(list_sort(list_filter(forms, lambda x: x <> canonical_form)), ',') AS aliases, n::BIGINT AS evidence_count,
   (SELECT count(DISTINCT doc_id) FROM o WHERE o.term_type = t.term_type AND lower(o.form) = t.key)::BIGINT AS n_docs, least(1, 0.55 + n * 0.05) AS confidence FROM t""")
 def glossary_terms(spark, sf_dir):
-    """Terms of the (ASCII) page addresses; word boundaries beside other letters differ between the engines."""
-    found = glossary.occurrences(_pages(spark, sf_dir), id_col="page_id", text_col="url")
-    return glossary.terms(found).select("term_id", "term_type", "canonical_form", "evidence_count", "n_docs", "confidence")
+    found = glossary.occurrences(_addresses(spark, sf_dir), products=PRODUCTS, concepts=False, id_col="page_id", text_col="u")
+    return glossary.terms(found).select("term_id", "term_type", "canonical_form", F.array_join("aliases", ",").alias("aliases"), "evidence_count", "n_docs", "confidence")
 
 
 @query("document_glossary")
 def document_glossary(spark, sf_dir):
-    return glossary.terms(glossary.occurrences(table(spark, sf_dir, "documents")))
+    return glossary.terms(glossary.occurrences(table(spark, sf_dir, "documents"), products=PRODUCTS))
+
+
+SQL_GENERIC = ", ".join("'" + w.replace("'", "''") + "'" for w in (*glossary.GENERIC_WORDS, *glossary.STOPWORDS, *P.ANCHOR_STOPWORDS, *P.EN_FUNCTIONAL))
+
+
+@query("keyphrase_candidates", f"""WITH u AS (SELECT page_id, {SQL_ADDRESS} AS u FROM pages), g AS (SELECT page_id, list_transform(list_filter(regexp_extract_all(u, '{glossary.GENERIC}'), lambda x: length(x) BETWEEN 3 AND 120 AND lower(x) NOT IN ('http', 'https', 'www') AND len(regexp_extract_all(x, '[.]')) <= 6 AND {SQL_TECHNICAL.format("x")}), lambda x: trim(x, '`''"()[]{{}}.,:;')) AS p FROM u)
+SELECT page_id, array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i AND length(x) BETWEEN 3 AND 120 AND lower(x) NOT IN ({SQL_GENERIC})), ' ') AS phrases FROM g""")
+def keyphrase_candidates(spark, sf_dir):
+    return _addresses(spark, sf_dir).select("page_id", F.array_join(glossary.keyphrase_candidates(F.col("u")), " ").alias("phrases"))
 
 
 @query("alias_types", """
@@ -117,10 +136,4 @@ def glossary_evidence(spark, sf_dir):
 
 @query("keyphrase_mmr")
 def keyphrase_mmr(spark, sf_dir):
-    from millrace.functions import vectors as V
-
-    docs = table(spark, sf_dir, "benchmark")
-    grams = F.array_distinct(T.ngrams(T.tokens(F.col("text")), 2))
-    phrases = docs.select(F.col("item_id").alias("doc_id"), F.posexplode(grams).alias("idx", "phrase"))
-    rated = phrases.select("doc_id", "idx", "phrase", (F.length("phrase") / 20.0).alias("base"), (1.0 / (F.col("idx") + 1)).alias("rel"), V.dense_hash_embedding(T.tokens(F.col("phrase")), 64).alias("vec"))
-    return glossary.mmr(rated, 8)
+    return glossary.keyphrases(table(spark, sf_dir, "documents"))

@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,16 +171,48 @@ def test_url_rules(spark):
         assert one(spark, urls.admitted(F.lit(address), rules)) is wanted, address
 
 
-def test_glossary_canonical_is_the_longest(spark):
-    docs = spark.createDataFrame([(1, "uses JdbcTemplate and jdbctemplate.x"), (2, "JdbcTemplate @Transactional"), (3, None)], "doc_id long, text string")
-    terms = {r["canonical_form"]: r for r in glossary.terms(glossary.occurrences(docs)).collect()}
-    assert terms["JdbcTemplate"]["evidence_count"] == 2 and terms["JdbcTemplate"]["n_docs"] == 2 and "@Transactional" in terms
-
-
-def test_mmr_prefers_the_different(spark):
-    rows = [(1, 0, "a", 1.0, 0.5, [1.0, 0.0]), (1, 1, "b", 0.9, 0.5, [1.0, 0.01]), (1, 2, "c", 0.8, 0.5, [0.0, 1.0])]
-    out = glossary.mmr(spark.createDataFrame(rows, "doc_id long, idx int, phrase string, base double, rel double, vec array<double>"), 2).orderBy("rank").collect()
-    assert [r["phrase"] for r in out] == ["a", "c"]
+def test_glossary_kinds(spark):
+    text = "uses JdbcTemplate, jdbctemplate and org.acme.JdbcTemplate @Bean.Name; set spring.jpa.show-sql, org.acme.lib:core:1.0 with spring-boot-starter-web in Example  Boot, new Widget extends Base\n```sh\n$ mvn -q test\necho no\n  curl x\n```\nmvn outside"
+    docs = spark.createDataFrame([(1, text), (2, "JdbcTemplate @bean.name example.b"), (3, None)], "doc_id long, text string")
+    rows = glossary.terms(glossary.occurrences(docs, products=(("Example Boot", ("example.b",)), ("None", ())))).collect()
+    terms = {(r["term_type"], r["canonical_form"]): r for r in rows}
+    kinds = {k: sorted(f for t, f in terms if t == k) for k in {t for t, _ in terms}}
+    assert kinds["annotation"] == ["@Bean.Name"] and kinds["config_key"] == ["spring.jpa.show-sql"] and kinds["cli_command"] == ["curl x", "mvn -q test"]
+    assert kinds["dependency_artifact"] == ["org.acme.lib:core:1.0", "spring-boot-starter-web"] and kinds["spring_product"] == ["Example Boot"]
+    assert kinds["class_interface"] == ["Base", "JdbcTemplate", "Widget", "org.acme.JdbcTemplate"]
+    simple, full = terms["class_interface", "JdbcTemplate"], terms["class_interface", "org.acme.JdbcTemplate"]
+    assert (simple["evidence_count"], simple["n_docs"], full["aliases"]) == (3, 2, ["JdbcTemplate"])
+    assert sorted(terms["annotation", "@Bean.Name"]["aliases"]) == ["@bean.name", "Bean.Name", "bean.name"]
+    assert "JdbcTemplate" in kinds["concept"] and terms["spring_product", "Example Boot"]["aliases"] == ["example.b"]
+
+
+def test_glossary_evidence_offsets(spark):
+    chunks = spark.createDataFrame([(1, 0, "a\\E.b x A\\E.B a\\E.ba\\E.b"), (1, 1, None)], "doc_id int, chunk_index int, content string")
+    wanted = spark.createDataFrame([("t", "a\\E.b", 1), ("u", "", 1)], "term_id string, form string, doc_id int")
+    got = [(r["chunk_index"], r["start"], r["end"]) for r in glossary.evidence(chunks, wanted).orderBy("start").collect()]
+    assert got == [(0, 0, 5), (0, 8, 13), (0, 14, 19), (0, 19, 24)]
+
+
+def test_mmr_prefers_the_different():
+    near = np.array([[1.0, 0.99, 0.0], [0.99, 1.0, 0.0], [0.0, 0.0, 1.0]])
+    assert glossary.mmr([1.0, 0.9, 0.8], [0.5, 0.5, 0.5], near, 2) == [0, 2] and glossary.mmr([1.0, 1.0], [0, 0], np.eye(2), 5) == [0, 1]
+
+
+def test_keyphrases_against_plain_python(spark):
+    from millrace.operators.search import hash_vector
+
+    text = "The JdbcTemplate calls foo-bar and JdbcTemplate; spring.datasource.url beats FooBar, foo_baz settings example config.value http://x.y"
+    rows = glossary.keyphrases(spark.createDataFrame([(1, text), (2, None), (3, "plain words")], "doc_id long, text string"), 4).orderBy("rank").collect()
+    phrases = ["JdbcTemplate", "foo-bar", "spring.datasource.url", "FooBar", "foo_baz", "config.value", "x.y"]
+    assert one(spark, glossary.keyphrase_candidates(F.lit(text))) == phrases
+    words = lambda t: [w.lower() for w in re.findall(r"[A-Za-z0-9_./-]+", t)]
+    whole, vectors = hash_vector(words(text)), [hash_vector(words(p)) for p in phrases]
+    combined = [1.8 + 1.6 * max(0.0, float(v @ whole)) for v in vectors]
+    picks = []
+    while len(picks) < 4:
+        value = [(combined[i] if not picks else 0.72 * combined[i] - 0.32 * max(max(0.0, float(vectors[i] @ vectors[j])) for j in picks)) if i not in picks else -9 for i in range(len(phrases))]
+        picks.append(value.index(max(value)))
+    assert [(r["doc_id"], r["phrase"]) for r in rows] == [(1, phrases[i]) for i in picks]
 
 
 def test_router_order(spark):
