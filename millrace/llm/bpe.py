@@ -58,6 +58,19 @@ class Spelling(dict):
         self.token, self.size, self.shorter = -1, size, shorter
 
 
+class State(dict):
+    """A state of the second table: the next state by symbol, laid when first asked for; the last token, the longest suffix that is a node, and the last tokens at its places."""
+
+    __slots__ = ("token", "node", "ends", "owner")
+
+    def __init__(self, token: int, node: Spelling, ends: tuple[int, ...], owner: MergeAutomaton) -> None:
+        self.token, self.node, self.ends, self.owner = token, node, ends, owner
+
+    def __missing__(self, symbol: int) -> State:
+        found = self[symbol] = self.owner.determinise(self, symbol)
+        return found
+
+
 class MergeAutomaton:
     """The compiled merges. ``ids`` maps labels to ids; merges are pairs of labels, best first. At most ``keep`` states are held."""
 
@@ -110,22 +123,14 @@ class MergeAutomaton:
 
     def rest(self) -> None:
         """Drop the states; they are made again as words ask for them."""
-        self.state_of: dict[tuple[int, tuple[int, ...]], int] = {}
-        self.table: list[dict[int, int]] = []  # by state: the next state by symbol
-        self.token: list[int] = []  # by state: the last token
-        self.nodes: list[Spelling] = []
-        self.ends: list[tuple[int, ...]] = []
-        self._state(self.root, (-1,))
-
-    def _state(self, node: Spelling, ends: tuple[int, ...]) -> int:
+        self.states: dict[tuple[int, tuple[int, ...]], State] = {}
+        self.start = self._state(self.root, (-1,))
+
+    def _state(self, node: Spelling, ends: tuple[int, ...]) -> State:
         key = (id(node), ends)
-        found = self.state_of.get(key)
+        found = self.states.get(key)
         if found is None:
-            found = self.state_of[key] = len(self.table)
-            self.table.append({})
-            self.token.append(ends[-1])
-            self.nodes.append(node)
-            self.ends.append(ends)
+            found = self.states[key] = State(ends[-1], node, ends, self)
         return found
 
     def arc(self, p: int, t: int) -> bool:
@@ -144,35 +149,32 @@ class MergeAutomaton:
             else:  # arc t was laid beside the arc of its left half; of equal merges the left one goes first
                 before, t = made_t + 1, self.halves[t][0]
 
-    def _determinise(self, state: int, symbol: int) -> int:
-        """Lay the transition of ``state`` for ``symbol``."""
-        node, ends = self.nodes[state], self.ends[state]
+    def determinise(self, state: State, symbol: int) -> State:
+        """Where ``state`` goes by ``symbol``."""
+        node, ends = state.node, state.ends
         while symbol not in node:  # every symbol is a token, so the root has it
             node = node.shorter
         node = node[symbol]
-        # ends[-1 - j] is the last token j places back; a token of n symbols begins n - 1 places back
+        # a token of n symbols begins n - 1 places back, and ends[-n] is the last token there
         end = node
         while end.token < 0 or not self.arc(ends[-end.size], end.token):
             end = end.shorter
-        found = self.table[state][symbol] = self._state(node, (*(ends[-node.size :]), end.token))
-        return found
+        return self._state(node, (*ends[-node.size :], end.token))
 
     def encode(self, symbols: list[int]) -> list[int]:
         """The one path that spells ``symbols`` (indices into ``base``): a transition for each, then the tokens from the last place back."""
-        if len(self.table) > self.keep:
+        if len(self.states) > self.keep:
             self.rest()
-        table, token = self.table, self.token
-        state, last = 0, []
+        state, last = self.start, []
         for s in symbols:
-            after = table[state].get(s)
-            state = self._determinise(state, s) if after is None else after
-            last.append(token[state])
-        path = []
+            state = state[s]
+            last.append(state.token)
+        path, spelling = [], self.spelling
         i = len(symbols)
         while i:
             t = last[i - 1]
             path.append(t)
-            i -= len(self.spelling[t])
+            i -= len(spelling[t])
         path.reverse()
         return path
 
