@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) stays, that of the least id."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more) stays, that of the least id."""
     return simhash.one_of_each(docs, width=5, least=0.8)
 
 
@@ -48,11 +48,24 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each but the last is written to the shared folder and read again."""
+    """Apply the stages to ``documents``; each but the last is written to the shared folder and read again.
+
+    A stage's rows are deleted once those of the next are written; the last written ones stay, since the
+    result is read from them.
+    """
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            delete(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
