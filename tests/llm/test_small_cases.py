@@ -397,3 +397,25 @@ def test_jaccard_large_groups(spark, monkeypatch, settings):
                     changed = True
     found = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == component
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """An empty table, and one of nulls, a very long text and extra columns."""
+    import corpus_pipeline
+
+    from millrace.llm.common import shared_folder
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, first int, node string, component long"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, None, None, None, None, 1, "x", 2), (2, long, "en", "src1", 5, 1, None, None), (None, long + " more", None, None, None, None, "y", 3), (None, None, None, None, None, None, None, None), (3, "", "en", "src0", 0, 1, "z", 1)]
+    for name, data in (("none", []), ("odd", rows)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert {r["doc_id"] for r in out} <= {2}
+    import os
+
+    runs = [d for d in os.listdir(shared_folder(spark).removeprefix("file:")) if d.startswith("corpus-pipeline-")]
+    assert runs and all(os.listdir(f"{shared_folder(spark).removeprefix('file:')}/{d}") == ["mixing"] for d in runs)
