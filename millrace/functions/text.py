@@ -151,17 +151,26 @@ def spaced_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[_-]", " "), "[^0-9a-z@가-힣]+", " "))
 
 
-def variant_in_text(text: Column, variant: Column) -> Column:
-    """A variant as whole words, or, for phrases, Hangul and annotations, with spaces ignored."""
+def variants_in_text(text: Column, variants: Column) -> Column:
+    """Those of an array of variants that a text has: as whole words, or, for phrases, Hangul and annotations, with spaces ignored.
+
+    The text is normalised once, whatever the number of variants.
+    """
     blank, nothing = F.lit(" "), F.lit("")
 
     def found(spaced: Column, target: Column) -> Column:
         compact = F.replace(spaced, blank, nothing)
         loose = spaced.contains(" ") | compact.rlike(HANGUL) | compact.startswith("@")
-        whole = F.concat(blank, target, blank).contains(F.concat(blank, spaced, blank))
-        return (compact != "") & (whole | (loose & F.replace(target, blank, nothing).contains(compact)))
+        whole = target["whole"].contains(F.concat(blank, spaced, blank))
+        return (compact != "") & (whole | (loose & target["compact"].contains(compact)))
+
+    forms = let(spaced_form(text), lambda t: F.struct(F.concat(blank, t, blank).alias("whole"), F.replace(t, blank, nothing).alias("compact")))
+    return let(forms, lambda target: F.filter(variants, lambda v: let(spaced_form(v), lambda s: found(s, target))))
 
-    return let(spaced_form(variant), lambda s: let(spaced_form(text), lambda t: found(s, t)))
+
+def variant_in_text(text: Column, variant: Column) -> Column:
+    """Whether a text has one variant, as :func:`variants_in_text` finds it."""
+    return F.size(variants_in_text(text, F.array(variant))) > 0
 
 
 def without_ascii_anchors(text: Column) -> Column:

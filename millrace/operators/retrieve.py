@@ -22,16 +22,21 @@ FUSION = (0.58, 0.34, 0.08)
 RRF_K = 60
 
 
+def exploded(tokens: Column) -> Column:
+    """One row for each token, and a null one for none: unlike ``explode`` it makes Catalyst put no filter on the tokens under the scan, where texts would be cut twice."""
+    return F.explode_outer(tokens)
+
+
 def query_tokens(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Distinct ``(query_id, token)``."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("token"))
+    return queries.select(F.col(id_col).alias("query_id"), exploded(F.array_distinct(T.tokens(F.col(text_col)))).alias("token")).where("token IS NOT NULL")
 
 
 def postings(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, token, tf, dl)`` of the tokens in ``wanted``; dl is the document's number of tokens."""
     cut = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("t"))
-    spread = cut.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("token"))
-    return spread.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    spread = cut.select("doc_id", F.size("t").alias("dl"), exploded(F.col("t")).alias("token"))
+    return spread.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
 
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -42,7 +47,7 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def bm25_statistics(docs: DataFrame, queries: DataFrame, query_id: str = "item_id", text_col: str = "text") -> tuple[int, float, DataFrame]:
     """Documents, mean length, and ``(token, df)`` of the tokens that some query has."""
     wanted = query_tokens(queries, query_id, "text").select("token").distinct()
-    seen = docs.select(F.explode(F.array_distinct(T.tokens(F.col(text_col)))).alias("token")).join(wanted, "token", "left_semi")
+    seen = docs.select(exploded(F.array_distinct(T.tokens(F.col(text_col)))).alias("token")).join(wanted, "token", "left_semi")
     stats = corpus_stats(docs, text_col).first()
     return stats["n_docs"], float(stats["avgdl"] or 0.0), seen.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
@@ -51,8 +56,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col:
     """``(query_id, doc_id, bm25)`` of every document that shares a token with the query."""
     wanted = query_tokens(queries, query_id, query_text)
     post = postings(docs, wanted, id_col, text_col)
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rated = post.join(df, "token").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # the statistics are one row
+    # both uses of the postings read the same columns, so that they are shuffled once and that shuffle is read twice
+    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("dl").alias("most"), F.max("tf").alias("often"))
+    rated = post.join(df, "token").where("dl <= most AND tf <= often").crossJoin(F.broadcast(corpus_stats(docs, text_col)))  # the statistics are one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = 1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))
     weights = rated.select("token", "doc_id", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("w"))
@@ -67,8 +73,8 @@ def top_k(scored: DataFrame, score: str, k: int, by: str = "query_id", tie: str
 
 def technical_overlap(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """``(query_id, doc_id, technical)``: shared technical tokens by the root of the product of set sizes."""
-    wanted = queries.select(F.col(query_id).alias("query_id"), T.technical_tokens(T.tokens(F.col(query_text))).alias("q")).select("query_id", F.size("q").alias("nq"), F.explode("q").alias("token"))
-    own = docs.select(F.col(id_col).alias("doc_id"), T.technical_tokens(T.tokens(F.col(text_col))).alias("d")).select("doc_id", F.size("d").alias("nd"), F.explode("d").alias("token"))
+    wanted = queries.select(F.col(query_id).alias("query_id"), T.technical_tokens(T.tokens(F.col(query_text))).alias("q")).select("query_id", F.size("q").alias("nq"), exploded(F.col("q")).alias("token")).where("token IS NOT NULL")
+    own = docs.select(F.col(id_col).alias("doc_id"), T.technical_tokens(T.tokens(F.col(text_col))).alias("d")).select("doc_id", F.size("d").alias("nd"), exploded(F.col("d")).alias("token"))
     shared = own.join(wanted, "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
     return shared.select("query_id", "doc_id", (F.col("n") / F.sqrt(F.col("nq") * F.col("nd"))).alias("technical"))
 

@@ -128,8 +128,8 @@ SELECT variant, count(*)::BIGINT AS n_docs, min(doc_id) AS first_doc FROM m
 WHERE contains(' ' || t || ' ', ' ' || s || ' ') OR ((contains(s, ' ') OR starts_with(s, '@')) AND contains(replace(t, ' ', ''), replace(s, ' ', ''))) GROUP BY variant""")
 def variant_match(spark, sf_dir):
     variants = F.array(*map(F.lit, ("creative-commons", "Apache License", "all rights", "the", "is_tion")))
-    spread = _docs(spark, sf_dir).select("doc_id", "text", F.explode(variants).alias("variant"))
-    return spread.where(T.variant_in_text(F.col("text"), F.col("variant"))).groupBy("variant").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    found = _docs(spark, sf_dir).select("doc_id", F.explode(T.variants_in_text(F.col("text"), variants)).alias("variant"))
+    return found.groupBy("variant").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 
 @query("answer_overlap_metrics", f"""
