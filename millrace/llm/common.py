@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources import tables
+from millrace.sources.stored import durable, shared_folder  # noqa: F401  (the operators take them from here)
+
 #: ASCII white space of the word definition shared by the operators.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 #: Rows of an Arrow batch; a batch holds whole texts.
@@ -20,34 +21,7 @@ BATCH_ROWS = 256
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a session on one machine gets a temporary folder; on a cluster, whose executors
-    would each write to a disk of their own, it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        master = spark.sparkContext.master
-        if not re.match(r"local(\[|$)", master):
-            raise RuntimeError(f"spark.checkpoint.dir is not set, and the executors of {master} share no other folder")
-        folder = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and keep it in the shared folder, cutting its lineage.
-
-    The rows survive the loss of any executor.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    return tables.table(spark, sf_dir, table)
 
 
 def whole_row(df: DataFrame) -> Column:
