@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import struct
 import unicodedata
@@ -59,12 +60,12 @@ class Spelling(dict):
 
 
 class State(dict):
-    """A state of the second table: the next state by symbol, laid when first asked for; the last token, the longest suffix that is a node, and the last tokens at its places."""
+    """A state of the second table: the next state by symbol, laid when first asked for; the last token and its number of symbols, the longest suffix that is a node, and the last tokens at its places."""
 
-    __slots__ = ("token", "node", "ends", "owner")
+    __slots__ = ("token", "size", "node", "ends", "owner")
 
-    def __init__(self, token: int, node: Spelling, ends: tuple[int, ...], owner: MergeAutomaton) -> None:
-        self.token, self.node, self.ends, self.owner = token, node, ends, owner
+    def __init__(self, token: int, size: int, node: Spelling, ends: tuple[int, ...], owner: MergeAutomaton) -> None:
+        self.token, self.size, self.node, self.ends, self.owner = token, size, node, ends, owner
 
     def __missing__(self, symbol: int) -> State:
         found = self[symbol] = self.owner.determinise(self, symbol)
@@ -130,7 +131,7 @@ class MergeAutomaton:
         key = (id(node), ends)
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = State(ends[-1], node, ends, self)
+            found = self.states[key] = State(ends[-1], len(self.spelling.get(ends[-1], ())), node, ends, self)
         return found
 
     def arc(self, p: int, t: int) -> bool:
@@ -165,16 +166,14 @@ class MergeAutomaton:
         """The one path that spells ``symbols`` (indices into ``base``): a transition for each, then the tokens from the last place back."""
         if len(self.states) > self.keep:
             self.rest()
-        state, last = self.start, []
-        for s in symbols:
-            state = state[s]
-            last.append(state.token)
-        path, spelling = [], self.spelling
-        i = len(symbols)
+        state = self.start
+        passed = [state := state[s] for s in symbols]
+        path = []
+        i = len(passed)
         while i:
-            t = last[i - 1]
-            path.append(t)
-            i -= len(spelling[t])
+            state = passed[i - 1]
+            path.append(state.token)
+            i -= state.size
         path.reverse()
         return path
 
@@ -208,6 +207,8 @@ class WordCodec:
         self.pre_split = regex.compile(spec_json["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.spec, self.library = spec, None
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.special_mark = os.path.commonprefix(list(self.special))
+        self.letters_are_words = self.pre_split.findall("ab") == ["ab"] and self.pre_split.findall("a" * 40) == ["a" * 40]
         self.keep = keep
         self.words: dict[bytes, tuple[int, ...]] = {}
         self.missed = 0
@@ -228,7 +229,7 @@ class WordCodec:
         self.pieces = Pieces()
 
     def _piece(self, piece: str) -> list[int]:
-        if not any(s in piece for s in self.special):
+        if self.special_mark not in piece or not any(s in piece for s in self.special):
             return self._plain(piece)
         ids, at = [], 0
         for m in self.cut_special.finditer(piece):
@@ -240,6 +241,8 @@ class WordCodec:
     def _split(self, piece: str) -> list[bytes]:
         """The words of a piece, normalised, as bytes."""
         if piece.isascii():
+            if self.letters_are_words and piece.isalpha():
+                return [piece.lower().encode()]
             return [w.encode() for w in self.pre_split.findall(piece.lower())]
         if any(unicodedata.category(c) == "Cn" for c in piece):
             # code points that this Python does not know, but the library's newer tables may: it normalises and splits
