@@ -176,17 +176,3 @@ def variant_in_text(text: Column, variant: Column) -> Column:
 def without_ascii_anchors(text: Column) -> Column:
     """ASCII tokens with their joints removed, white space single."""
     return single_spaced(F.regexp_replace(text, "[A-Za-z0-9_./:$#@-]+", " "))
-
-
-def markdown_segments(text: Column) -> Column:
-    """Blocks of a Markdown text, array<struct<kind, text, sha256>>: code fences stay whole, other blocks end at blank lines."""
-    fenced = F.split(F.coalesce(text, F.lit("")), "(?m)^```", -1)
-
-    def piece(kind: str, body: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), body.alias("text"), F.sha2(body.cast("binary"), 256).alias("sha256"))
-
-    def plain(part: Column) -> Column:
-        blocks = F.filter(F.transform(F.split(part, r"\n[ \t]*\n+"), lambda b: F.btrim(b, F.lit(" \n\t"))), lambda b: b != "")
-        return F.transform(blocks, lambda b: F.when(b.startswith("#"), piece("heading", b)).when(b.rlike("^[-*] "), piece("list", b)).otherwise(piece("paragraph", b)))
-
-    return F.flatten(F.transform(fenced, lambda p, i: F.when(i % 2 == 1, F.array(piece("code", F.concat(F.lit("```"), p, F.lit("```"))))).otherwise(plain(p))))

@@ -149,6 +149,36 @@ def cutoff(decided: DataFrame, level: str) -> DataFrame:
     return decided
 
 
+def resume_counters(results: DataFrame, config: GateConfig = GateConfig()) -> DataFrame:
+    """One row of counters replayed from persisted results ``(id, created_at, accepted, pass_<stage>)``: rows by stage passed, decisions, and the last id processed.
+
+    A stage that is switched off counts as passed.
+    """
+    passed, stages = F.lit(True), []
+    for s in STAGES[:4]:
+        passed = passed & F.coalesce(F.col(f"pass_{s}"), F.lit(not config.enabled[s]))
+        stages.append(F.count_if(passed).alias(s))
+    yes = F.coalesce(F.col("accepted"), F.lit(False))
+    last = F.max_by("id", F.struct("created_at", "id")).alias("last_processed")
+    return results.agg(F.count(F.lit(1)).alias("generated"), *stages, F.count_if(yes).alias("final_approved"), F.count_if(~yes).alias("rejected"), last)
+
+
+def resume_rejections(results: DataFrame) -> DataFrame:
+    """``(reason, n)`` of rejected persisted results: all their reasons, or the one reason kept where there is no list."""
+    listed = F.filter(F.coalesce("rejection_reasons", F.array().cast("array<string>")), lambda r: F.trim(r) != "")
+    kept = F.when(F.size(listed) > 0, listed).when(F.coalesce("rejected_reason", F.lit("")) != "", F.array("rejected_reason")).otherwise(F.array().cast("array<string>"))
+    return results.where(~F.coalesce(F.col("accepted"), F.lit(False))).select(F.explode(kept).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def accepted_seeds(results: DataFrame, raw: DataFrame) -> DataFrame:
+    """``(batch, seq, id, chunk_id, doc_id, query_text)`` of the accepted, in the order they were decided: what a resumed run compares with first."""
+    from pyspark.sql.window import Window
+
+    kept = results.where("accepted").select("id", "created_at", "batch")
+    order = Window.partitionBy("batch").orderBy("created_at", "id")
+    return kept.join(raw, "id").withColumn("seq", F.row_number().over(order)).select("batch", "seq", "id", "chunk_id", "doc_id", "query_text")
+
+
 def sequential_gate(rows: DataFrame, config: GateConfig = GateConfig(), batch: str = "batch", order: str = "seq") -> DataFrame:
     """``(batch, id, diversity_ok, novelty)``: what each query of a gating batch is compared with are the queries accepted before it.
 

@@ -54,11 +54,6 @@ def pending(queries: DataFrame, done: DataFrame, key: str, order: str) -> DataFr
     return queries.join(done.select(key).distinct(), key, "left_anti").orderBy(order, key)
 
 
-def resume_state(results: DataFrame) -> DataFrame:
-    """Counters of persisted results: accepted, rejected, and rejections by stage."""
-    return results.groupBy().agg(F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"), *(F.count_if(F.col("rejected_stage") == s).alias(s) for s in gate.STAGES))
-
-
 def run_record(run_id: str, metrics: dict[str, float], started: str, finished: str) -> dict[str, str]:
     """A row for the run log; metrics are JSON with sorted keys."""
     import json

@@ -128,3 +128,29 @@ def greedy_diversity(spark, sf_dir):
     vec, yes = F.col("vec_id"), F.lit(True)
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("batch"), vec.alias("seq"), vec.alias("id"), (vec % 8).alias("chunk_id"), (vec % 4).alias("doc_id"), "embedding", yes.alias("rule_ok"), yes.alias("llm_ok"), F.lit(1.0).alias("llm_avg"), F.lit(1.0).alias("utility"))
     return gate.sequential_gate(rows, gate.GateConfig(same_chunk=0.5, same_doc=0.6))
+
+
+def _persisted(spark, sf_dir):
+    """Decisions as they are kept: with a time, one reason or a list of them."""
+    item = F.col("id")
+    rows = _decided(spark, sf_dir).withColumnRenamed("item_id", "id")
+    bad = F.when(~F.col("accepted"), F.col("rejected_stage"))
+    return rows.select("id", (item % 7).alias("created_at"), (item % 2).alias("batch"), "accepted", *(f"pass_{s}" for s in gate.STAGES[:4]), F.when(item % 3 > 0, F.array(bad, F.lit("low"), F.lit(" "))).alias("rejection_reasons"), bad.alias("rejected_reason"))
+
+
+@query("resume_counters", f"""WITH RECURSIVE {SQL_DECIDED} SELECT count(*)::BIGINT AS generated, count(*) FILTER (WHERE rule_ok)::BIGINT AS rule_filter, count(*) FILTER (WHERE rule_ok AND p2)::BIGINT AS llm_self_eval, count(*) FILTER (WHERE rule_ok AND p2 AND p3)::BIGINT AS retrieval_utility,
+  count(*) FILTER (WHERE rule_ok AND p2 AND p3 AND p4)::BIGINT AS diversity_dedup, count(*) FILTER (WHERE accepted)::BIGINT AS final_approved, count(*) FILTER (WHERE NOT accepted)::BIGINT AS rejected, arg_max(item_id, (item_id % 7, item_id)) AS last_processed FROM de""")
+def resume_counters(spark, sf_dir):
+    return gate.resume_counters(_persisted(spark, sf_dir))
+
+
+@query("resume_rejections", f"""WITH RECURSIVE {SQL_DECIDED}, y AS (SELECT unnest(CASE WHEN item_id % 3 > 0 THEN [rejected_stage, 'low'] ELSE [rejected_stage] END) AS reason FROM de WHERE NOT accepted) SELECT reason, count(*)::BIGINT AS n FROM y GROUP BY reason""")
+def resume_rejections(spark, sf_dir):
+    return gate.resume_rejections(_persisted(spark, sf_dir))
+
+
+@query("accepted_seeds", f"""WITH RECURSIVE {SQL_DECIDED} SELECT item_id % 2 AS batch, row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id % 7, item_id)::INT AS seq, item_id AS id, item_id % 8 AS chunk_id, item_id % 4 AS doc_id, left(benchmark.text, 50) AS query_text FROM de JOIN benchmark USING (item_id) WHERE accepted""")
+def accepted_seeds(spark, sf_dir):
+    item = F.col("item_id")
+    raw = table(spark, sf_dir, "benchmark").select(item.alias("id"), (item % 8).alias("chunk_id"), (item % 4).alias("doc_id"), F.left("text", F.lit(50)).alias("query_text"))
+    return gate.accepted_seeds(_persisted(spark, sf_dir), raw)

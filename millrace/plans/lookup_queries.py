@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import phrases as P
 from millrace.functions import text as T
-from millrace.operators import relational, retrieve
+from millrace.operators import relational, retrieve, segments
 from millrace.plans.registry import query
 from millrace.plans.retrieval_queries import SQL_BM25, _ranked
 from millrace.plans.text_queries import SQL_TOKENS
@@ -80,4 +80,4 @@ def compressed_queries(spark, sf_dir):
 
 @query("markdown_segments")
 def markdown_segments(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.markdown_segments(F.col("text"))).alias("place", "s")).select("doc_id", "place", "s.*")
+    return segments.segmented(table(spark, sf_dir, "documents"))

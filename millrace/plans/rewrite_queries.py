@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators import relational as R
 from millrace.operators import rewrite
 from millrace.plans.registry import query
 from millrace.plans.relational_queries import SQL_COOC, _cooccurrence
-from millrace.plans.retrieval_queries import SQL_TWO_LISTS, _two_lists
-from millrace.plans.text_queries import SQL_TECHNICAL, SQL_TOKENS
+from millrace.plans.retrieval_queries import SQL_BM25, SQL_TWO_LISTS, _two_lists
+from millrace.plans.text_queries import SQL_SENTENCES, SQL_TECHNICAL, SQL_TOKENS
 from millrace.sources.tables import table
 
 ORDER_TEXT = """CASE o_orderstatus WHEN 'F' THEN 'compare JdbcTemplate and R2dbcClient configuration, error when deploying order ' || o_orderkey WHEN 'O' THEN 'open status of ' || lower(o_orderpriority)
@@ -164,3 +165,14 @@ def anchor_grounding(spark, sf_dir):
     flags = [F.expr(sql) for sql in FLAGS.values()]
     judged = table(spark, sf_dir, "lineitem").select(rewrite.grounding(*flags).alias("g")).select("g.*")
     return judged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("overall"), 6).alias("overall"))
+
+
+SQL_SUB = f"""p AS (SELECT item_id AS query_id, {SQL_SENTENCES.format("text")} AS s FROM benchmark), sub AS (SELECT query_id * 100 + i AS item_id, s[i] AS text FROM p, LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i))"""
+
+
+@query("agentic_rrf", f"""WITH {SQL_SUB}, {SQL_BM25.replace("FROM benchmark", "FROM sub")}, m AS (SELECT query_id // 100 AS query_id, doc_id, round(sum(1 / (60 + rank)), 12) AS rrf, max(bm25) AS best FROM r WHERE rank <= 10 GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best DESC, doc_id) AS rank FROM m) SELECT query_id, doc_id, rrf, best, rank::INT AS rank FROM z WHERE rank <= 10""")
+def agentic_rrf(spark, sf_dir):
+    """The sentences of a passage stand for the subqueries of a plan."""
+    parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(T.sentences(F.col("text"))).alias("seq", "text"))
+    return rewrite.subquery_search(table(spark, sf_dir, "documents"), parts)

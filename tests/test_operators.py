@@ -36,13 +36,6 @@ def test_alias_normal_forms(spark):
         assert r["got"] == r["wanted"]
 
 
-def test_markdown_segments(spark):
-    text = "# Head\n\npara one\nstill\n\n- item\n\n```sql\nselect 1\n\nfrom t\n```\nafter"
-    rows = one(spark, T.markdown_segments(F.lit(text)))
-    assert [r["kind"] for r in rows] == ["heading", "paragraph", "list", "code", "paragraph"]
-    assert rows[3]["text"] == "```sql\nselect 1\n\nfrom t\n```" and rows[4]["text"] == "after" and len(rows[0]["sha256"]) == 64
-
-
 def test_name_uuid_equals_the_standard_library(spark):
     import uuid
 
