@@ -67,6 +67,57 @@ def split_families(samples: DataFrame, share: float = 0.5, seed: str = "split")
     return samples.withColumn("split", F.when(hashed_unit(seed, F.col("family")) < share, "dev").otherwise("test"))
 
 
+#: Endings that make a query one of a category, part of the results' definition: (category, ending, type); the last holds for all others.
+FILLERS = (
+    ("troubleshooting", " 실행 시 오류가 나는 경우 점검 포인트를 알려주세요.", "reason"), ("short_user", " 빠르게?", "short_user"), ("code_mixed", " 설정할 때 default property가 뭐야?", "code_mixed"),
+    ("follow_up", " 그다음에는 뭘 하면 돼?", "follow_up"), ("", " 실무 예시까지 포함해서 설명해 주세요.", "procedure"),
+)
+
+
+def filled_query(category_col: Column, text: Column) -> Column:
+    """Struct ``(query_text, query_type)`` of a query made for a category from that of another."""
+    short = F.trim(F.split_part(text, F.lit("?"), F.lit(1)))
+    made = lambda name, ending, kind: F.struct(F.concat(short if name == "short_user" else text, F.lit(ending)).alias("query_text"), F.lit(kind).alias("query_type"))
+    out = made(*FILLERS[-1])
+    for name, ending, kind in FILLERS[:-1]:
+        out = F.when(category_col == name, made(name, ending, kind)).otherwise(out)
+    return out
+
+
+def build_dataset(candidates: DataFrame, targets: dict[str, dict[str, int]], limit: int = 800, seed: str = "dataset") -> DataFrame:
+    """``(split, category, place, id, query_text, query_type, made)``: an evaluation set with quotas by category and no family in two splits.
+
+    ``candidates(id, created_at, query_text, query_type, family, category)``: the newest ``limit`` (a sampling
+    operator) are dealt by family, half of the families in seeded order to the first split; one family
+    alone serves both. A category takes its quota in seeded order; what is missing is made from its own
+    rows in turn, else from those of the split, else from all. Work after the limit is on ``limit`` rows.
+    """
+    spark = candidates.sparkSession
+    first, second = targets
+    newest = candidates.orderBy(F.desc("created_at"), "id").limit(limit).withColumn("new", F.row_number().over(Window.orderBy(F.desc("created_at"), "id")) - 1)
+    names = newest.select("family").distinct().select("family", F.row_number().over(Window.orderBy(hashed_unit(seed, F.col("family")), "family")).alias("at"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
+    dealt = names.select("family", F.explode(F.when(F.col("n") == 1, F.array(F.lit(first), F.lit(second))).when(F.col("at") <= F.floor(F.col("n") / 2), F.array(F.lit(first))).otherwise(F.array(F.lit(second)))).alias("split"))
+    own = newest.join(dealt, "family")
+    order = Window.partitionBy("split", "category").orderBy(hashed_unit(seed, F.col("split"), F.col("id")), "id")
+    own = own.select("split", "category", "id", "query_text", "query_type", "new", (F.row_number().over(order) - 1).alias("k"))
+    own = own.withColumn("in_split", F.row_number().over(Window.partitionBy("split").orderBy("new")) - 1)
+    wanted = spark.createDataFrame([(s, c, n) for s, cs in targets.items() for c, n in cs.items()], "split string, category string, want int")
+    sizes = own.groupBy("split", "category").agg(F.count(F.lit(1)).cast("int").alias("have"))
+    splits = own.groupBy("split").agg(F.count(F.lit(1)).cast("int").alias("n_split"))
+    asked = wanted.join(sizes, ["split", "category"], "left").join(splits, "split", "left").crossJoin(F.broadcast(newest.agg(F.count(F.lit(1)).cast("int").alias("n_all")))).na.fill(0, ["have", "n_split"])
+    taken = own.join(asked.select("split", "category", "want"), ["split", "category"]).where("k < want").select("split", "category", F.col("k").alias("place"), "id", "query_text", "query_type", F.lit(False).alias("made"))
+    short = asked.where("have < want AND n_all > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("want") - F.col("have") - 1)).alias("i")).withColumn("place", F.col("have") + F.col("i"))
+    slim = lambda df, *keys: df.select(*keys, "id", "query_text")
+    by_category = short.where("have > 0").withColumn("k", F.col("i") % F.col("have")).join(slim(own, "split", "category", "k"), ["split", "category", "k"])
+    by_split = short.where("have = 0 AND n_split > 0").withColumn("in_split", F.col("i") % F.col("n_split")).join(slim(own, "split", "in_split"), ["split", "in_split"])
+    by_all = short.where("have = 0 AND n_split = 0").withColumn("new", F.col("i") % F.col("n_all")).join(slim(newest, "new"), "new")
+    made = None
+    for part in (by_category, by_split, by_all):
+        rows = part.select("split", "category", "place", "id", filled_query(F.col("category"), F.col("query_text")).alias("q")).select("split", "category", "place", "id", "q.*", F.lit(True).alias("made"))
+        made = rows if made is None else made.union(rows)
+    return taken.union(made)
+
+
 def category_summary(metrics: DataFrame, by: list[str], names: list[str]) -> DataFrame:
     return metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in names))
 

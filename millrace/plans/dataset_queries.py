@@ -143,3 +143,28 @@ def missing_embeddings(spark, sf_dir):
 def json_reply_texts(spark, sf_dir):
     fields = {"view": ("k",), "click": ("q", "k")}
     return table(spark, sf_dir, "events").select("event_id", dataset.query_text(F.col("event_type"), F.col("props"), fields).alias("query_text"))
+
+
+TARGETS = {"dev": {"general_ko": 12, "troubleshooting": 6, "short_user": 9, "follow_up": 4}, "test": {"general_ko": 8, "code_mixed": 3, "short_user": 5}}
+SQL_HASHED = "('0x' || substr(md5({0}), 1, 12))::UBIGINT::DOUBLE / 16.0 ** 12"
+
+
+@query("dataset_build", f"""
+WITH c AS (SELECT conv_id * 100 + turn AS id, conv_id % 13 AS created_at, coalesce(text, '') AS q, 'f' || conv_id % 6 AS family, CASE WHEN conv_id % 5 = 0 THEN 'short_user' WHEN regexp_matches(lower(coalesce(text, '')), 'fail|exception') THEN 'troubleshooting' WHEN conv_id % 7 = 1 THEN 'follow_up' ELSE 'general_ko' END AS category, role AS t FROM conversations),
+nw AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) - 1 AS new FROM c ORDER BY created_at DESC, id LIMIT 60),
+fa AS (SELECT family, row_number() OVER (ORDER BY {SQL_HASHED.format("'dataset:' || family")}, family) AS fpos, count(*) OVER () AS n FROM (SELECT DISTINCT family FROM nw)),
+de AS (SELECT family, unnest(CASE WHEN n = 1 THEN ['dev', 'test'] WHEN fpos <= n // 2 THEN ['dev'] ELSE ['test'] END) AS split FROM fa),
+ow AS (SELECT split, category, id, q, t, new, row_number() OVER (PARTITION BY split, category ORDER BY {SQL_HASHED.format("'dataset:' || split || ':' || id")}, id) - 1 AS k, row_number() OVER (PARTITION BY split ORDER BY new) - 1 AS p FROM nw JOIN de USING (family)),
+wa(split, category, want) AS (VALUES {", ".join(f"('{s}', '{c}', {n})" for s, cs in TARGETS.items() for c, n in cs.items())}),
+ak AS (SELECT wa.*, (SELECT count(*) FROM ow WHERE ow.split = wa.split AND ow.category = wa.category) AS have, (SELECT count(*) FROM ow WHERE ow.split = wa.split) AS ns, (SELECT count(*) FROM nw) AS na FROM wa),
+sh AS (SELECT ak.*, i FROM ak, LATERAL (SELECT unnest(range(0, want - have)) AS i) WHERE have < want),
+fi AS (SELECT sh.split, sh.category, have + i AS place, ow.id, ow.q FROM sh JOIN ow ON have > 0 AND ow.split = sh.split AND ow.category = sh.category AND ow.k = i % have
+  UNION ALL SELECT sh.split, sh.category, i, ow.id, ow.q FROM sh JOIN ow ON have = 0 AND ns > 0 AND ow.split = sh.split AND ow.p = i % ns UNION ALL SELECT sh.split, sh.category, i, nw.id, nw.q FROM sh JOIN nw ON have = 0 AND ns = 0 AND nw.new = i % na)
+SELECT split, category, k::INT AS place, id, q AS query_text, t AS query_type, FALSE AS made FROM ow JOIN wa USING (split, category) WHERE k < want
+UNION ALL SELECT split, category, place::INT, id, CASE category WHEN 'troubleshooting' THEN q || ' 실행 시 오류가 나는 경우 점검 포인트를 알려주세요.' WHEN 'short_user' THEN trim(split_part(q, '?', 1)) || ' 빠르게?' WHEN 'code_mixed' THEN q || ' 설정할 때 default property가 뭐야?'
+  WHEN 'follow_up' THEN q || ' 그다음에는 뭘 하면 돼?' ELSE q || ' 실무 예시까지 포함해서 설명해 주세요.' END, CASE category WHEN 'troubleshooting' THEN 'reason' WHEN 'short_user' THEN 'short_user' WHEN 'code_mixed' THEN 'code_mixed' WHEN 'follow_up' THEN 'follow_up' ELSE 'procedure' END, TRUE FROM fi""")
+def dataset_build(spark, sf_dir):
+    conv, text = F.col("conv_id"), F.coalesce("text", F.lit(""))
+    kind = F.when(conv % 5 == 0, "short_user").when(F.lower(text).rlike("fail|exception"), "troubleshooting").when(conv % 7 == 1, "follow_up").otherwise("general_ko")
+    rows = table(spark, sf_dir, "conversations").select((conv * 100 + F.col("turn")).alias("id"), (conv % 13).alias("created_at"), text.alias("query_text"), F.col("role").alias("query_type"), F.concat(F.lit("f"), (conv % 6).cast("string")).alias("family"), kind.alias("category"))
+    return dataset.build_dataset(rows, TARGETS, 60)

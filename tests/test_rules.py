@@ -103,3 +103,21 @@ def test_probe_counts_and_ratios(spark):
     assert one(spark, reports.nested_metric(F.lit('{"a": "", "dedupe_summary": {"a": "7"}}'), "a")) == 7 and one(spark, reports.nested_metric(F.lit("{}"), "a")) == 0
     assert one(spark, reports.merged_json(F.lit('{"b": "1", "a": "2", "c": null}'), F.lit('{"a": "3"}'))) == '{"a":"3","b":"1"}'
     assert math.isclose(one(spark, reports.ratio(F.lit(1), F.lit(4))), 0.25) and one(spark, reports.ratio(F.lit(1), F.lit(0))) is None
+
+
+def test_dataset_quotas(spark):
+    """Quotas hold, families are on one side, and what is missing is made in turn; one family serves both sides."""
+    schema = "id long, created_at long, query_text string, query_type string, family string, category string"
+    rows = [(i, i, f"q{i}? more", "definition", f"f{i % 4}", ["general_ko", "short_user"][i % 3 == 0]) for i in range(40)]
+    targets = {"dev": {"general_ko": 3, "short_user": 30, "code_mixed": 2}, "test": {"general_ko": 40}}
+    out = dataset.build_dataset(spark.createDataFrame(rows, schema), targets, 30).collect()
+    counts = {(s, c): sorted(r["place"] for r in out if (r["split"], r["category"]) == (s, c)) for s, cs in targets.items() for c in cs}
+    assert counts == {(s, c): list(range(n)) for s, cs in targets.items() for c, n in cs.items()} and min(r["id"] for r in out) >= 10
+    sides = {s: {r["id"] % 4 for r in out if r["split"] == s} for s in targets}
+    assert not sides["dev"] & sides["test"] and len(sides["dev"]) == 2
+    made = [r for r in out if r["made"]]
+    assert {(r["category"], r["query_type"]) for r in made} == {("short_user", "short_user"), ("code_mixed", "code_mixed"), ("general_ko", "procedure")}
+    assert all(r["query_text"] == f"q{r['id']} 빠르게?" for r in made if r["category"] == "short_user")
+    one_family = dataset.build_dataset(spark.createDataFrame([(1, 1, "only", "x", "f", "general_ko")], schema), {"dev": {"general_ko": 1}, "test": {"general_ko": 2}}).collect()
+    assert sorted((r["split"], r["place"], r["made"]) for r in one_family) == [("dev", 0, False), ("test", 0, False), ("test", 1, True)]
+    assert dataset.build_dataset(spark.createDataFrame([], schema), targets).count() == 0
