@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,21 @@ def tidied(run: Callable) -> Callable:
     return whole
 
 
+@contextmanager
+def numeric_batches(spark: SparkSession, rows: int = 1 << 13) -> Iterator[None]:
+    """Larger Arrow batches for what runs meanwhile: stages of numbers alone, for which batches of texts are too small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns: list[str]) -> DataFrame:
     """Apply a Python function to Arrow columns, batch by batch, in one narrow stage.
 
@@ -169,6 +185,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     join, which AQE can split where a node is hot. Every pass is checkpointed, and only a count and a
     checksum reach the driver. Nodes without edges do not appear.
     """
+    with numeric_batches(edges.sparkSession):
+        return _components(edges, rounds)
+
+
+def _components(edges: DataFrame, rounds: int) -> DataFrame:
     now = durable(edges.where("a <> b").select("a", "b"))
     state = None
     for _ in range(rounds):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import components, durable, least_roots, map_rows, starts_of, tidied, whole_groups
+from millrace.llm.common import components, durable, least_roots, map_rows, numeric_batches, starts_of, tidied, whole_groups
 from millrace.llm.simhash import GrayIndex
 
 WIDTH, LEAST = 5, 0.8
@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = durable(nodes(named, "_s_id", "_s_text", width, least, frequent_shingles(named, "_s_text", width)))
     alike = own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("first").alias("first"))
     distinct = durable(own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.max(F.struct("n", "s0", "s1")).alias("x")).select("fp", "least", "x.*"))
-    shared = durable(_shared(alike.select(F.explode("first").alias("h"), F.col("fp").alias("node"))))
+    with numeric_batches(docs.sparkSession):
+        shared = durable(_shared(alike.select(F.explode("first").alias("h"), F.col("fp").alias("node"))))
     known = distinct.select(F.col("fp").alias("node"), "n", "s0", "s1")
 
     rows = shared.join(known, "node").withColumn("component", F.col("node"))
