@@ -62,18 +62,24 @@ class Spelling(dict):
 class State(dict):
     """A state of the second table: the next state by symbol, laid when first asked for; the last token and its number of symbols, the longest suffix that is a node, and the last tokens at its places."""
 
-    __slots__ = ("token", "size", "node", "ends", "owner")
+    __slots__ = ("token", "size", "node", "ends", "owner", "kept")
 
-    def __init__(self, token: int, size: int, node: Spelling, ends: tuple[int, ...], owner: MergeAutomaton) -> None:
-        self.token, self.size, self.node, self.ends, self.owner = token, size, node, ends, owner
+    def __init__(self, token: int, size: int, node: Spelling, ends: tuple[int, ...], owner: MergeAutomaton, kept: bool) -> None:
+        self.token, self.size, self.node, self.ends, self.owner, self.kept = token, size, node, ends, owner, kept
 
     def __missing__(self, symbol: int) -> State:
-        found = self[symbol] = self.owner.determinise(self, symbol)
+        found = self.owner.determinise(self, symbol)
+        if found.kept:
+            self[symbol] = found
         return found
 
 
 class MergeAutomaton:
-    """The compiled merges. ``ids`` maps labels to ids; merges are pairs of labels, best first. At most ``keep`` states are held."""
+    """The compiled merges. ``ids`` maps labels to ids; merges are pairs of labels, best first.
+
+    At most ``keep`` states are held, those that come first, so mostly the beginnings that many words
+    share; others are made again each time.
+    """
 
     def __init__(self, ids: dict[str, int], merges: Iterable[tuple[str, str]], base: Iterable[str], keep: int = 150_000) -> None:
         self.label = {i: s for s, i in ids.items()}
@@ -131,7 +137,10 @@ class MergeAutomaton:
         key = (id(node), ends)
         found = self.states.get(key)
         if found is None:
-            found = self.states[key] = State(ends[-1], len(self.spelling.get(ends[-1], ())), node, ends, self)
+            kept = len(self.states) < self.keep
+            found = State(ends[-1], len(self.spelling.get(ends[-1], ())), node, ends, self, kept)
+            if kept:
+                self.states[key] = found
         return found
 
     def arc(self, p: int, t: int) -> bool:
@@ -164,8 +173,6 @@ class MergeAutomaton:
 
     def encode(self, symbols: list[int]) -> list[int]:
         """The one path that spells ``symbols`` (indices into ``base``): a transition for each, then the tokens from the last place back."""
-        if len(self.states) > self.keep:
-            self.rest()
         state = self.start
         passed = [state := state[s] for s in symbols]
         path = []

@@ -38,11 +38,11 @@ def test_mixed_scripts(both):
 def test_states_are_bounded():
     path = queries.word_tokenizer_path()
     codec = bpe.WordCodec(bpe.read_spec(path), keep=10)
-    codec.automaton.keep = 50
+    codec.automaton.keep = 100
     r = random.Random(1)
     words = ["".join(r.choices("abcdehilnorst", k=r.randint(1, 14))) for _ in range(500)]
     whole = bpe.WordCodec(bpe.read_spec(path))
-    assert all(codec.encode(w) == whole.encode(w) for w in words) and len(codec.automaton.states) < 50 + 16
+    assert all(codec.encode(w) == whole.encode(w) for w in words) and len(codec.automaton.states) <= 100
 
 
 def test_transitions_are_taken_from_the_table(both, monkeypatch):
