@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, embed_dedup, html_extract, langid, mixing, quality, secrets, simhash, toxicity
+from millrace.llm import bpe, chat, embed_dedup, fim, html_extract, langid, mixing, quality, secrets, sharding, simhash, toxicity, turn_repair
 from millrace.llm.common import load
 
 
@@ -139,8 +139,22 @@ FROM e GROUP BY conv_id
 """
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_rows(docs, shards=16).drop("text")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = turn_repair.damage_turns(load(spark, sf_dir, "conversations"))
+    return turn_repair.repair_digest(turn_repair.repair_conversations(damaged, present_col="present"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digest(fim.fill_in_middle(load(spark, sf_dir, "documents"), seed=42))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_html": op9_html, "op10_chat": op10_chat}
+    return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_html": op9_html, "op10_chat": op10_chat, "op11_sharding": op11_sharding, "op12_repair": op12_repair, "op13_fim": op13_fim}
 
 
 def oracle_sql() -> dict[str, str]:
