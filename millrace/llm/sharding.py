@@ -84,9 +84,9 @@ class Ends:
             return max(end, int(self.known[i + 1])) if most else end
         return end if end > x else int(self.known[i + 1])
 
-    def chain(self, capacity: int, shards: int, most: bool) -> list[int]:
-        """The ends of the greedy shards."""
-        at, out = 0, []
+    def chain(self, capacity: int, shards: int, most: bool, start: int = 0) -> list[int]:
+        """The ends of the greedy shards from ``start``."""
+        at, out = start, []
         for _ in range(shards):
             at = self.jump(at, capacity, most)
             out.append(at)
@@ -104,22 +104,48 @@ class Ends:
         return low
 
 
+def runs_of_shards(ends: Ends, capacity: int, shards: int) -> list[tuple[int, int, int]]:
+    """``(start, end, shards)`` of the runs between groups larger than the capacity, and of each of those (0 shards to cut).
+
+    The greedy pass says how many shards a run needs; each one left goes where a shard would hold most.
+    """
+    at = start = number = 0
+    runs: list[list[int]] = []
+    while at < ends.total:
+        end = ends.jump(at, capacity, most=False)
+        if end - at > capacity:
+            runs += [[start, at, number]] if number else []
+            runs.append([at, end, 0])
+            start, number = end, 0
+        else:
+            number += 1
+        at = end
+    runs += [[start, at, number]] if number else []
+    for _ in range(shards - sum(max(1, n) for _, _, n in runs)):
+        if cut := [r for r in runs if r[2]]:
+            max(cut, key=lambda r: (r[1] - r[0]) / r[2])[2] += 1
+    return [(a, b, n) for a, b, n in runs]
+
+
 def even_cuts(ends: Ends, capacity: int, shards: int) -> tuple[list[int], set[int]]:
-    """Ends of the shards at that capacity: each as near its even share as the capacity and the shards behind it allow.
+    """Ends of the shards at that capacity: in each run as near an even share as the capacity and the shards behind allow.
 
     And the open gaps in which an end was looked up.
     """
-    earliest = [ends.total - x for x in ends.reversed().chain(capacity, shards, most=False)][::-1][1:] + [ends.total]
-    at, out, unsure = 0, [], set()
-    for k in range(1, shards):
-        share = ends.total * k // shards
-        unsure |= {ends.gap(share), ends.gap(at + capacity)}
-        below = ends.floor(share, most=False)
-        above = int(ends.known[min(int(np.searchsorted(ends.known, share, "left")), len(ends.known) - 1)])
-        near = below if share - below <= above - share else above
-        at = max(at, min(max(near, earliest[k - 1]), ends.jump(at, capacity, most=False)))
-        out.append(at)
-    return [*out, ends.total], unsure - {-1}
+    out, unsure = [], set()
+    for start, stop, number in runs_of_shards(ends, capacity, shards):
+        earliest = [ends.total - x for x in ends.reversed().chain(capacity, max(0, number - 1), most=False, start=ends.total - stop)][::-1]
+        at = start
+        for k in range(1, number):
+            share = start + (stop - start) * k // number
+            unsure |= {ends.gap(share), ends.gap(at + capacity)}
+            below = ends.floor(share, most=False)
+            above = int(ends.known[min(int(np.searchsorted(ends.known, share, "left")), len(ends.known) - 1)])
+            near = below if share - below <= above - share else above
+            at = min(stop, max(at, min(max(near, earliest[k - 1]), ends.jump(at, capacity, most=False))))
+            out.append(at)
+        out.append(stop)
+    return [*out, *[ends.total] * (shards - len(out))], unsure - {-1}
 
 
 def _wanted(ends: Ends, low: int, high: int, shards: int) -> set[int]:
