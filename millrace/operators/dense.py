@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,8 @@ def _blocks(df: DataFrame, id_col: str, vec_col: str, rows: int, prefix: str) ->
     return dealt.groupBy(F.pmod(F.xxhash64(id_col), F.col("_b")).alias(f"{prefix}_block")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))).alias(prefix))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
-    """``(query_id, doc_id, score, rank)``: top k by cosine in double precision, ties by id.
-
-    A task takes one block of each side, and passes on k rows for each of its queries.
-    """
+def best_of_blocks(k: int, exclude_self: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of pairs of blocks (queries, vectors) the k best vectors of each query of a pair, by cosine, ties by id."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,5 +40,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bo
                 ok = picked > -2.0
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rows][ok]), pa.array(did[order.ravel()][ok]), pa.array(picked[ok])], names=["query_id", "doc_id", "score"])
 
+    return best
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, exclude_self: bool = True) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: top k by cosine in double precision, ties by id.
+
+    A task takes one block of each side, and passes on k rows for each of its queries.
+    """
     pairs = _blocks(queries, "query_id", "embedding", QUERY_BLOCK, "q").crossJoin(_blocks(vectors, "doc_id", "embedding", VECTOR_BLOCK, "d"))
-    return top_k(pairs.select("q", "d").mapInArrow(best, "query_id bigint, doc_id bigint, score double"), "score", k)
+    return top_k(pairs.select("q", "d").mapInArrow(best_of_blocks(k, exclude_self), "query_id bigint, doc_id bigint, score double"), "score", k)

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import dense, evaluate, retrieve, search
+from millrace.operators import dense, evaluate, inverted, retrieve, search, vector_index
 from millrace.plans.registry import query
 from millrace.plans.text_queries import SQL_TOKENS
+from millrace.sources.stored import stored_once
 from millrace.sources.tables import table
 
 SQL_BM25 = f"""
@@ -39,19 +40,32 @@ def _bench(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, k=10):
-    return retrieve.top_k(retrieve.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir)), "bm25", k)
+    return retrieve.top_k(inverted.bm25(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir)), "bm25", k)
 
 
 @query("bm25_top10", f"WITH {SQL_BM25} SELECT query_id, doc_id, bm25, rank::INT AS rank FROM r WHERE rank <= 10")
 def bm25_top10(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("query_id", "doc_id", "bm25", "rank")
+    return retrieve.top_k(retrieve.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir)), "bm25", 10).select("query_id", "doc_id", "bm25", "rank")
 
 
+@query("bm25_indexed_top10", f"WITH {SQL_BM25} SELECT query_id, doc_id, bm25, rank::INT AS rank FROM r WHERE rank <= 10")
+def bm25_indexed_top10(spark, sf_dir):
+    """The same from the stored index, blocks whose bound is too low left out."""
+    found = inverted.bm25_top_k(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir))
+    return found.select("query_id", "doc_id", "bm25", "rank")
+
+
+@query("index_terms", f"""WITH {SQL_BM25.replace("WHERE token IN (SELECT token FROM q) ", "")} SELECT token, df::BIGINT AS df, most::BIGINT AS most FROM (SELECT token, count(*) AS df, max(tf) AS most FROM tf GROUP BY token)""")
+def index_terms(spark, sf_dir):
+    """Document frequency and greatest count of every token, from the stored postings."""
+    held = inverted.index_of(spark, sf_dir).postings.where("token IS NOT NULL")
+    return held.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+
 @query("technical_overlap_top10", f"""
 WITH {SQL_TECH_SETS}, x AS (SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, d)) / sqrt(len(q) * len(d)), 9) AS technical FROM qs, ds WHERE len(list_intersect(q, d)) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY technical DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, technical, rank::INT AS rank FROM r WHERE rank <= 10""")
 def technical_overlap_top10(spark, sf_dir):
-    scored = retrieve.technical_overlap(_docs(spark, sf_dir), _bench(spark, sf_dir)).withColumn("technical", F.round("technical", 9))
+    scored = inverted.technical_overlap(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir)).withColumn("technical", F.round("technical", 9))
     return retrieve.top_k(scored, "technical", 10)
 
 
@@ -85,17 +99,17 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 @query("hybrid_top10", _sql_hybrid((0.58, 0.34, 0.08)))
 def hybrid_top10(spark, sf_dir):
-    return search.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir))
+    return search.packed_hybrid(inverted.index_of(spark, sf_dir).packs, _bench(spark, sf_dir))
 
 
 @query("dense_only_top10", _sql_hybrid((1, 0, 0)))
 def dense_only_top10(spark, sf_dir):
-    return search.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir), mode="dense_only")
+    return search.packed_hybrid(inverted.index_of(spark, sf_dir).packs, _bench(spark, sf_dir), mode="dense_only")
 
 
 @query("bm25_only_top10", _sql_hybrid((0, 1, 0)))
 def bm25_only_top10(spark, sf_dir):
-    return search.hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir), mode="bm25_only")
+    return search.packed_hybrid(inverted.index_of(spark, sf_dir).packs, _bench(spark, sf_dir), mode="bm25_only")
 
 
 @query("pooled_hybrid_top10", f"""WITH {SQL_DENSE}, k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS r2, row_number() OVER (PARTITION BY query_id ORDER BY round(technical, 9) DESC, doc_id) AS r3 FROM x),
@@ -107,7 +121,7 @@ b2 AS (SELECT h.query_id, h.doc_id, round(sum(ln(1 + (st2.n - f2.df + 0.5) / (f2
 y AS (SELECT po.query_id, po.doc_id, dense, technical, coalesce(b2.bm25, 0) AS bm25, max(coalesce(b2.bm25, 0)) OVER (PARTITION BY po.query_id) AS top FROM po LEFT JOIN b2 ON b2.query_id = po.query_id AND b2.doc_id = po.doc_id),
 w AS (SELECT query_id, doc_id, {SQL_FUSED.format(0.58, 0.34, 0.08)} AS score FROM y), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w) SELECT query_id, doc_id, score, rank::INT AS rank FROM z WHERE rank <= 10""")
 def pooled_hybrid_top10(spark, sf_dir):
-    return search.pooled_hybrid(_docs(spark, sf_dir), _bench(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return search.pooled_hybrid(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 @query("dense_top10", """
@@ -120,6 +134,24 @@ def dense_top10(spark, sf_dir):
     return dense.search(vectors, queries, 10)
 
 
+def _vector_index(spark, sf_dir):
+    folder = stored_once(spark, "vectors", [f"{sf_dir}/embeddings.parquet"], lambda f: vector_index.build(table(spark, sf_dir, "embeddings"), f))
+    return vector_index.open_index(spark, folder)
+
+
+@query("ann_top10")
+def ann_top10(spark, sf_dir):
+    """Nearest vectors through the stored cells; :func:`ann_recall` and the tests hold them against all vectors."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_index.search(_vector_index(spark, sf_dir), asked, 10)
+
+
+@query("ann_recall")
+def ann_recall(spark, sf_dir):
+    """Of the ten nearest of each query, how many the same index finds."""
+    return vector_index.recall(ann_top10(spark, sf_dir), dense_top10(spark, sf_dir))
+
+
 SQL_TWO_LISTS = f"""{SQL_BM25}, {SQL_TECH_SETS},
 tx AS (SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, d)) / sqrt(len(q) * len(d)), 9) AS technical FROM qs, ds WHERE len(list_intersect(q, d)) > 0),
 tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY technical DESC, doc_id) AS rank FROM tx),

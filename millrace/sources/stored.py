@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +36,39 @@ def durable(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def state_of(spark: SparkSession, path: str) -> str:
+    """Where a table is, how large it is and when it was changed last."""
+    system, found = _path(spark, path)
+    size = system.getContentSummary(found)
+    return f"{path}:{size.getLength()}:{size.getFileCount()}:{system.getFileStatus(found).getModificationTime()}"
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    system, found = _path(spark, folder)
+    system.delete(found, True)
+
+
+def stored_once(spark: SparkSession, name: str, sources: list[str], build: Callable[[str], None]) -> str:
+    """The folder that ``build(folder)`` wrote for these tables as they are now; built if it isn't there.
+
+    It lies in the shared folder and is named after the state of the tables, so a changed table gets another. A build
+    goes to a folder of its own that is renamed at its end: what another session sees is whole, and of two
+    that build at once the first stays.
+    """
+    key = hashlib.sha1("|".join([name, *(state_of(spark, s) for s in sources)]).encode()).hexdigest()[:16]
+    folder = f"{shared_folder(spark)}/millrace-{name}-{key}"
+    system, whole = _path(spark, folder)
+    if not system.exists(whole):
+        made = f"{folder}-{uuid.uuid4().hex}"
+        build(made)
+        if not system.rename(_path(spark, made)[1], whole) or system.exists(_path(spark, f"{folder}/{made.rsplit('/', 1)[1]}")[1]):
+            delete_folder(spark, f"{folder}/{made.rsplit('/', 1)[1]}")
+            delete_folder(spark, made)
+    return folder

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import phrases as P
-from millrace.operators import dataset, reports, retrieve, search
+from millrace.operators import dataset, inverted, reports, retrieve, search
 
 
 def one(spark, column):
@@ -77,7 +77,7 @@ def test_pattern_pool_has_no_limit(spark):
     assert retrieve.pattern_pool(docs, asked, 1).count() == 20_000
 
 
-def test_hybrid_sees_documents_without_a_shared_token(spark):
+def test_hybrid_sees_documents_without_a_shared_token(spark, tmp_path):
     """Exact technical terms rank first by BM25; a document that shares no token still has a place by its vector."""
     docs = spark.createDataFrame([(1, "JNDI lookup of a DataSource"), (2, "plain words here"), (3, "other words there"), (4, None)], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "JNDI DataSource"), (8, "")], "item_id long, text string")
@@ -86,7 +86,8 @@ def test_hybrid_sees_documents_without_a_shared_token(spark):
     assert [rows[8, k][0] for k in (1, 2, 3, 4)] == [1, 2, 3, 4]
     only = search.hybrid(docs, asked, 1, mode="bm25_only").where("query_id = 7").first()
     assert (only["doc_id"], only["score"]) == (1, 1.0)
-    pooled = {r["query_id"]: r["doc_id"] for r in search.pooled_hybrid(docs, asked, 2, 1).collect()}
+    inverted.build(docs, str(tmp_path / "index"))
+    pooled = {r["query_id"]: r["doc_id"] for r in search.pooled_hybrid(inverted.open_index(spark, str(tmp_path / "index")), asked, 2, 1).collect()}
     assert pooled == {7: 1, 8: 1}
 
 
