@@ -11,3 +11,4 @@ from millrace.plans import lookup_queries  # noqa: F401
 from millrace.plans import context_queries  # noqa: F401
 from millrace.plans import report_queries  # noqa: F401
 from millrace.plans import phrase_queries  # noqa: F401
+from millrace.plans import selective_queries  # noqa: F401
