@@ -217,22 +217,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, least: float | None = None) -> DataFrame:
-    """One row of ``docs`` for each component, with its columns: the row of the least id.
+    """One row of ``docs`` for each component, with its columns: the row of the least id, then of the least node and text.
 
     With ``least`` the components are those of an exact Jaccard similarity of ``width``-word shingles of
-    at least that (:mod:`millrace.llm.jaccard`), else of fingerprints within ``RADIUS``. A component
-    without any id keeps the row of its least text. Edge cases otherwise as in :func:`near_duplicates`.
+    at least that (:mod:`millrace.llm.jaccard`), else of fingerprints within ``RADIUS``. Rows are told apart
+    by component, id and text: unlike texts under one id all stay, and a component without any id keeps the
+    row of its least node. Rows alike in id and text are told apart by the hash of their other columns.
+    Edge cases otherwise as in :func:`near_duplicates`.
+
+    Ids that name one row find it by the id alone. Only rows of repeated ids, or of none, are hashed again
+    to find the one that stays.
     """
     from millrace.llm import jaccard
 
     near, prints = (near_duplicates, fingerprints) if least is None else (partial(jaccard.near_duplicates, least=least), jaccard.nodes)
-    classes = durable(near(docs, id_col, text_col, width))
+    classes = durable(near(docs, id_col, text_col, width).select(F.col(id_col).alias("_s_id"), "group", "fp"))
     rows = docs.select(whole_row(docs).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
-    kept = classes.where(F.col("component_id") == F.col(id_col)).select(F.col(id_col).alias("_s_id")).distinct()
-    firsts = rows.join(kept, "_s_id").dropDuplicates(["_s_id"]).select("_s_row.*")
-    nameless = classes.where("component_id IS NULL").select("fp", "group").distinct()
-    if nameless.isEmpty():
+    chosen = classes.groupBy("group").agg(F.min(F.struct(F.col("_s_id").isNull().alias("nameless"), "_s_id", "fp")).alias("c")).select("c._s_id", "c.fp")
+    counts = classes.where("_s_id IS NOT NULL").groupBy("_s_id").agg(F.count(F.lit(1)).alias("n"))
+    marked = durable(chosen.join(counts, "_s_id", "left"))
+    firsts = rows.join(marked.where("n = 1").select("_s_id"), "_s_id").select("_s_row.*")
+    odd = marked.where("n IS NULL OR n > 1").select(F.col("_s_id").alias("_s_odd"), F.col("fp").alias("_s_fp"))
+    if odd.isEmpty():
         return firsts
-    bare = rows.where("_s_id IS NULL")
-    texts = prints(bare.select("_s_text", F.col("_s_text").alias("_s_t")), "_s_text", "_s_t", width).join(nameless, "fp").groupBy("group").agg(F.min("_s_text").alias("_s_text"))
-    return firsts.union(bare.join(texts, "_s_text").dropDuplicates(["_s_text"]).select("_s_row.*"))
+    same = F.col("_s_id").eqNullSafe(F.col("_s_odd"))
+    some = rows.join(odd.select("_s_odd").distinct(), same, "left_semi")
+    texts = some.select("_s_id", "_s_text").distinct()
+    nodes = prints(texts.select("_s_text", F.col("_s_text").alias("_s_t")).distinct(), "_s_text", "_s_t", width).select("_s_text", "fp")
+    stay = texts.join(nodes, "_s_text").join(odd, same & (F.col("fp") == F.col("_s_fp"))).groupBy(F.col("_s_odd"), "fp").agg(F.min("_s_text").alias("_s_least"))
+    kept = some.join(stay, same & (F.col("_s_text") == F.col("_s_least")), "left_semi")
+    content = [F.col("_s_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    return firsts.union(kept.groupBy("_s_id", "_s_text").agg(F.min_by("_s_row", F.xxhash64(*content)).alias("_s_row")).select("_s_row.*"))

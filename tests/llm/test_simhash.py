@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import jaccard, simhash
 from millrace.llm.common import components
@@ -91,3 +92,22 @@ def test_wide_fingerprints_of_similar_sets():
         apart.append(np.bitwise_count(x ^ y).sum())
         far.append(np.bitwise_count(x ^ jaccard.fingerprint(g.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum())
     assert np.mean(apart) + 5.3 * np.std(apart) < jaccard.RADIUS < np.mean(far) - 3 * np.std(far)
+
+
+@pytest.mark.parametrize("least", [None, 0.8])
+def test_rows_are_kept_by_component_id_and_text(spark, least):
+    """Unlike texts under one id stay; copies go whatever their ids; the row of the least id stays, not one that shares its id."""
+    text = lambda k: " ".join(f"{k}w{j}" for j in range(40))
+    a, b, c, d, e = (text(k) for k in "abcde")
+    rows = [(5, a, 1), (5, b, 2), (7, c, 3), (9, b, 4), (3, d, 5), (3, d, 6), (None, e, 7), (None, e, 8), (None, a, 9), (None, text("f"), 10), (8, text("g"), 11), (8, text("g") + " ", 12), (6, c, 13), (6, text("h"), 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int")
+    kept = simhash.one_of_each(docs, width=5, least=least).collect()
+    expected = [(5, a), (5, b), (6, c), (3, d), (None, e), (None, text("f")), (8, text("g")), (6, text("h"))]
+    assert sorted(((r["doc_id"], r["text"].strip()) for r in kept), key=str) == sorted(expected, key=str)
+    again = simhash.one_of_each(docs.repartition(5), width=5, least=least).collect()
+    assert sorted(map(str, again)) == sorted(map(str, kept))
+
+
+def test_one_id_for_all_rows_loses_none(spark):
+    docs = spark.range(300).select(F.lit(1).cast("long").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.col("id") % 100, F.lit(f"x{j}")) for j in range(12))).alias("text"))
+    assert simhash.one_of_each(docs, width=5, least=0.8).select("text").distinct().count() == 100 == simhash.one_of_each(docs, width=5, least=0.8).count()
