@@ -169,3 +169,21 @@ def alias_dry_run(aliases: DataFrame) -> DataFrame:
 def remap_anchors(query_chunks: DataFrame, evidence: DataFrame, terms: DataFrame) -> DataFrame:
     """Distinct ``(query_id, term_id)`` through the chunks of queries and the evidence of active terms."""
     return query_chunks.join(evidence, "chunk_id").join(terms.where("active").select("term_id"), "term_id", "left_semi").select("query_id", "term_id").distinct()
+
+
+def choose_targets(plans: DataFrame, adjacency: DataFrame, seed: str = "plan", id_col: str = "chunk_id") -> DataFrame:
+    """Planned queries with the chunks that they are about: ``answerability`` as it came out, and ``targets``, the source chunk first.
+
+    ``adjacency(id, near, far)``, arrays of neighbours. A near or far query takes a drawn neighbour of its
+    class; without any a near one; without these it is about its own chunk alone. A chunk is never its own neighbour.
+    """
+    joined = plans.join(adjacency.select(F.col(adjacency.columns[0]).alias(id_col), "near", "far"), id_col, "left")
+    none = F.array().cast(adjacency.schema["near"].dataType)
+    other = lambda c: F.filter(F.coalesce(F.col(c), none), lambda x: x != F.col(id_col))
+    near, far = other("near"), other("far")
+    wanted = F.col("answerability")
+    kind = F.when((wanted == "far") & (F.size(far) > 0), "far").when((wanted != "single") & (F.size(near) > 0), "near").otherwise("single")
+    pool = F.when(kind == "far", far).otherwise(near)
+    drawn = F.get(pool, F.floor(hashed_unit(f"{seed}:target", F.col(id_col), F.col("seq")) * F.size(pool)).cast("int"))
+    targets = F.when(kind == "single", F.array(F.col(id_col))).otherwise(F.array(F.col(id_col), drawn))
+    return joined.select(*(c for c in plans.columns if c != "answerability"), kind.alias("answerability"), targets.alias("targets"))

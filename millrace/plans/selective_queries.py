@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import phrases as P
 from millrace.functions import text as T
-from millrace.operators import hints, inverted, search, selective
+from millrace.operators import hints, inverted, modes, reports, retrieve, search, selective
 from millrace.plans.phrase_queries import _MARKER, _ORDERED, _sql_found
 from millrace.plans.registry import query
 from millrace.plans.retrieval_queries import SQL_FUSED, SQL_HASH
@@ -237,3 +237,36 @@ def canonical_hints(spark, sf_dir):
     item = F.struct((F.col("l_linenumber") - 1).alias("rank"), F.col("l_partkey").alias("memory_id"), F.array(anchor).alias("canonical"))
     rows = lines.join(part, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("l_orderkey").alias("query_id")).agg(F.sort_array(F.collect_list(item)).alias("memories"))
     return _hint_out(rows, hints.canonical_hints(F.col("memories"), F.lit("en")))
+
+
+def _modes(spark, sf_dir):
+    """All modes: memories by source number stand for the gating presets, sentences of a passage for its plan, the passage before it for the session."""
+    cut = samples(spark, sf_dir)
+    before = cut.select((F.col("query_id") + 1).alias("query_id"), F.col("text").alias("previous_question"))
+    asked = cut.join(before, "query_id", "left").withColumn("previous_summary", F.lit(None).cast("string"))
+    plans = cut.where("query_id % 3 > 0").select("query_id", F.posexplode(F.slice("s", 1, 3)).alias("seq", "text")).withColumn("seq", F.col("seq") + 1)
+    every = memories(spark, sf_dir)
+    held = {"ungated": every, "rule_only": every.where("memory_id % 4 > 0"), "full_gating": every.where("memory_id % 4 > 1")}
+    chunks = inverted.index_of(spark, sf_dir).packs
+
+    def searcher(preset):
+        sources = [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
+        index = inverted.open_index(spark, stored_once(spark, f"memories-{preset}", sources, lambda folder: inverted.build(held[preset], folder, "memory_id", "query_text")))
+        return selective.Retriever(lambda asked, k: search.packed_hybrid(chunks, asked, k), lambda asked, n: search.packed_hybrid(index.packs, asked, n, mode="dense_only"), lambda chunk: (chunk - chunk % 10) / 10)
+
+    return asked, modes.run_modes(asked, plans, held, {p: searcher(p) for p in held}, policy=POLICY)
+
+
+@query("evaluation_modes")
+def evaluation_modes(spark, sf_dir):
+    """Eleven modes in one plan, with metrics against the documents that hold each passage; held against its parts in the tests."""
+    asked, (lists, _) = _modes(spark, sf_dir)
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    expected = retrieve.containing(docs, bench).select(F.col("item_id").alias("query_id"), "doc_id")
+    return modes.mode_metrics(lists, expected, asked, reports.MODES)
+
+
+@query("mode_decisions")
+def mode_decisions(spark, sf_dir):
+    """What the rewriting modes decided for each query, and where the router sent it."""
+    return _modes(spark, sf_dir)[1][1]
