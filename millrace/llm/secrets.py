@@ -35,12 +35,28 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 HINTS = ("passw", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "neural")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A token after a credential word; the first tells cheaply whether a text can have one.
+#: A token after a credential word that begins where a word does (or a capital, as in dbKey). With a sign of assignment
+#: any token counts; after "is", or a scheme of authorization alone, one that no plain word is: with a digit or a sign of passwords.
 NEAR = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|cred(?:ential)?s?|auth(?:orization)?|bearer|key|login)["']?"""
-    r"""(?:\x20?[:=]>?|\x20is)?\x20?(?:(?:basic|bearer|digest)\x20)?["']?([^\s"'<>,;(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
-NEAR_HINTS = ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "key", "login")
+    r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z])(?=[A-Z])))"""
+    r"""(?:(?:(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|cred(?:ential)?s?|auth(?:orization)?|bearer|keys?|login)["']?"""
+    r"""(?:\x20?[:=]>?\x20?(?:(?:basic|bearer|digest)\x20)?|\x20is\x20(?=[^\s"'<>,;(){}\[\]]*[0-9!@#$%^&*+])))"""
+    r"""|(?:basic|bearer|digest)\x20(?=[^\s"'<>,;(){}\[\]]*[0-9!@#$%^&*+]))"""
+    r"""["']?([^\s"'<>,;(){}\[\]]{6,})""", re.IGNORECASE | re.ASCII)
+NEAR_HINTS = ("pass", "pwd", "secret", "token", "cred", "auth", "bearer", "basic", "digest", "key", "login")
 BEFORE, AFTER = 24, 12
+#: Plain words of four languages: every other one is in the findings that the net learns from, the rest is for tests.
+WORDS = tuple("""
+ability account action address almost another answer apache archive article balance because before behind between branch bridge broken button camera
+catalog center change chapter children client coffee column common company compass content context control country course create culture custom default
+deliver design detail different document domain during early editor either engine enough escape evening example expect factory family feature figure
+filter finger follow forest friend garden general group handle harbor history however import include inside island january keyboard kitchen language
+letter library listen little machine manager market master matter meeting member memory method minute monkey morning mountain network nothing number
+abend anfang antwort arbeit aufgabe bedeutung beispiel bericht bewegung bibliothek dampfer entwicklung erfahrung ergebnis familie freiheit gemeinde
+geschichte gesellschaft grundlage hoffnung nachricht wirklich zusammen abandon affaire ancien aujourd bonheur campagne chapitre chemin courage demain
+depuis ensemble histoire lumiere maison montagne nouvelle pendant quelque rapport toujours voyage abierto alguien anterior bastante camino ciudad
+cuando despues durante entonces escuela historia hombre iglesia lejos manera mientras noche nosotros palabra pregunta primero pueblo respuesta siempre
+""".split())
 #: Places that the net looks at together, and characters of a block of a long candidate.
 LOT, BLOCK = 1 << 15, 1 << 12
 
@@ -93,7 +109,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         return "".join(r.choices(alphabet, k=r.randint(least, most)))
 
     def word() -> str:
-        return "".join(r.choices(syllables, k=r.randint(1, 4)))
+        return r.choice(WORDS[::2]) if r.random() < 0.5 else "".join(r.choices(syllables, k=r.randint(1, 4)))
 
     def positive() -> str:
         return r.choice((
@@ -125,6 +141,8 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: "-".join((word(), word())),
             lambda: f"{word()}/{word()}",
             lambda: f"{word()}_{word()}",
+            lambda: word() + r.choice(("", "s", "ing", "ed", ".", "s.", ":")),
+            lambda: word().capitalize() + word().capitalize() + r.choice(("", ".", "()")),
             lambda: r.choice("*x.-_") * r.randint(6, 12),
         ))()
 
@@ -137,6 +155,12 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
             lambda: "-".join(str(r.randint(1000, 9999)) for _ in range(5)) + r.choice("abx"),
             lambda: "-".join(word() for _ in range(r.randint(4, 8))) + f"-{r.randint(1, 2100)}",
             lambda: r.choice(lower + "=-_x") * r.randint(20, 60) + (f"{word()}{r.randint(0, 9)}" if r.random() < 0.6 else ""),
+            lambda: "/".join(word() for _ in range(r.randint(3, 6))) + "/" + r.choice((word().upper(), word().capitalize(), word() + "-" + word(), word() + "_" + word())),
+            lambda: "/".join((*(word() for _ in range(r.randint(2, 5))), word() + r.choice(digits), word().capitalize() + word().capitalize())),
+            lambda: "".join(word().capitalize() for _ in range(r.randint(3, 6))),
+            lambda: r.choice("-/_").join(r.choice(WORDS[::2]) for _ in range(r.randint(3, 6))),
+            lambda: "".join(r.choice(WORDS[::2]).capitalize() for _ in range(r.randint(3, 6))),
+            lambda: "_".join(word() for _ in range(r.randint(3, 6))).upper(),
             lambda: f"{word()}=" + "+".join(f"{word()}{r.randint(0, 9)}" for _ in range(r.randint(4, 7))),
             lambda: "".join(word() for _ in range(r.randint(8, 14))) + str(r.randint(0, 9)),
             lambda: f"v{r.randint(0, 20)}-{r.randint(0, 20)}-{r.randint(0, 20)}-" + "-".join((word(), word(), word())),
@@ -158,7 +182,7 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
         if short and label:
             lead = r.choice(("pwd=", "pwd: ", "Authorization: Basic ", "Bearer ", "key=", "passphrase is ", "login: ", 'auth="', "passcode: ", "credentials=", "key: ", "PWD = "))
         elif short:
-            lead = r.choice(("key ", "the key ", "auth ", "login ", "pass ", "passphrase ", "credential ", "Keys: ", "key: ", "bearer ", "auth: ", "token "))
+            lead = r.choice(("key = ", "the key: ", "auth=", "login: ", "pass: ", "passphrase: ", "credentials: ", "Keys: ", "key: ", "bearer: ", "auth: ", "pwd: "))
         elif label and r.random() < 0.5:
             lead = r.choice(("key: ", "Bearer ", "export KEY=", 'auth = "', "credential ", "pw "))
         else:
@@ -373,7 +397,7 @@ def train_net(findings: list[tuple[str, int, int, int]], recall: float = 0.97, d
 _NETS: dict[tuple[int, int, float], CharNet] = {}
 
 
-def default_net(n: int = 4800, seed: int = 7, recall: float = 0.97) -> CharNet:
+def default_net(n: int = 6400, seed: int = 7, recall: float = 0.97) -> CharNet:
     """The net trained on ``n`` template findings, once in a driver process."""
     if (n, seed, recall) not in _NETS:
         _NETS[n, seed, recall] = train_net(labelled_findings(n, seed), recall, seed=seed)
