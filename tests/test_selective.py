@@ -114,8 +114,8 @@ def test_decisions_and_lists(spark, world):
             assert lists[1] == expected and lists[2] == list(zip(by[2]["raw_ids"], by[2]["raw_scores"], strict=True))[:4]
         elif strategy == "interleave":
             seen = []
-            for pair in zip(old, new, strict=True):
-                seen += [d for d, _ in pair if d not in seen]
+            for d, _ in (x for pair in zip(old, new, strict=True) for x in pair):
+                seen += [d] * (d not in seen)
             assert [d for d, _ in lists[1]] == seen[:4]
         else:
             best = {}
