@@ -48,17 +48,21 @@ KINDS = {tag: kind for kind, tags in {
 #: Telling words of short texts.
 CUES = ("©", "copyright", "rights reserved", "cookie", "subscribe", "newsletter", "sign up", "log in", "advert", "sponsored", "share", "comment", "reply", "privacy", "imprint", "impressum", "datenschutz", "droits", "derechos", "read more", "follow us")
 CUE = re.compile("|".join(map(re.escape, CUES)))
+#: Short lines that announce what readers say: all that follows within the same box comes after one.
+TALK = re.compile(r"(?:\d+\s+)?(?:leave a |post a |add a )?(?:comments?|repl(?:y|ies)|responses?|discussion|kommentare?|commentaires?|comentarios?)(?:\s*\(\d+\))?:?", re.IGNORECASE)
 STOP = re.compile(r"[.!?…。！？](?=\s|$|[\"'”»)])")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "parts", "chars", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "parts", "chars", "linked", "talk", "beside")
 
     def __init__(self, tag: str, attrs: list[tuple[str, str]], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node] = []
         self.parts: list[str | Node] = []  # text and block or hidden children, in page order
         self.chars = self.linked = 0  # characters of text below, and of those within links
+        self.beside = 0  # characters of the largest other child of its parent
+        self.talk = 0  # 1 behind a line that announces comments, 2 for an element that begins with one
 
 
 def attributes(source: str, at: int) -> tuple[list[tuple[str, str]], bool, int] | None:
@@ -220,6 +224,17 @@ def in_order(root: Node) -> list[Node]:
         if node.parent is not None:
             node.parent.chars += node.chars
             node.parent.linked += node.linked
+    for node in out:
+        behind = node.talk == 1
+        sizes = sorted((c.chars for c in node.children), reverse=True)[:2]
+        for k, child in enumerate(node.children):
+            child.beside = sizes[child.chars == sizes[0]] if len(sizes) > 1 else 0
+            said = child.chars <= 40 and TALK.fullmatch("".join(x for x in child.parts if isinstance(x, str)).strip()) is not None
+            if behind or said:
+                child.talk = 1
+            if said and k == 0:
+                node.talk = node.talk or 2
+            behind = behind or said
     return out
 
 
@@ -237,11 +252,12 @@ def node_features(node: Node) -> tuple[str, ...]:
             found.add("hidden")
     density = node.linked / node.chars if node.chars else 0.0
     found.add(f"links={min(4, int(density * 5))}")
-    size = (node.chars > 0) + (node.chars > 15) + (node.chars > 80) + (node.chars > 400)
-    found.add(f"chars={size}")
+    size, other = ((n > 0) + (n > 15) + (n > 80) + (n > 400) for n in (node.chars, node.beside))
+    found |= {f"chars={size}", f"chars={size}<{other}", f"{node.tag}={size}<{other}"}
     text = " ".join(x for x in node.parts if isinstance(x, str))
     stops = sum(1 for _ in STOP.finditer(text))
     found.add(f"stops={min(stops, 3)}")
+    found.add(f"talk={node.talk}")
     if node.chars <= 240 and text and not text.isspace():
         found.update(f"cue={c}" for c in CUE.findall(text.lower()))
     if parent is not None and len(parent.children) > 1:
@@ -339,8 +355,12 @@ def _logsum(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a)) if a > b else b + math.log1p(math.exp(a - b))
 
 
-def labelled_page(seed: int) -> tuple[str, set[str]]:
-    """A page drawn from templates, and the ``data-n`` marks of its content elements.
+#: Kinds of labelled pages: articles of paragraphs, boxes of bare text, articles that are lists of links, layout tables, comments in boxes without names.
+PAGE_KINDS = ("article", "bare", "links", "table", "talk")
+
+
+def labelled_page(seed: int, kind: str | None = None) -> tuple[str, set[str]]:
+    """A page of a drawn (or given) kind from templates, and the ``data-n`` marks of its content elements.
 
     A third of the pages are plain: their boxes are ``div`` elements with neutral names or none. Content
     boxes of other pages have misleading names now and then.
@@ -348,7 +368,9 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
     r = random.Random(seed)
     content: set[str] = set()
     marks = iter(range(1 << 30))
-    plain = r.random() < 0.35
+    drawn = r.choices(PAGE_KINDS, (54, 11, 15, 10, 10))[0]
+    kind = kind or drawn
+    plain = r.random() < (0.35 if kind == "article" else 0.7)
     neutral = ("c1", "c2", "a", "b", "x", "box", "inner", "outer", "col", "block", "txt", "s3", "wrap", "row", "z9", "left", "main-2", "u", "grid", "cell")
 
     def letters() -> str:
@@ -444,12 +466,37 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
         said = "".join(one() for _ in range(r.randint(1, 4))) if r.random() < 0.7 else "".join(el("p", r.choice((words(1, 4), text(2))), False) for _ in range(r.randint(1, 3)))
         return el(r.choice(("section", "div", "ol")), head + said, False, name("comments", "comment-list", "disqus comments", "reader-comments", "responses", "discussion"))
 
+    def talk() -> str:
+        """Comments in boxes without names: a line that announces them, then what was said, in one box or beside the article."""
+        line = r.choice(("Comments", f"{r.randint(1, 60)} Comments", f"Comments ({r.randint(1, 60)})", "Discussion", "Leave a reply", f"{r.randint(2, 9)} Kommentare", "Commentaires", f"{r.randint(2, 9)} comentarios", "Replies", f"{r.randint(1, 9)} responses"))
+        head = el(r.choice(("h2", "h3", "div", "p")), line, False)
+        one = lambda: el("div", r.choice((lambda: text(2), lambda: el("div", words(1, 2), False) + el(r.choice(("div", "p")), text(2), False), lambda: el("p", text(2), False), lambda: words(1, 2) + ": " + sentence(2, 12)))(), False)
+        said = head + "".join(one() for _ in range(r.randint(1, 5)))
+        return el("div", said, False) if r.random() < 0.6 else said
+
+    def bare() -> str:
+        """Text that stands in a box itself, in one piece or with line breaks."""
+        return r.choice((" ", "<br><br>", "<br>\n", "\n<br><br>\n")).join(text(r.choice((1, 2, 5))) for _ in range(r.randint(1, 4)))
+
+    def listed() -> str:
+        """A list of links that is the article: titles, or titles with what they are about."""
+        item = r.choice((lambda: f'<a href="/{letters()}">{words(3, 10)}</a>', lambda: f'<a href="/{letters()}">{words(2, 8)}</a>' + r.choice((" - ", ": ", " ")) + sentence(4, 18), lambda: f'{words(1, 3)} <a href="/{letters()}">{words(3, 8)}</a>'))
+        return el(r.choice(("ul", "ol")), "".join(el("li", item(), True) for _ in range(r.randint(3, 12))), True)
+
     body = "".join((notice() if r.random() < 0.12 else "") + prose(True) for _ in range(r.randint(1, 9)))
     title = el("h1", words(3, 9), True) if r.random() < 0.9 or not plain else ""
+    if kind == "bare":
+        body = bare() if r.random() < 0.6 else el("div", bare(), True) + (el("div", bare(), True) if r.random() < 0.3 else "")
+        title = title if r.random() < 0.4 else ""
+    elif kind == "links":
+        body = (el("p", text(2), True) if r.random() < 0.6 else "") + "".join((el("h2", words(1, 5), True) if r.random() < 0.5 else "") + listed() for _ in range(r.randint(1, 3)))
+        title = title or el("h1", words(2, 8), True)
     if r.random() < 0.2 and not plain:
         title = el("header", title + (el("p", words(2, 8), True, name("byline", "dek", "subtitle")) if r.random() < 0.4 else ""), True)
     if r.random() < 0.2 and not plain:
         body += comments()
+    if kind == "talk" and r.random() < 0.4:
+        body += talk()
     inner = title + body
     wrap = r.random()
     if wrap < 0.5:
@@ -469,10 +516,18 @@ def labelled_page(seed: int) -> tuple[str, set[str]]:
     else:
         foot = el("footer", r.choice((words(3, 25), text(2), rights, el("p", r.choice((rights, text(1))), False), links(2, 5))), False) if r.random() < 0.75 else el("div", r.choice((words(4, 20), rights)), False, name("footer", "copyright", "site-footer", "bottom"))
     extra = [notice() for _ in range(r.randint(0, 3))]
-    late = [comments()] if r.random() < 0.35 and not plain else []
+    late = [talk()] if kind == "talk" else [comments()] if r.random() < 0.35 and not plain else []
+    if kind == "table":  # cells beside each other: a menu, the text, perhaps a column of notices
+        inner = (title if r.random() < 0.6 else "") + (bare() if r.random() < 0.4 else body)
+        menu_cell = el("td", r.choice((lambda: r.choice((" ", " | ", "<br>")).join(f'<a href="/{letters()}">{words(1, 2)}</a>' for _ in range(r.randint(2, 8))), lambda: links(2, 8), lambda: " ".join(words(1, 1).capitalize() for _ in range(r.randint(1, 4)))))(), False)
+        cells = [menu_cell, el("td", inner, True)] + ([el("td", notice() if r.random() < 0.6 else links(2, 5), False)] if r.random() < 0.4 else [])
+        rows = ([el("tr", el("td", words(1, 4), False), False)] if r.random() < 0.4 else []) + [el("tr", "".join(cells if r.random() < 0.8 else cells[::-1]), True)]
+        rows += [el("tr", el("td", rights, False), False)] if r.random() < 0.4 else []
+        main, top, menu = el("table", "".join(rows), True), top if r.random() < 0.3 else "", menu if r.random() < 0.3 else ""
+    foot = foot if r.random() < 0.82 else ""
     page = top + menu + "".join(extra[:2]) + main + "".join(extra[2:]) + "".join(late) + foot
     shell = r.random()
-    if shell < 0.1:  # a fragment: nested boxes of a few paragraphs, nothing beside them
+    if shell < 0.1 and kind == "article":  # a fragment: nested boxes of a few paragraphs, nothing beside them
         boxes = [el("div", "".join(el("p", r.choice((words(1, 4), sentence(2, 9), text(2))), True) for _ in range(r.randint(1, 2))), True, good_name("text", "story")) for _ in range(r.randint(1, 3))]
         return el("div", "".join(boxes), True, good_name("page", "body")) if r.random() < 0.6 else "".join(boxes), content | {"body"}
     if shell < 0.25:
@@ -489,7 +544,7 @@ def marked_nodes(source: str) -> tuple[list[Node], list[str | None]]:
     return nodes, marks
 
 
-def train_model(pages: int = 1600, seed: int = 5, rounds: int = 10) -> TreeModel:
+def train_model(pages: int = 2400, seed: int = 5, rounds: int = 10) -> TreeModel:
     """A model trained on ``pages`` labelled pages."""
     model, data = TreeModel(), []
     for k in range(pages):
@@ -507,7 +562,7 @@ def train_model(pages: int = 1600, seed: int = 5, rounds: int = 10) -> TreeModel
 _MODELS: dict[tuple[int, int, int], TreeModel] = {}
 
 
-def default_model(pages: int = 1600, seed: int = 5, rounds: int = 10) -> TreeModel:
+def default_model(pages: int = 2400, seed: int = 5, rounds: int = 10) -> TreeModel:
     """The model, trained once in a driver process."""
     if (pages, seed, rounds) not in _MODELS:
         _MODELS[pages, seed, rounds] = train_model(pages, seed, rounds)
