@@ -38,6 +38,16 @@ def token_length(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(LENGTH_TOKEN)), F.lit(0)).cast("long")
 
 
+def token_tail(text: Column, n: int) -> Column:
+    """A text from its n-th last estimated token on, trimmed; the whole text if it has no more of them, or for no tokens."""
+    whole = F.coalesce(text, F.lit(""))
+    kept = whole
+    if n > 0:
+        marked = F.regexp_replace(F.translate(whole, "\x01", " "), f"({LENGTH_TOKEN})", "\x01$1")
+        kept = F.when(token_length(whole) <= n, whole).otherwise(F.replace(F.substring_index(marked, "\x01", -n), F.lit("\x01"), F.lit("")))
+    return F.regexp_replace(kept, r"^\s+|\s+$", "")
+
+
 def _share(text: Column, pattern: str) -> Column:
     solid = F.length(F.regexp_replace(text, r"\s", ""))
     return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(pattern)), solid), F.lit(0.0))

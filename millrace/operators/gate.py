@@ -131,6 +131,24 @@ def history(decided: DataFrame, id_col: str) -> DataFrame:
     return decided.select(id_col, F.inline(rows))
 
 
+def full_history(decided: DataFrame, id_col: str) -> DataFrame:
+    """One row for each query and each of six stages, approval the last: ``stage_order, stage_name, passed, score, reason``.
+
+    ``decided`` is that of :func:`decide`, with ``reasons`` (array) of the rule stage. A stage that passed
+    or was not run has no reason; the rule stage has no score.
+    """
+    failed = lambda s, why: F.when(~F.coalesce(F.col(f"pass_{s}"), F.lit(True)), why)
+    rules = F.nullif(F.array_join("reasons", ","), F.lit(""))
+    rows = [
+        (F.col("pass_rule_filter"), F.lit(None).cast("double"), rules), (F.col("pass_llm_self_eval"), F.col("llm_avg"), failed("llm_self_eval", "llm_self_eval_failed")), (F.col("pass_retrieval_utility"), F.col("utility"), failed("retrieval_utility", "utility_failed")),
+        (F.col("pass_diversity_dedup"), F.col("novelty"), failed("diversity_dedup", "diversity_failed")), (F.col("pass_final_score"), F.col("final_score"), failed("final_score", "final_score_failed")),
+        (F.col("accepted"), F.col("final_score"), F.when(~F.col("accepted"), F.col("rejected_stage"))),
+    ]
+    names = (*STAGES, "approved")
+    spread = F.array(*(F.struct(F.lit(i).alias("stage_order"), F.lit(n).alias("stage_name"), p.alias("passed"), s.cast("double").alias("score"), r.alias("reason")) for i, (n, (p, s, r)) in enumerate(zip(names, rows, strict=True), 1)))
+    return decided.select(id_col, F.inline(spread))
+
+
 def stage_results(decided: DataFrame, by: str) -> DataFrame:
     """Input, passed and rejected counts of each stage: the passed of one are the input of the next."""
     from pyspark.sql.window import Window

@@ -54,6 +54,27 @@ def pending(queries: DataFrame, done: DataFrame, key: str, order: str) -> DataFr
     return queries.join(done.select(key).distinct(), key, "left_anti").orderBy(order, key)
 
 
+def resume_points(items: DataFrame, done: DataFrame, group: str, key: str) -> DataFrame:
+    """``(group, last_done, skipped, resume_at)``: whether a run may go on behind its last processed item.
+
+    ``skipped`` counts items before the last processed one that were not processed: only where it is 0 is the
+    last one a checkpoint. ``resume_at`` is the first unprocessed item, null if none is left.
+    """
+    marked = items.select(group, key).join(done.select(key).distinct().withColumn("_done", F.lit(True)), key, "left")
+    last = marked.where("_done").groupBy(group).agg(F.max(key).alias("last_done"))
+    rest = marked.join(last, group, "left")
+    open_ = F.col("_done").isNull()
+    return rest.groupBy(group).agg(F.max("last_done").alias("last_done"), F.count_if(open_ & F.coalesce(F.col(key) < F.col("last_done"), F.lit(False))).alias("skipped"), F.min(F.when(open_, F.col(key))).alias("resume_at"))
+
+
+def eligible(memories: DataFrame, preset: str | None = None, run: str | None = None, strategies: tuple[str, ...] = ()) -> DataFrame:
+    """Memories of a gating preset, a gating run and a set of strategies; what is not given does not filter."""
+    for name, value in (("preset", preset), ("run", run)):
+        if value is not None:
+            memories = memories.where(F.col(name) == value)
+    return memories.where(F.col("strategy").isin(*strategies)) if strategies else memories
+
+
 def run_record(run_id: str, metrics: dict[str, float], started: str, finished: str) -> dict[str, str]:
     """A row for the run log; metrics are JSON with sorted keys."""
     import json

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.sources.stored import durable
+
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """First n rows of each group; Spark limits groups before the shuffle."""
@@ -80,6 +82,22 @@ def cooccurrence(df: DataFrame, unit: str, term: str, cap: float, base: float, s
     return both_ways(scored)
 
 
+def running(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """``place`` (from 0) and ``running`` sum of each row within its group, whatever part of the rows one group holds.
+
+    Rows are dealt by range of group and order, and kept; a group that fills several ranges is summed up in each of
+    them, and what its earlier ranges hold is added. Ties of the order keys have an arbitrary order.
+    """
+    dealt = durable(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))  # a row for each group and range
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    own = Window.partitionBy(group, "_part").orderBy(*order)
+    placed = dealt.withColumns({"_k": F.row_number().over(own), "_v": F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    joined = placed.join(begins.withColumnsRenamed({group: "_g", "_part": "_p"}), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return joined.select(*rows.columns, (F.col("_n0") + F.col("_k") - 1).alias("place"), (F.col("_s0") + F.coalesce("_v", F.lit(0))).alias("running"))
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.withColumnsRenamed({"seed": "_s", "related": "seed"}).withColumnRenamed("_s", "related"))
 

@@ -253,6 +253,18 @@ def first_rank_per_document(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("query_id", "document_id").agg(F.min("rank").alias("first_rank"))
 
 
+def overlaid_json(column: Column, patch: Column) -> Column:
+    """A JSON object with the fields of ``patch`` put over it, values of any kind kept as they are; keys in order.
+
+    As with the JSON ``||`` of databases only the outermost fields are merged, and a null field stays one. A
+    null object counts as empty.
+    """
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    old, new = read(column), read(patch)
+    keys = F.array_sort(F.array_union(F.map_keys(old), F.map_keys(new)))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.when(F.map_contains_key(new, k), F.try_element_at(new, k)).otherwise(F.try_element_at(old, k)))))
+
+
 def merged_json(column: Column, patch: Column) -> Column:
     """A flat JSON object with the fields of ``patch`` put over it and null fields taken out; keys in order."""
     both = F.map_zip_with(*(F.coalesce(F.from_json(c, "map<string,string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))) for c in (column, patch)), lambda k, a, b: F.coalesce(b, a))

@@ -169,6 +169,28 @@ def judge_candidates(rows: DataFrame, policy: dict[str, float] = POLICY, force:
     return scored.withColumns({"preservation": F.col("_p.score"), "rejection": ladder}).drop("_p")
 
 
+#: What becomes of a query whose candidates could not be made.
+FAILURE_POLICIES = ("fail_run", "skip_to_raw", "heuristic_fallback")
+
+
+def with_failure_policy(rows: DataFrame, policy: str = "fail_run") -> DataFrame:
+    """``rows(query_id, made, heuristic)`` with the ``candidates`` that are judged and their ``origin``.
+
+    ``made`` is null where the candidates of a query failed. The policy (an unknown one fails) then takes the
+    heuristic candidates, or none, so that the raw query stays, or ends the run with an error that names the query.
+    """
+    name = policy.strip().lower().replace("-", "_")
+    failed = F.col("made").isNull()
+    if name == "heuristic_fallback":
+        other = F.col("heuristic")
+    elif name == "skip_to_raw":
+        other = F.slice("heuristic", 1, 0)
+    else:
+        other = F.when(failed, F.raise_error(F.concat(F.lit("no rewrite candidates for query "), F.col("query_id").cast("string"))).cast(rows.schema["heuristic"].dataType))
+    origin = F.when(~failed, "model").when(F.lit(name == "heuristic_fallback"), "heuristic").otherwise("raw")
+    return rows.withColumns({"candidates": F.when(failed, other).otherwise(F.col("made")), "origin": origin})
+
+
 def pick(judged: DataFrame) -> DataFrame:
     """For each query the best eligible candidate, else the best; the first of equals."""
     order = F.struct((F.col("rejection") == "").cast("int"), "final_score", -F.col("seq"))

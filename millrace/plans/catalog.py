@@ -13,3 +13,4 @@ from millrace.plans import report_queries  # noqa: F401
 from millrace.plans import phrase_queries  # noqa: F401
 from millrace.plans import selective_queries  # noqa: F401
 from millrace.plans import graph_queries  # noqa: F401
+from millrace.plans import control_queries  # noqa: F401

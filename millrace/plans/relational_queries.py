@@ -225,8 +225,7 @@ def readiness_counts(spark, sf_dir):
 
 @query("section_running_index", "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id)::BIGINT AS running FROM documents")
 def section_running_index(spark, sf_dir):
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return _t(spark, sf_dir, "documents").select("doc_id", "source", (F.row_number().over(order) - 1).cast("long").alias("place"), F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("running"))
+    return R.running(_t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars").drop("n_chars")
 
 
 @query("fingerprint_dedup", "SELECT min(doc_id) AS kept, count(*)::BIGINT AS copies, md5(text) AS fingerprint FROM documents GROUP BY text HAVING count(*) > 1")

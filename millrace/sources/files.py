@@ -87,6 +87,13 @@ def distribution(weights: dict[str, float], default: dict[str, float]) -> dict[s
     return {k: v / total for k, v in positive.items()} if total > 0 else dict(default)
 
 
+def enabled_sources(loaded: Any) -> list[dict[str, Any]]:
+    """Source rows of a configuration: a list, a mapping with ``sources``, or one row; those not switched off."""
+    rows = loaded.get("sources", [loaded]) if isinstance(loaded, dict) else loaded or []
+    on = lambda v: str(v).strip().lower() not in ("false", "0", "no", "off")
+    return [r for r in rows if isinstance(r, dict) and r and on(r.get("enabled", True))]
+
+
 def read_config(path: str, defaults: dict[str, Any] | None = None) -> dict[str, Any]:
     """A JSON file, or YAML where the library for it is installed, over defaults."""
     with open(path, encoding="utf-8") as f:  # a small file of the driver's
