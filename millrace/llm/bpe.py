@@ -21,11 +21,13 @@ no step back. Decoding emits the labels of the arcs taken.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterable
 
@@ -251,8 +253,8 @@ class WordCodec:
             if self.letters_are_words and piece.isalpha():
                 return [piece.lower().encode()]
             return [w.encode() for w in self.pre_split.findall(piece.lower())]
-        if any(unicodedata.category(c) == "Cn" for c in piece):
-            # code points that this Python does not know, but the library's newer tables may: it normalises and splits
+        if any(unicodedata.category(c) == "Cn" for c in piece) or newer_marks().search(piece):
+            # code points that this Python does not know, but the library's tables may, and marks that only one of the two knows: the library normalises and splits
             if self.library is None:
                 from tokenizers import Tokenizer
 
@@ -296,6 +298,18 @@ class WordCodec:
         self.missed = 0
 
 
+@functools.cache
+def newer_marks() -> re.Pattern[str]:
+    """Combining marks that Python's tables and the library's put in another order beside others, found by comparing all of them once."""
+    from tokenizers import normalizers
+
+    library, found = normalizers.NFC(), []
+    for c in map(chr, range(0x300, sys.maxunicode + 1)):
+        if unicodedata.category(c)[0] == "M" and any(library.normalize_str(t) != unicodedata.normalize("NFC", t) for m in "\u0301\u0323" for t in (f"a{c}{m}", f"a{m}{c}")):
+            found.append(c)
+    return re.compile(f"[{''.join(map(re.escape, found))}]" if found else r"(?!)")
+
+
 _CODECS: dict[str, WordCodec] = {}
 
 

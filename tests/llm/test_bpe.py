@@ -35,6 +35,20 @@ def test_mixed_scripts(both):
         assert codec.encode(text) == reference.encode(text, add_special_tokens=False).ids, text
 
 
+def test_runs_of_marks(both):
+    """Marks in any order, among them those that Python and the library order differently."""
+    reference, codec = both
+    for text in ("\u0309\u089a", "\u0350\u0d3c", "\u089c\u05c5", "x\u089c\u0301y"):
+        assert codec.encode(text) == reference.encode(text, add_special_tokens=False).ids, text
+    import unicodedata
+
+    marks = [chr(c) for c in range(0x300, 0x1F000) if unicodedata.category(chr(c))[0] == "M"]
+    r = random.Random(11)
+    texts = ["".join(r.choice("aeé한ก ") + "".join(r.choices(marks, k=r.randint(1, 4))) for _ in range(r.randint(1, 3))) for _ in range(20_000)]
+    found = reference.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, found, strict=True) if codec.encode(t) != e.ids] == []
+
+
 def test_states_are_bounded():
     path = queries.word_tokenizer_path()
     codec = bpe.WordCodec(bpe.read_spec(path), keep=10)
