@@ -153,9 +153,57 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_digest(fim.fill_in_middle(load(spark, sf_dir, "documents"), seed=42))
 
 
+def _op12_sql() -> str:
+    """The edits of each conversation from its last turn to its first: for each state the least (cost, audit), with the turns that are left."""
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ord(x)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda d, e: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)"
+    best = lambda *options: f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+    made = lambda cost, letter, rest, line=None: f"{{'c': {cost} + {rest}.c, 'a': '{letter}' || {rest}.a, 'r': {f'list_prepend({line}, {rest}.r)' if line else f'{rest}.r'}}}"
+    after = {"n": "u", "s": "u", "u": "a", "a": "u"}
+    role = {"u": "user", "a": "assistant"}
+    keeps = {"n": ("s", "u"), "s": ("u",), "u": ("a",), "a": ("u",)}
+
+    def row(state: str) -> str:
+        kept = [f"CASE WHEN mark < 2 AND code = '{c}' THEN {made('5 * mark', 'K', f'b.{c}', 'line')} END" for c in keeps[state]]
+        to = after[state]
+        return best(made(2, "D", f"b.{state}"), *kept, f"CASE WHEN mark < 2 THEN {made('1 + 5 * mark', 'R', f'b.{to}', f"'{role[to]}:' || text")} END")
+
+    inserted = lambda to, of: made(5, "I", f"{of}{to}", f"'{role[to]}:'")
+    both = lambda of: f"{best(f'{of}u', inserted('a', of))} AS u, {best(f'{of}a', inserted('u', of))} AS a"
+    never = "{'c': 1000000000::BIGINT, 'a': '~', 'r': []::VARCHAR[]}"
+    done = "{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}"
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+f AS (SELECT *, {crc} % 20 AS f FROM k),
+g AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS copy FROM f WHERE f <> 0),
+h AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, {spaces}) AS bare FROM g),
+j AS (SELECT *, left(role, 1) AS code, role || ':' || text AS line, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair, i > 1 AS follows FROM h),
+e AS (SELECT *, CASE fault WHEN '' THEN 0 WHEN 'truncated' THEN 1 ELSE 2 END AS mark FROM j), m AS (SELECT conv_id, max(i) AS n FROM e GROUP BY conv_id),
+b0 AS (SELECT conv_id, n, u, a, {best(done, inserted('u', ''))} AS n_, {best(never, inserted('u', ''))} AS s FROM (SELECT conv_id, n, {best(never, made(5, 'I', 'z', "'assistant:'"))} AS u, {best(done, made(5, 'I', 'y', "'user:'"))} AS a FROM (SELECT *, {done} AS z, {never} AS y FROM m))),
+b(conv_id, i, n, s, u, a) AS (SELECT conv_id, n, n_, s, u, a FROM b0 UNION ALL
+  SELECT conv_id, i, {best('xn', inserted('u', ''))}, {best('xs', inserted('u', ''))}, u, a FROM (SELECT conv_id, i, xn, xs, {both('x')} FROM (
+  SELECT b.conv_id, b.i - 1 AS i, {row('n')} AS xn, {row('s')} AS xs, {row('u')} AS xu, {row('a')} AS xa FROM b JOIN e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i))),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE follows AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM e GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0)::BIGINT AS gaps, coalesce(c.blank, 0)::BIGINT AS blank, coalesce(c.duplicate, 0)::BIGINT AS duplicate, coalesce(c.truncated, 0)::BIGINT AS truncated, coalesce(c.illegal, 0)::BIGINT AS illegal, coalesce(b.n.c, 0)::BIGINT AS cost, coalesce(b.n.a, '') AS audit, sha256(coalesce(array_to_string(b.n.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id AND b.i = 0
+"""
+
+
+OP12_SQL = _op12_sql()
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, len(t) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::UBIGINT::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (SELECT *, array_to_string(list_slice(t, 1, p), '') AS a, array_to_string(list_slice(t, p + 1, q), '') AS b, array_to_string(list_slice(t, q + 1, n), '') AS c FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(text) AS restored_sha256 FROM s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_bpe": op1_bpe, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_langid": op5_langid, "op6_embeddings": op6_embeddings, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_html": op9_html, "op10_chat": op10_chat, "op11_sharding": op11_sharding, "op12_repair": op12_repair, "op13_fim": op13_fim}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality": OP2_SQL, "op3_mixing": OP3_SQL, "op6_embeddings": OP6_SQL, "op10_chat": OP10_SQL}
+    return {"op2_quality": OP2_SQL, "op3_mixing": OP3_SQL, "op6_embeddings": OP6_SQL, "op10_chat": OP10_SQL, "op12_repair": OP12_SQL, "op13_fim": OP13_SQL}
