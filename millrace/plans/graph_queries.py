@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from millrace.functions import text as T
 from millrace.operators import audit, crawl, dataset, expansion, relations, retrieve
 from millrace.operators import relational as R
+from millrace.plans.corpus_queries import SQL_NORMAL
 from millrace.plans.dataset_queries import ANSWERS, TYPES, _sql_choice, _sql_unit
 from millrace.plans.registry import query
 from millrace.plans.text_queries import SQL_SENTENCES, _sql_spaced
@@ -140,7 +141,20 @@ def _site(spark, sf_dir):
     return held, own.unionByName(following), starts
 
 
-@query("page_crawl")
+SQL_CRAWL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, {SQL_NORMAL.format("url")} AS url, html, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS origin, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host FROM pages),
+a AS (SELECT url, unnest(links) AS target, generate_subscripts(links, 1) - 1 AS place FROM (SELECT page_id, url, list_sort(list(DISTINCT origin || regexp_replace(regexp_replace(regexp_extract(href, '^([^?#]*)', 1), '/{{2,}}', '/', 'g'), '/$', '/index.html'))) AS links
+  FROM (SELECT page_id, url, origin, unnest(regexp_extract_all(html, '<a\s[^>]*?href=["'']([^"'']*)["'']', 1)) AS href FROM p) WHERE starts_with(href, '/') GROUP BY page_id, url)),
+l AS (SELECT url AS source, target, min(place)::BIGINT AS place FROM (SELECT url, target, place FROM a UNION ALL SELECT url, lead(url) OVER (PARTITION BY host ORDER BY page_id), 1048576 FROM p) WHERE target IS NOT NULL GROUP BY ALL),
+k AS (SELECT url, min({{'h': sha1(html), 'd': 'doc_' || substr(sha1('site:' || url), 1, 16)}}) AS x FROM p GROUP BY url),
+w(url, depth, parent, way) AS (SELECT url, 0, NULL::VARCHAR, [{{'place': page_id, 'at': url}}] FROM (SELECT host, arg_min(url, page_id) AS url, min(page_id) AS page_id FROM p GROUP BY host)
+  UNION ALL SELECT l.target, depth + 1, w.url, list_append(way, {{'place': l.place, 'at': l.target}}) FROM w JOIN k ON k.url = w.url JOIN l ON l.source = w.url WHERE depth < 4 AND NOT list_contains(list_transform(way, lambda s: s.at), l.target)),
+r AS (SELECT url, arg_min({{'d': depth, 'p': parent, 'w': way}}, {{'d': depth, 'w': way}}) AS r FROM w GROUP BY url),
+s AS (SELECT r.url, r.r, k.x, row_number() OVER (PARTITION BY k.x.h ORDER BY r.r.d, r.r.w) AS nh, row_number() OVER (PARTITION BY k.x.d ORDER BY r.r.d, r.r.w) AS nd FROM r LEFT JOIN k USING (url))
+SELECT url, r.d::INT AS depth, r.p AS parent, CASE WHEN x IS NULL THEN 'missing' WHEN nh > 1 THEN 'duplicate_content' WHEN nd > 1 THEN 'duplicate_document' ELSE 'kept' END AS state FROM s"""
+
+
+@query("page_crawl", SQL_CRAWL)
 def page_crawl(spark, sf_dir):
     """A crawl of the pages by their own links, from the first page of every host; the tests hold it against a sequential one."""
     return crawl.crawl(*_site(spark, sf_dir), depth=4)
