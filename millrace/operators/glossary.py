@@ -34,15 +34,17 @@ COMMANDS = ("./gradlew", "gradle", "mvn", "java", "jar", "spring", "docker", "do
 GENERIC_SCORE = 1.8
 
 
-def occurrences(docs: DataFrame, patterns: tuple = PATTERNS, products: tuple[tuple[str, tuple[str, ...]], ...] = (), commands: tuple[str, ...] = COMMANDS, concepts: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, patterns: tuple = PATTERNS, products: tuple[tuple[str, tuple[str, ...]], ...] = (), commands: tuple[str, ...] = COMMANDS, concepts: bool = True, id_col: str = "doc_id", text_col: str = "text", code: Column | None = None) -> DataFrame:
     """``(doc_id, term_type, form, place, aliases)``: matches of every pattern in text order, products named (once a text), commands in fenced code, and concepts.
 
+    ``code`` are the blocks of code of a text, if others than those between lines that begin with a fence.
+
     ``products`` are (canonical form, aliases). Annotations have their bare name as an alias, qualified
     types their last part.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     parts = [_typed(text, kind, pattern, group) for kind, pattern, group in patterns]
-    parts += [_products(text, products), _commands(text, commands)]
+    parts += [_products(text, products), _commands(text, commands, code)]
     if concepts:
         parts.append(F.transform(keyphrase_candidates(text), lambda x, i: _row("concept", x, i)))
     return docs.select(F.col(id_col).alias("doc_id"), F.inline(F.concat(*parts))).where("form <> ''")
@@ -69,9 +71,9 @@ def _products(text: Column, products: tuple[tuple[str, tuple[str, ...]], ...]) -
     return F.array_compact(F.array(*found)) if found else F.filter(F.array(_row("", F.lit(""), F.lit(0))), lambda x: F.lit(False))
 
 
-def _commands(text: Column, prefixes: tuple[str, ...]) -> Column:
+def _commands(text: Column, prefixes: tuple[str, ...], code: Column | None = None) -> Column:
     """Lines of fenced code that begin with a command."""
-    code = F.filter(F.split(text, "(?m)^```", -1), lambda _, i: i % 2 == 1)
+    code = F.filter(F.split(text, "(?m)^```", -1), lambda _, i: i % 2 == 1) if code is None else code
     lines = F.flatten(F.transform(code, lambda c: F.split(c, r"\r?\n")))
     named = F.transform(lines, lambda x: F.trim(F.ltrim(F.trim(x), F.lit("$"))))
     starts = lambda x: F.exists(F.array(*map(F.lit, prefixes)), lambda p: x.startswith(p))
@@ -104,6 +106,23 @@ def terms(found: DataFrame) -> DataFrame:
     )
 
 
+#: Fenced code within a chunk: a fence may stand anywhere in a line, its code begins on the next.
+CODE_FENCE = r"```[^\n`]*\n([\s\S]*?)```"
+
+
+def chunk_candidates(chunks: DataFrame, products: tuple[tuple[str, tuple[str, ...]], ...] = (), concepts: bool = True, id_col: str = "chunk_id", document_col: str = "document_id", text_col: str = "content") -> DataFrame:
+    """``(document_id, chunk_id, term_type, canonical_form)``: the terms of every chunk, each under its form over all chunks.
+
+    A chunk stands for a section, its fenced code for that section's code blocks. Chunks without terms have no rows.
+    """
+    code = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(CODE_FENCE), F.lit(1))
+    found = occurrences(chunks, products=products, concepts=concepts, id_col=id_col, text_col=text_col, code=code)
+    named = terms(found).select("term_type", F.lower("canonical_form").alias("key"), "canonical_form")
+    held = found.select(F.col("doc_id").alias("chunk_id"), "term_type", F.lower("form").alias("key")).distinct()
+    of = chunks.select(F.col(id_col).alias("chunk_id"), F.col(document_col).alias("document_id"))
+    return held.join(named, ["term_type", "key"]).join(of, "chunk_id").select("document_id", "chunk_id", "term_type", "canonical_form")
+
+
 def alias_type(alias: Column, canonical: Column) -> Column:
     return (
         F.when(F.lower(alias) == F.lower(canonical), "same_case").when(alias.contains("-"), "kebab").when(alias.contains("."), "dotted").when(alias.contains(" "), "spaced")

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 
 from millrace.functions import phrases as P
 from millrace.functions import text as T
-from millrace.functions.text import single_spaced
+from millrace.functions.text import let, single_spaced
 from millrace.operators import evaluate, hints, retrieve, rewrite
 from millrace.operators.rewrite import unit
 from millrace.sources.stored import durable
 
 #: Results that count for overlap with a memory's targets, and for shift and guard.
 DEPTH, TOP = 10, 5
-MEMORY = "array<struct<after: int, memory_id: bigint, query_text: string, similarity: double, target_chunks: array<bigint>, target_doc: bigint, product: string, glossary: array<string>, trusted: boolean>>"
+MEMORY = "array<struct<after: int, memory_id: bigint, query_text: string, similarity: double, target_chunks: array<bigint>, target_doc: bigint, product: string, glossary: array<string>, canonical: array<struct<term_id: string, variants: array<string>>>, trusted: boolean>>"
+#: Canonical groups of a memory: a term and its forms.
+CANONICAL = "array<struct<term_id: string, variants: array<string>>>"
 
 
 @dataclass(frozen=True)
@@ -105,21 +107,24 @@ def own_tokens(text: Column, language: Column, content: int = 18, technical: int
 def with_memories(samples: DataFrame, memories: DataFrame, retriever: Retriever, pool: int = 20, n: int = 5) -> DataFrame:
     """``samples(query_id, text, profile, product)`` with raw lists ``ids, docs, scores`` and ``memories`` in re-ranked order.
 
-    ``memories(memory_id, query_text, target_chunks, target_doc, product, glossary, utility)``. A memory is
-    trusted if one of its targets is among the raw results.
+    ``memories(memory_id, query_text, target_chunks, target_doc, product, glossary, utility)`` and, if there are
+    any, ``canonical`` groups (array of term_id and variants). A memory is trusted if one of its targets is
+    among the raw results.
     """
+    if "canonical" not in memories.columns:
+        memories = memories.withColumn("canonical", F.lit(None).cast(CANONICAL))
     language = T.guess_language(F.col("text"))
     raw = durable(samples.select("query_id", "text", "profile", "product").join(retriever.lists(samples), "text"))  # read for the memories and for the result
     near = retriever.pool(samples, pool).join(memories.withColumnRenamed("product", "memory_product"), "memory_id")
     rows = raw.withColumnRenamed("product", "sample_product").join(near, "text").select(
-        "query_id", "memory_id", "before", "similarity", "target_chunks", "target_doc", F.slice("ids", 1, DEPTH).alias("raw_chunks"), F.slice("docs", 1, DEPTH).alias("raw_docs"), "query_text", "glossary", "memory_product",
+        "query_id", "memory_id", "before", "similarity", "target_chunks", "target_doc", F.slice("ids", 1, DEPTH).alias("raw_chunks"), F.slice("docs", 1, DEPTH).alias("raw_docs"), "query_text", "glossary", F.col("canonical").cast(CANONICAL).alias("canonical"), "memory_product",
         own_tokens(F.col("text"), language).alias("raw_tokens"),
         F.array_distinct(F.concat(own_tokens(F.col("query_text"), language, 18, 12), F.flatten(F.transform(F.coalesce("glossary", F.array().cast("array<string>")), lambda g: own_tokens(g, language, 8, 4))))).alias("memory_tokens"),
         unit(F.coalesce("utility", F.lit(0.0))).alias("utility"), F.coalesce((F.col("memory_product") == F.col("sample_product")).cast("double"), F.lit(0.0)).alias("product"),
     )
     ordered = rewrite.memory_features(rows, n=n)
     trusted = (F.col("chunk_overlap") > 0) | (F.col("doc_overlap") > 0)
-    item = F.struct("after", "memory_id", "query_text", "similarity", "target_chunks", "target_doc", F.col("memory_product").alias("product"), "glossary", trusted.alias("trusted"))
+    item = F.struct("after", "memory_id", "query_text", "similarity", "target_chunks", "target_doc", F.col("memory_product").alias("product"), "glossary", "canonical", trusted.alias("trusted"))
     held = ordered.groupBy("query_id").agg(F.sort_array(F.collect_list(item)).cast(MEMORY).alias("memories"))
     return raw.join(held, "query_id", "left").withColumn("memories", F.coalesce("memories", F.array().cast(MEMORY)))
 
@@ -128,14 +133,33 @@ def ratio(part: Column, whole: Column, default: float = 1.0) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(default))
 
 
-def terminology(raw: Column, candidate: Column, anchors: Column, language: Column) -> Column:
-    """Struct ``(technical, anchors, score)``: shares of technical tokens and of anchors that the candidate kept; 1 where there are none."""
+def canonical_hits(text: Column, memories: Column) -> Column:
+    """Terms of the memories' canonical groups of which a text has a form."""
+    groups = F.flatten(F.transform(memories, lambda m: F.coalesce(m["canonical"], F.array().cast(CANONICAL))))
+    return F.array_distinct(F.transform(F.filter(groups, lambda g: F.size(T.variants_in_text(text, g["variants"])) > 0), lambda g: g["term_id"]))
+
+
+def terminology(raw: Column, candidate: Column, anchors: Column, language: Column, memories: Column | None = None) -> Column:
+    """Struct ``(technical, anchors, score)``: shares of technical tokens and of anchors that the candidate kept; 1 where there are none.
+
+    If the query mentions canonical terms of the ``memories``, the share of these that the candidate still
+    mentions, in whatever form, is the least that each of the three can be.
+    """
     fold = lambda a: F.array_distinct(F.transform(a, F.lower))
     own, kept = fold(P.anchor_tokens(raw, language, 24)), fold(P.anchor_tokens(candidate, language, 24))
     technical = ratio(F.size(F.array_intersect(own, kept)), F.size(own))
     wanted = fold(anchors)
     overlap = F.when(F.size(wanted) > 0, ratio(F.size(F.array_intersect(wanted, kept)), F.size(wanted))).otherwise(technical)
-    return F.struct(technical.alias("technical"), overlap.alias("anchors"), unit(0.70 * technical + 0.30 * overlap).alias("score"))
+    if memories is None:
+        return F.struct(technical.alias("technical"), overlap.alias("anchors"), unit(0.70 * technical + 0.30 * overlap).alias("score"))
+    hits = F.struct(canonical_hits(raw, memories).alias("raw"), canonical_hits(candidate, memories).alias("candidate"), technical.alias("t"), overlap.alias("a"))
+
+    def with_canonical(x: Column) -> Column:
+        share = F.when(F.size(x["raw"]) > 0, F.size(F.array_intersect(x["raw"], x["candidate"])) / F.size(x["raw"])).otherwise(0.0)
+        t, a = F.greatest(x["t"], share), F.greatest(x["a"], share)
+        return F.struct(t.alias("technical"), a.alias("anchors"), F.greatest(unit(0.70 * t + 0.30 * a), share).alias("score"))
+
+    return let(hits, with_canonical)
 
 
 def memory_targets(raw: Column, candidate: Column, memories: Column) -> Column:
@@ -178,7 +202,7 @@ def judge(state: DataFrame, candidates: DataFrame, retriever: Retriever, policy:
     (raw_chunk, raw_doc), (chunk, doc) = hit("raw_ids", "raw_docs"), hit("ids", "docs")
     found = F.filter("preserved", lambda t: T.variant_in_text(F.col("raw"), t))
     seen = rows.withColumns({
-        "score": score, "shift": shift, "terminology": terminology(F.col("raw"), F.col("text"), anchors, F.col("language")),
+        "score": score, "shift": shift, "terminology": terminology(F.col("raw"), F.col("text"), anchors, F.col("language"), F.when(uses, trusted).otherwise(nobody)),
         "alignment": rewrite.memory_alignment(F.col("raw_affinity"), F.when(uses, F.col("affinity")).otherwise(F.col("raw_affinity"))),
         "targets": memory_targets(F.col("raw"), F.col("text"), first), "index_valid": index <= n,
         "improved": F.coalesce((chunk & ~raw_chunk) | (doc & ~raw_doc), F.lit(False)),

@@ -97,6 +97,16 @@ def glossary_terms(spark, sf_dir):
     return glossary.terms(found).select("term_id", "term_type", "canonical_form", F.array_join("aliases", ",").alias("aliases"), "evidence_count", "n_docs", "confidence")
 
 
+@query("chunk_anchor_candidates", f"""
+WITH u AS (SELECT page_id, {SQL_ADDRESS} AS u FROM pages), o AS (SELECT * FROM ({SQL_OCCURRENCES}) WHERE form <> ''),
+t AS (SELECT term_type, lower(form) AS key, arg_min(form, (-length(form), doc_id, place, form)) AS canonical_form FROM o GROUP BY ALL)
+SELECT DISTINCT doc_id // 10 AS document_id, doc_id AS chunk_id, o.term_type, canonical_form FROM o JOIN t ON t.term_type = o.term_type AND t.key = lower(o.form)""")
+def chunk_anchor_candidates(spark, sf_dir):
+    """Addresses stand for chunks, ten for a document."""
+    chunks = _addresses(spark, sf_dir).select(F.col("page_id").alias("chunk_id"), F.expr("page_id div 10").alias("document_id"), F.col("u").alias("content"))
+    return glossary.chunk_candidates(chunks, PRODUCTS, concepts=False)
+
+
 @query("document_glossary")
 def document_glossary(spark, sf_dir):
     return glossary.terms(glossary.occurrences(table(spark, sf_dir, "documents"), products=PRODUCTS))

@@ -10,6 +10,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # kept rows go once nothing refers to them
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -96,6 +96,17 @@ def test_scores_are_those_of_the_rule(spark, world):
     assert row["raw_reference"] == pytest.approx(0.60 * own + 0.28 + 0.12 * align(x, x), abs=1e-8)
 
 
+def test_canonical_forms_preserve_terminology(spark, world):
+    """A query's term may be kept in another form of its canonical group, if a trusted memory knows the group."""
+    samples, memories, retriever, _ = world
+    forms = spark.createDataFrame([(1, [("t1", ["RestTemplate", "rest client"]), ("t2", ["JdbcTemplate"])])], f"memory_id long, canonical {selective.CANONICAL}")
+    state = selective.with_memories(samples, memories.join(forms, "memory_id", "left"), retriever, 3, 2)
+    schema = "query_id long, seq int, label string, text string, preserved array<string>, added array<string>, source_memory int, intent_risk string"
+    rows = [(1, 1, "expanded", "timeout of the rest client", [], [], 1, "low"), (1, 2, "standalone", "timeout of the rest client", [], [], 0, "low"), (1, 3, "expanded", "timeout of a thing", [], [], 1, "low")]
+    got = {r["seq"]: r["terminology"].asDict() for r in selective.judge(state, spark.createDataFrame(rows, schema), retriever).collect()}
+    assert got[1] == {"technical": 1.0, "anchors": 1.0, "score": 1.0} and got[2]["score"] == got[3]["score"] == 0.0
+
+
 def test_decisions_and_lists(spark, world):
     rows = [(1, 1, "expanded", "RestTemplate timeout", [], [], 1, "low"), (1, 2, "expanded", "RestTemplate timeout RestTemplate", [], [], 1, "low"), (2, 1, "expanded", "batch", [], [], 1, "low")]
     state, _, found = judged(spark, world, rows, selective.Policy(min_improvement=-1.0), threshold=-1.0)
