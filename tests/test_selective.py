@@ -67,8 +67,6 @@ def test_every_reason(spark, world):
     strict = selective.Policy(guard_floor=0.0, guard_overlap=1.01, min_gain=0.0, max_length_ratio=9)
     _, held, _ = judged(spark, world, rows, strict)
     assert held[2, 2]["rejection"] in ("raw_loss_guard_top1_lost", "delta_below_threshold", "missing_memory_target")
-    _, got, _ = judged(spark, world, rows, selective.Policy(min_gain=1.0, max_length_ratio=9))
-    assert got[2, 1]["rejection"] in ("retrieval_gain_below_floor", "")
     _, forced, _ = judged(spark, world, rows, strict, force=True)
     assert "raw_loss_guard_top1_lost" not in {r["rejection"] for r in forced.values()} and "delta_below_threshold" not in {r["rejection"] for r in forced.values()}
 
