@@ -83,7 +83,7 @@ class MergeAutomaton:
     share; others are made again each time.
     """
 
-    def __init__(self, ids: dict[str, int], merges: Iterable[tuple[str, str]], base: Iterable[str], keep: int = 150_000) -> None:
+    def __init__(self, ids: dict[str, int], merges: Iterable[tuple[str, str]], base: Iterable[str], keep: int = 80_000) -> None:
         self.label = {i: s for s, i in ids.items()}
         self.born: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -199,7 +199,7 @@ class WordCodec:
     frequent; after eight times as many misses the store starts anew. Memory is bounded for any vocabulary.
     """
 
-    def __init__(self, spec: bytes, keep: int = 250_000) -> None:
+    def __init__(self, spec: bytes, keep: int = 180_000) -> None:
         import regex
 
         spec_json = json.loads(spec)

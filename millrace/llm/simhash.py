@@ -235,7 +235,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(whole_row(docs).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
     chosen = classes.groupBy("group").agg(F.min(F.struct(F.col("_s_id").isNull().alias("nameless"), "_s_id", "fp")).alias("c")).select("c._s_id", "c.fp")
     counts = classes.where("_s_id IS NOT NULL").groupBy("_s_id").agg(F.count(F.lit(1)).alias("n"))
-    marked = durable(chosen.join(counts, "_s_id", "left"))
+    marked = chosen.join(counts, "_s_id", "left")  # of ids alone: made again rather than kept
     firsts = rows.join(marked.where("n = 1").select("_s_id"), "_s_id").select("_s_row.*")
     odd = marked.where("n IS NULL OR n > 1").select(F.col("_s_id").alias("_s_odd"), F.col("fp").alias("_s_fp"))
     if odd.isEmpty():
