@@ -67,7 +67,11 @@ def stored_once(spark: SparkSession, name: str, sources: list[str], build: Calla
     system, whole = _path(spark, folder)
     if not system.exists(whole):
         made = f"{folder}-{uuid.uuid4().hex}"
-        build(made)
+        try:
+            build(made)
+        except BaseException:
+            delete_folder(spark, made)
+            raise
         if not system.rename(_path(spark, made)[1], whole) or system.exists(_path(spark, f"{folder}/{made.rsplit('/', 1)[1]}")[1]):
             delete_folder(spark, f"{folder}/{made.rsplit('/', 1)[1]}")
             delete_folder(spark, made)
