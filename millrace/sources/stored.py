@@ -27,12 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, few: bool = False) -> DataFrame:
     """Compute ``df`` once and keep it in the shared folder, cutting its lineage.
 
-    The rows survive the loss of any executor.
+    The rows survive the loss of any executor. ``few`` is for narrow rows that come out of a shuffle: they
+    are written by fewer tasks, four for each core, but no less than an eighth of the shuffle's partitions.
     """
     context = df.sparkSession.sparkContext
+    if few:
+        df = df.coalesce(max(4 * context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 8))
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
