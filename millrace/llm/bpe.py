@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_rows
+from millrace.llm.common import KEPT, map_rows
 
 #: Where str.split() and the tokenizer's white space differ: these four are ordinary characters for it.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -310,7 +310,7 @@ def newer_marks() -> re.Pattern[str]:
     return re.compile(f"[{''.join(map(re.escape, found))}]" if found else r"(?!)")
 
 
-_CODECS: dict[str, WordCodec] = {}
+_CODECS: dict[str, WordCodec] = KEPT.setdefault(__name__, {})
 
 
 def codec_of(spec: bytes) -> WordCodec:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -46,11 +47,26 @@ def tidy() -> None:
         pass
 
 
-def tidied(run: Callable) -> Callable:
-    """``run`` over the batches of a task, tidying up at its end."""
+#: What an operator's module keeps in a Python worker between its tasks.
+KEPT: dict[str, dict] = {}
+
+
+def drop_kept(owner: str) -> None:
+    """Let go of what other operators have kept in this worker: another stage has begun."""
+    others = [held for name, held in KEPT.items() if name != owner and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        tidy()
+
+
+def tidied(run: Callable, owner: str | None = None) -> Callable:
+    """``run`` over the batches of a task, tidying up at its end, and before it what other operators left."""
 
     @functools.wraps(run)
     def whole(batches: Iterator) -> Iterator:
+        drop_kept(owner or getattr(run, "__module__", ""))
         try:
             yield from run(batches)
         finally:
@@ -100,7 +116,7 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable], columns:
             work.close()
 
     small_batches(df.sparkSession)
-    return df.select(*columns).mapInArrow(tidied(run), schema)
+    return df.select(*columns).mapInArrow(tidied(run, getattr(make, "__module__", "")), schema)
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:

@@ -268,7 +268,7 @@ def _with_sets(texts: DataFrame, places: DataFrame, distinct: DataFrame, width:
 
         return work
 
-    wanted = durable(places.select("node").distinct().join(distinct.select(F.col("fp").alias("node"), "least"), "node"))
+    wanted = durable(places.select("node").distinct().join(distinct.select(F.col("fp").alias("node"), "least"), "node"), few=True)
     few = wanted.limit(FEW + 1).count() <= FEW
     small = lambda df: F.broadcast(df) if few else df
     rows = texts.join(small(wanted.where("least IS NOT NULL").select(F.col("least").alias("_s_id")).distinct()), "_s_id", "left_semi")
@@ -297,28 +297,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = docs.select(F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
     own = durable(nodes(named, "_s_id", "_s_text", width, least, frequent_shingles(named, "_s_text", width)))
     alike = own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.first("n").alias("n"), F.first("s0").alias("s0"), F.first("s1").alias("s1"), F.first("first").alias("first"))
-    distinct = durable(own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.max(F.struct("n", "s0", "s1")).alias("x")).select("fp", "least", "x.*"))
+    distinct = durable(own.groupBy("fp").agg(F.min("_s_id").alias("least"), F.max(F.struct("n", "s0", "s1")).alias("x")).select("fp", "least", "x.*"), few=True)
     with numeric_batches(docs.sparkSession):
-        shared = durable(_shared(alike.select(F.explode("first").alias("h"), F.col("fp").alias("node"))))
+        shared = durable(_shared(alike.select(F.explode("first").alias("h"), F.col("fp").alias("node"))), few=True)
     known = distinct.select(F.col("fp").alias("node"), "n", "s0", "s1")
 
     rows = shared.join(known, "node").withColumn("component", F.col("node"))
     members = components(candidates(rows, least)).join(known.select("node", "n"), "node")
-    parted = durable(_parted(members))
+    parted = durable(_parted(members), few=True)
     block = F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")
     places = parted.select("node", "component", F.explode(F.when(F.col("led"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))).alias("low")).withColumn("high", F.col("low"))
-    found = durable(links(_with_sets(named, places, distinct, width).select("component", "low", "high", "node", "set"), least))
+    found = durable(links(_with_sets(named, places, distinct, width).select("component", "low", "high", "node", "set"), least), few=True)
     reached = components(found)
 
     large = parted.where("blocks > 1").select("node", F.col("component").alias("around"))
     if not large.isEmpty():  # pairs of different blocks that are not connected yet
-        state = durable(large.join(reached, "node", "left").select("node", "around", F.coalesce("component", "node").alias("component")))
+        state = durable(large.join(reached, "node", "left").select("node", "around", F.coalesce("component", "node").alias("component")), few=True)
         open_ = state.groupBy("around").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("around")
         rest = state.join(open_, "around").select("node", "component")
         again = components(candidates(shared.join(known, "node").join(rest, "node"), least)).join(known.select("node", "n"), "node")
         pairs = _parted(again).withColumn("own", block).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).where("own <> other OR blocks = 1")
         pairs = pairs.select("node", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        more = durable(links(_with_sets(named, durable(pairs), distinct, width).select("component", "low", "high", "node", "set"), least))
+        more = durable(links(_with_sets(named, durable(pairs, few=True), distinct, width).select("component", "low", "high", "node", "set"), least), few=True)
         reached = components(found.union(more))
 
     grouped = distinct.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))

@@ -48,7 +48,7 @@ def group_ends(docs: DataFrame, text_col: str = "text") -> DataFrame:
     groups = groups.select("key", F.left("key", F.lit(RUN_DIGITS)).alias("run"), "size", "rows")  # both uses read one shuffle
     runs = groups.groupBy("run").agg(F.sum("size").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)))  # 16 ** RUN_DIGITS rows at most
     within = groups.withColumn("within", F.sum("size").over(Window.partitionBy("run").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)))
-    return durable(within.join(runs, "run").select("key", (F.coalesce("before", F.lit(0)) + F.col("within")).alias("end"), "rows"))
+    return durable(within.join(runs, "run").select("key", (F.coalesce("before", F.lit(0)) + F.col("within")).alias("end"), "rows"), few=True)
 
 
 @dataclass(frozen=True)

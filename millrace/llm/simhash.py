@@ -231,7 +231,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from millrace.llm import jaccard
 
     near, prints = (near_duplicates, fingerprints) if least is None else (partial(jaccard.near_duplicates, least=least), jaccard.nodes)
-    classes = durable(near(docs, id_col, text_col, width).select(F.col(id_col).alias("_s_id"), "group", "fp"))
+    classes = durable(near(docs, id_col, text_col, width).select(F.col(id_col).alias("_s_id"), "group", "fp"), few=True)
     rows = docs.select(whole_row(docs).alias("_s_row"), F.col(id_col).cast("long").alias("_s_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_s_text"))
     chosen = classes.groupBy("group").agg(F.min(F.struct(F.col("_s_id").isNull().alias("nameless"), "_s_id", "fp")).alias("c")).select("c._s_id", "c.fp")
     counts = classes.where("_s_id IS NOT NULL").groupBy("_s_id").agg(F.count(F.lit(1)).alias("n"))
