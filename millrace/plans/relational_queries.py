@@ -194,10 +194,16 @@ def optional_filter_page(spark, sf_dir):
     return R.page(found, [F.desc("p_retailprice"), F.col("p_partkey")], 10, 5).select("p_partkey", "p_name")
 
 
+def _epoch_ms(ts):
+    """Milliseconds since 1970 of a time without a zone, halves away from zero, whatever the session's zone and its summer time."""
+    seconds = (ts - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")).cast("interval second").cast("decimal(20,6)")
+    return F.round(seconds * 1000).cast("long")
+
+
 @query("eta_ladder", """WITH a AS (SELECT user_id, count(*) AS total, count(*) FILTER (WHERE event_type <> 'error') AS done, epoch_ms(max(ts)) - epoch_ms(min(ts)) AS ms FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN done = total THEN 'finished' WHEN done = 0 THEN 'pending' ELSE 'running' END AS state, CASE WHEN done = total THEN 0 WHEN done = 0 THEN NULL ELSE greatest(0, round((total - done) * (ms / 1000.0 / done)))::BIGINT END AS eta FROM a""")
 def eta_ladder(spark, sf_dir):
-    work = _t(spark, sf_dir, "events").groupBy("user_id").agg(_n().alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), (F.unix_millis(F.max("ts").cast("timestamp")) - F.unix_millis(F.min("ts").cast("timestamp"))).alias("ms"))
+    work = _t(spark, sf_dir, "events").groupBy("user_id").agg(_n().alias("total"), F.count_if(F.col("event_type") != "error").alias("done"), (_epoch_ms(F.max("ts")) - _epoch_ms(F.min("ts"))).alias("ms"))
     state = F.when(F.col("done") == F.col("total"), "finished").when(F.col("done") == 0, "pending").otherwise("running")
     eta = F.when(F.col("done") == F.col("total"), F.lit(0).cast("long")).when(F.col("done") > 0, F.greatest(F.lit(0).cast("long"), F.round((F.col("total") - F.col("done")) * (F.col("ms") / 1000.0 / F.col("done"))).cast("long")))
     return work.select("user_id", state.alias("state"), eta.alias("eta"))

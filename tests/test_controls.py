@@ -63,3 +63,22 @@ def test_terms_of_chunks(spark):
     forms = {(r[1], r[2], r[3].lower()) for r in got}
     assert (10, "annotation", "@bean") in forms and all(c != 12 for c, _, _ in forms)
     assert len({r[3] for r in got if r[2] == "annotation"}) == 1
+
+
+def test_time_spans_are_rounded_and_do_not_depend_on_the_zone_of_the_session(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import registry
+
+    duck = duckdb.connect()
+    rows = "(1, TIMESTAMP '2024-03-09 00:00:00', 'view'), (1, TIMESTAMP '2024-03-12 00:00:00', 'error'), (2, TIMESTAMP '2024-03-10 02:30:00', 'view'), (2, TIMESTAMP '2024-03-10 03:30:00', 'error'), (3, TIMESTAMP '1969-12-31 23:59:59.0005', 'view'), (3, TIMESTAMP '1970-01-01 00:00:00.4996', 'error'), (4, NULL, 'view'), (4, NULL, 'error')"
+    duck.execute(f"CREATE TABLE events AS SELECT * FROM (VALUES {rows}) t(user_id, ts, event_type)")
+    duck.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    expected = sorted(duck.execute(registry.oracle_sql()["eta_ladder"]).fetchall())
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            assert sorted(tuple(r) for r in registry.queries()["eta_ladder"](spark, str(tmp_path)).collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
