@@ -14,10 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.sources.stored import durable
+
 KEY = ("version", "seed", "related", "kind", "source")
 #: Cap, base and step of a damped count, fixed for each kind of co-occurrence.
 BY_QUERY, BY_CHUNK = (0.95, 0.62, 0.07), (0.90, 0.55, 0.06)
 FLOOR, PER_SEED = 0.55, 80
+#: Terms of a unit above which its pairs are dealt over several tasks.
+HOT = 1024
 COLUMNS = (*KEY, "score", "evidence", "method", "run", "status")
 
 
@@ -51,14 +55,38 @@ def shared_edges(links: DataFrame, terms: DataFrame, unit: str, shape: tuple[flo
     The method is that of the shared units, "mixed" if they have several, null if they have none.
     """
     cap, base, step = shape
-    typed = links.select(unit, F.col("term").alias("term_id"), "method").join(active_terms(terms), "term_id")
-    once = typed.groupBy(unit, "term_id", "term_type").agg(F.collect_set("method").alias("methods"))
-    left = once.select(unit, F.col("term_id").alias("seed"), F.col("term_type").alias("_a"), "methods")
-    right = once.select(unit, F.col("term_id").alias("related"), F.col("term_type").alias("_b"))
-    pairs = left.join(right, unit).where("seed <> related AND NOT (_a = 'concept' AND _b = 'concept')")
-    counted = pairs.groupBy("seed", "related").agg(F.count(F.lit(1)).alias("evidence"), F.array_distinct(F.flatten(F.collect_set("methods"))).alias("m"))
-    method = F.when(F.size("m") == 0, None).when(F.size("m") == 1, F.get("m", F.lit(0))).otherwise("mixed")
-    return counted.select("seed", "related", F.round(F.least(F.lit(cap), base + F.log(F.col("evidence") + 1) * step), 9).alias("score"), "evidence", method.alias("method"))
+    h = F.xxhash64("method")
+    names = links.where("method IS NOT NULL").select(h.alias("_h"), "method").distinct()  # methods are named by the build: a few
+    typed = links.select(unit, F.col("term").alias("term_id"), F.when(F.col("method").isNotNull(), h).alias("_h")).join(active_terms(terms), "term_id")
+    # units lie in ranges, so that terms which neighbouring units share are counted before the shuffle of the pairs
+    once = typed.repartitionByRange(unit).groupBy(unit, "term_id", "term_type").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+    item = F.struct("term_id", (F.col("term_type") == "concept").alias("concept"), "lo", "hi")
+    held = once.groupBy(unit).agg(F.sort_array(F.collect_list(item)).alias("x")).where(F.size("x") > 1).select("x")
+    counted = _pairs(held.where(F.size("x") <= HOT)).unionByName(_pairs(_dealt(held.where(F.size("x") > HOT))))
+    by = counted.groupBy("a", "b").agg(F.count(F.lit(1)).alias("evidence"), *(f(c).alias(c) for c, f in (("alo", F.min), ("ahi", F.max), ("blo", F.min), ("bhi", F.max))))
+    # both ways: the methods are those of the seed's own links
+    way = lambda seed, related, side: F.struct(F.col(seed).alias("seed"), F.col(related).alias("related"), F.col(f"{side}lo").alias("lo"), F.col(f"{side}hi").alias("hi"))
+    edges = by.select("evidence", F.explode(F.array(way("a", "b", "a"), way("b", "a", "b"))).alias("e")).join(F.broadcast(names), F.col("e.lo") == F.col("_h"), "left")
+    method = F.when(F.col("e.lo") != F.col("e.hi"), "mixed").otherwise(F.col("method"))
+    return edges.select("e.seed", "e.related", F.round(F.least(F.lit(cap), base + F.log(F.col("evidence") + 1) * step), 9).alias("score"), "evidence", method.alias("method"))
+
+
+def _dealt(held: DataFrame) -> DataFrame:
+    """Terms of large units, as ``(x, y)``: each row pairs a part of them with itself or a later part, and the rows are dealt over all tasks."""
+    parts = held.select(F.transform(F.sequence(F.lit(0), F.expr(f"(size(x) - 1) div {HOT}")), lambda i: F.slice("x", i * HOT + 1, HOT)).alias("p"))
+    one = parts.select("p", F.posexplode("p").alias("i", "x"))
+    pairs = one.select("x", F.posexplode(F.slice("p", F.col("i") + 1, F.size("p"))).alias("j", "y"))
+    return pairs.repartition(F.xxhash64("x", "y")).select("x", F.when(F.col("j") > 0, F.col("y")).alias("y"))
+
+
+def _pairs(held: DataFrame) -> DataFrame:
+    """``(a, b, alo, ahi, blo, bhi)``: each two terms of a unit once, but no two concepts. With ``y``, those of ``x`` and ``y``; a null ``y`` is ``x`` itself."""
+    later = F.slice("x", F.col("i") + 2, F.size("x"))
+    if "y" in held.columns:
+        one = held.select("x", "y", F.posexplode("x").alias("i", "l")).select("l", F.explode(F.coalesce("y", later)).alias("r"))
+    else:
+        one = held.select("x", F.posexplode("x").alias("i", "l")).select("l", F.explode(later).alias("r"))
+    return one.where("NOT (l.concept AND r.concept) AND l.term_id <> r.term_id").selectExpr("l.term_id AS a", "r.term_id AS b", "l.lo AS alo", "l.hi AS ahi", "r.lo AS blo", "r.hi AS bhi")
 
 
 def best_of_each(source: Source, floor: float = FLOOR, most: int = PER_SEED) -> DataFrame:
@@ -81,7 +109,7 @@ def build(table: DataFrame | None, sources: list[Source], version: str, run: str
     "superseded" and keep their run, the others are "active" under this run.
     """
     new = reduce(DataFrame.unionByName, (best_of_each(s, floor, most) for s in sources))
-    new = new.select(F.lit(version).alias("version"), "*", F.lit(run).alias("run"), F.lit("active").alias("status")).select(*COLUMNS)
+    new = durable(new.select(F.lit(version).alias("version"), "*", F.lit(run).alias("run"), F.lit("active").alias("status")).select(*COLUMNS))  # read as rows and as keys
     old = empty_table(new) if table is None else table.select(*COLUMNS)
     closing = (F.col("version") == version) & F.col("kind").isin(*(s.kind for s in sources)) & (F.col("status") == "active")
     closed = old.join(new.select(*KEY), list(KEY), "left_anti").withColumn("status", F.when(closing, "superseded").otherwise(F.col("status")))

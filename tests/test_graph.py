@@ -145,3 +145,26 @@ def test_every_flag_and_every_broken_reference_occurs(spark):
     assert found == {None, *audit.BROKEN}
     nothing = spark.createDataFrame([(1, None, None, None, None, None, None)], "sample_id long, query string, source_query string, source_type string, chunk_text string, section_path string, key_points array<string>")
     assert audit.flags(nothing).first()["flags"] == ["B", "F"]
+
+
+def test_pairs_of_large_units_and_methods_of_each_side(spark, monkeypatch):
+    """Counts and methods against pairs written out, with units above and below the size that is dealt over tasks."""
+    from millrace.operators import relations
+
+    monkeypatch.setattr(relations, "HOT", 3)
+    terms = [(t, "concept" if t % 4 == 0 else "class", t != 9) for t in range(12)]
+    links = [(u, t, None if (u + t) % 5 == 0 else f"m{(u * t) % 3}") for u in range(6) for t in range(12) if (u * 7 + t * 3) % 5 < u]
+    links += [(3, 2, "m0"), (3, 2, "m2")]
+    expected = {}
+    for u in range(6):
+        own = {t: {m for v, x, m in links if (v, x) == (u, t) and m} for v, t, _ in links if v == u and t != 9}
+        for a, methods in own.items():
+            for b in own:
+                if a != b and (a % 4 or b % 4):
+                    n, seen = expected.get((a, b), (0, set()))
+                    expected[a, b] = n + 1, seen | methods
+    frame = relations.shared_edges(spark.createDataFrame(links, "unit long, term long, method string"), spark.createDataFrame(terms, "term_id long, term_type string, active boolean"), "unit", relations.BY_QUERY)
+    found = {(r["seed"], r["related"]): (r["evidence"], r["method"]) for r in frame.collect()}
+    assert found == {k: (n, None if not m else "mixed" if len(m) > 1 else min(m)) for k, (n, m) in expected.items()}
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan  # a set in the buffer makes Spark sort and spill every pair
