@@ -4,8 +4,8 @@ Three tables lie in the index's folder. ``postings``: (doc_id, token, tf, dl, nt
 texts. ``blocks``: documents are dealt into blocks in the order of their lengths, which their weights follow; a
 row holds the documents of one block that have a token, with their BM25 weights, and the greatest of them
 (``top``). Rows are sorted by token over the files, so their statistics tell which files a token is in.
-``packs``: all postings of a block in one row, as numbers, for passes that score every document
-(:mod:`millrace.operators.search`).
+``packs``: documents with their postings as numbers, many in a row, for passes that score every document
+(:mod:`millrace.operators.search`); they are made from the texts by themselves, and stored alone where only they are used.
 
 The sum of ``top`` over a query's tokens bounds every score in a block. The most promising blocks of each
 query are scored first; its k-th score there is a floor, and only blocks whose bound reaches it are read. No
@@ -14,8 +14,13 @@ query reads a text.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,14 +34,19 @@ from millrace.sources.tables import table
 
 #: Documents of a block, and blocks of a query that are scored before any is skipped.
 BLOCK_DOCS, FIRST_BLOCKS = 64, 16
+#: Documents and postings of a pack at most (a longer document is a pack by itself), and tokens whose numbers a task keeps.
+PACK_DOCS, PACK_POSTINGS, KNOWN = 256, 1 << 16, 500_000
+PACK_TYPE = "array<struct<doc_id: bigint, dl: bigint, nt: bigint, t: array<bigint>, tf: array<int>, tech: array<boolean>>>"
+PACK_ITEM = pa.struct({"doc_id": pa.int64(), "dl": pa.int64(), "nt": pa.int64(), "t": pa.list_(pa.int64()), "tf": pa.list_(pa.int32()), "tech": pa.list_(pa.bool_())})
+_TOKEN = re.compile(T.TOKEN)
 #: Bounds this much below the floor still count: scores are rounded to 9 digits.
 SLACK = 1e-6
 
 
 @dataclass(frozen=True)
 class InvertedIndex:
-    postings: DataFrame
-    blocks: DataFrame
+    postings: DataFrame | None
+    blocks: DataFrame | None
     packs: DataFrame
 
 
@@ -68,20 +78,72 @@ def weights(postings: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def token_numbers(token: Column) -> list[Column]:
-    """What a pass needs of a token: its 64-bit hash ``t``, place and sign in a hash embedding, and whether it is technical."""
-    return [F.xxhash64(token).alias("t"), V.hash_slot(token).alias("slot"), V.hash_sign(token).cast("int").alias("sign"), token.rlike("[A-Za-z0-9]").alias("tech")]
+    """What a pass needs of a token: ``t``, the 64 bits that its place and sign in a hash embedding come from, and whether it is technical."""
+    high, low = V.hash_halves(token)
+    return [(F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high) * (1 << 32) + low).alias("t"), token.rlike("[A-Za-z0-9]").alias("tech")]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``(id, texts)`` to packs of at most ``PACK_DOCS`` documents and about ``PACK_POSTINGS`` postings. Rows of one id add up; the longest gives the length."""
+    known: dict[str, tuple[int, bool]] = {}
+    rows: list[tuple] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        items = [{"doc_id": i, "dl": dl, "nt": nt, "t": t, "tf": tf, "tech": tech} for i, dl, nt, t, tf, tech in rows]
+        return pa.RecordBatch.from_arrays([pa.array([items], pa.list_(PACK_ITEM))], names=["items"])
+
+    for batch in batches:
+        for row_id, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            cut = [Counter(x.lower() for x in _TOKEN.findall(text)) for text in texts if text is not None]
+            whole = sum(cut, Counter()) if len(cut) > 1 else cut[0] if cut else Counter()
+            if len(known) > KNOWN:
+                known.clear()
+            for token in whole:
+                if token not in known:
+                    known[token] = int.from_bytes(hashlib.sha1(token.encode()).digest()[:8], "big", signed=True), token[0] < "\x80" and any(c.isalnum() for c in token)
+            numbers = [known[token] for token in whole]
+            technical = [sum(known[token][1] for token in c) for c in cut]
+            rows.append((row_id, max((c.total() for c in cut), default=0), max(technical, default=0), [n for n, _ in numbers], list(whole.values()), [x for _, x in numbers]))
+            size += len(numbers)
+            if len(rows) >= PACK_DOCS or size >= PACK_POSTINGS:
+                yield packed()
+                rows, size = [], 0
+    if rows:
+        yield packed()
+
+
+def write_packs(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the packs of ``docs``: its texts are read in one narrow pass, and only ids and the counts of each task's tokens are shuffled.
+
+    Three kinds of rows: ``docs`` (items), ``terms`` (t and its document frequency), ``all`` (one row: documents and their
+    mean length). Weights are made where they are used, from the frequencies of a query's tokens.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    once = rows.select("id", F.array("text").alias("texts"))
+    if again.limit(1).count():
+        several = rows.join(again, "id", "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
+        once = once.join(again, "id", "left_anti").unionByName(several)
+    once.mapInArrow(_numbered, f"items {PACK_TYPE}").write.parquet(f"{folder}/kind=docs")
+    made = spark.read.schema(f"items {PACK_TYPE}").parquet(f"{folder}/kind=docs")
+    own = made.select(F.explode("items").alias("x"))
+    own.select(F.explode("x.t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/kind=terms")
+    own.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("x.dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl")).write.parquet(f"{folder}/kind=all")
+
+
+def read_packs(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"items {PACK_TYPE}, t long, df long, n_docs long, avgdl double, kind string").parquet(folder)
 
 
-def pack(docs: DataFrame, weighted: DataFrame) -> DataFrame:
-    """``(block, items)``: the numbers of all postings of a block's documents; one without tokens has an item whose hash is null."""
-    numbers = weighted.select("token").distinct().select("token", *token_numbers(F.col("token")))
-    full = weighted.join(numbers, "token").select("block", "doc_id", "nt", "t", F.col("tf").cast("int").alias("tf"), "w", "slot", "sign", "tech")
-    bare = docs.where("dl = 0").select("block", "doc_id", "nt", *(F.lit(None).cast(t).alias(c) for c, t in (("t", "long"), ("tf", "int"), ("w", "double"), ("slot", "int"), ("sign", "int"), ("tech", "boolean"))))
-    return full.unionByName(bare).groupBy("block").agg(F.collect_list(F.struct("doc_id", "nt", "t", "tf", "w", "slot", "sign", "tech")).alias("items"))
+def packs_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """The stored packs of a table's texts, made the first time that they are asked for; no postings are written for them."""
+    return read_packs(spark, stored_once(spark, f"packs-{name}", [f"{sf_dir}/{name}.parquet"], lambda folder: write_packs(table(spark, sf_dir, name), folder)))
 
 
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> None:
-    """Write the index of ``docs`` into ``folder``: texts are read once, and never shuffled.
+    """Write the index of ``docs`` into ``folder``: texts are read once for postings and once for packs, and not shuffled.
 
     A token of all documents has one row for each block, so no row holds more than a block's documents.
     Null texts have no tokens; rows of one id are one document.
@@ -93,12 +155,12 @@ def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
     weights(read("postings"), read("docs")).write.parquet(f"{folder}/weights")
     rows = read("weights").groupBy("token", "block").agg(F.collect_list(F.struct("doc_id", "w")).alias("held"), F.max("w").alias("top"))
     rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{folder}/blocks")
-    pack(read("docs"), read("weights")).write.parquet(f"{folder}/packs")
+    write_packs(docs, f"{folder}/packs", id_col, text_col)
     delete_folder(spark, f"{folder}/weights")
 
 
 def open_index(spark: SparkSession, folder: str) -> InvertedIndex:
-    return InvertedIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "blocks", "packs")))
+    return InvertedIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "blocks")), read_packs(spark, f"{folder}/packs"))
 
 
 def index_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> InvertedIndex:

@@ -40,7 +40,7 @@ def _bench(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir, k=10):
-    return retrieve.top_k(inverted.bm25(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir)), "bm25", k)
+    return search.lists(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir), k, (1,)).select("query_id", "doc_id", F.col("score").alias("bm25"), "rank")
 
 
 @query("bm25_top10", f"WITH {SQL_BM25} SELECT query_id, doc_id, bm25, rank::INT AS rank FROM r WHERE rank <= 10")
@@ -65,8 +65,7 @@ def index_terms(spark, sf_dir):
 WITH {SQL_TECH_SETS}, x AS (SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, d)) / sqrt(len(q) * len(d)), 9) AS technical FROM qs, ds WHERE len(list_intersect(q, d)) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY technical DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, technical, rank::INT AS rank FROM r WHERE rank <= 10""")
 def technical_overlap_top10(spark, sf_dir):
-    scored = inverted.technical_overlap(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir)).withColumn("technical", F.round("technical", 9))
-    return retrieve.top_k(scored, "technical", 10)
+    return search.lists(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir), 10, (2,)).select("query_id", "doc_id", F.col("score").alias("technical"), "rank")
 
 
 @query("hash_embedding_sparse", f"WITH {SQL_HASH.format('', 'item_id', SQL_TOKENS.format('text'), 'benchmark')} SELECT item_id, slot, round(value, 9) AS value FROM n")
@@ -99,17 +98,17 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 @query("hybrid_top10", _sql_hybrid((0.58, 0.34, 0.08)))
 def hybrid_top10(spark, sf_dir):
-    return search.packed_hybrid(inverted.index_of(spark, sf_dir).packs, _bench(spark, sf_dir))
+    return search.packed_hybrid(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir))
 
 
 @query("dense_only_top10", _sql_hybrid((1, 0, 0)))
 def dense_only_top10(spark, sf_dir):
-    return search.packed_hybrid(inverted.index_of(spark, sf_dir).packs, _bench(spark, sf_dir), mode="dense_only")
+    return search.packed_hybrid(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir), mode="dense_only")
 
 
 @query("bm25_only_top10", _sql_hybrid((0, 1, 0)))
 def bm25_only_top10(spark, sf_dir):
-    return search.packed_hybrid(inverted.index_of(spark, sf_dir).packs, _bench(spark, sf_dir), mode="bm25_only")
+    return search.packed_hybrid(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir), mode="bm25_only")
 
 
 @query("pooled_hybrid_top10", f"""WITH {SQL_DENSE}, k1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, doc_id) AS r1, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS r2, row_number() OVER (PARTITION BY query_id ORDER BY round(technical, 9) DESC, doc_id) AS r3 FROM x),
@@ -121,7 +120,7 @@ b2 AS (SELECT h.query_id, h.doc_id, round(sum(ln(1 + (st2.n - f2.df + 0.5) / (f2
 y AS (SELECT po.query_id, po.doc_id, dense, technical, coalesce(b2.bm25, 0) AS bm25, max(coalesce(b2.bm25, 0)) OVER (PARTITION BY po.query_id) AS top FROM po LEFT JOIN b2 ON b2.query_id = po.query_id AND b2.doc_id = po.doc_id),
 w AS (SELECT query_id, doc_id, {SQL_FUSED.format(0.58, 0.34, 0.08)} AS score FROM y), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w) SELECT query_id, doc_id, score, rank::INT AS rank FROM z WHERE rank <= 10""")
 def pooled_hybrid_top10(spark, sf_dir):
-    return search.pooled_hybrid(inverted.index_of(spark, sf_dir), _bench(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+    return search.pooled_hybrid(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
 SQL_NEAREST = """
@@ -170,9 +169,9 @@ l AS (SELECT query_id, doc_id, bm25 AS score, rank, 0 AS source FROM r WHERE ran
 
 
 def _two_lists(spark, sf_dir):
-    lexical = _ranked(spark, sf_dir).select("query_id", "doc_id", F.col("bm25").alias("score"), "rank", F.lit(0).alias("source"))
-    technical = technical_overlap_top10(spark, sf_dir).select("query_id", "doc_id", F.col("technical").alias("score"), "rank", F.lit(1).alias("source"))
-    return lexical.unionByName(technical)
+    """The lexical list (source 0) and the technical one (source 1), from one pass."""
+    found = search.lists(inverted.packs_of(spark, sf_dir), _bench(spark, sf_dir), 10, (1, 2))
+    return found.select("query_id", "doc_id", "score", "rank", (F.col("kind") - 1).alias("source"))
 
 
 @query("rrf_merge", f"""

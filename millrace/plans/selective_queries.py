@@ -40,12 +40,17 @@ def memories(spark, sf_dir):
 
 
 def memory_index(spark, sf_dir):
-    build = lambda folder: inverted.build(memories(spark, sf_dir), folder, "memory_id", "query_text")
-    return inverted.open_index(spark, stored_once(spark, "memories", [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"], build))
+    """Packs of the memories; no query asks for their postings or blocks."""
+    return inverted.InvertedIndex(None, None, _packs(spark, sf_dir, "memories", memories(spark, sf_dir)))
+
+
+def _packs(spark, sf_dir, name, held):
+    build = lambda folder: inverted.write_packs(held, folder, "memory_id", "query_text")
+    return inverted.read_packs(spark, stored_once(spark, name, [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"], build))
 
 
 def retriever(spark, sf_dir):
-    chunks, held = inverted.index_of(spark, sf_dir).packs, memory_index(spark, sf_dir).packs
+    chunks, held = inverted.packs_of(spark, sf_dir), memory_index(spark, sf_dir).packs
     return selective.Retriever(lambda asked, k: search.packed_hybrid(chunks, asked, k), lambda asked, n: search.packed_hybrid(held, asked, n, mode="dense_only"), lambda chunk: (chunk - chunk % 10) / 10)
 
 
@@ -247,12 +252,11 @@ def _modes(spark, sf_dir):
     plans = cut.where("query_id % 3 > 0").select("query_id", F.posexplode(F.slice("s", 1, 3)).alias("seq", "text")).withColumn("seq", F.col("seq") + 1)
     every = memories(spark, sf_dir)
     held = {"ungated": every, "rule_only": every.where("memory_id % 4 > 0"), "full_gating": every.where("memory_id % 4 > 1")}
-    chunks = inverted.index_of(spark, sf_dir).packs
+    chunks = inverted.packs_of(spark, sf_dir)
 
     def searcher(preset):
-        sources = [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
-        index = inverted.open_index(spark, stored_once(spark, f"memories-{preset}", sources, lambda folder: inverted.build(held[preset], folder, "memory_id", "query_text")))
-        return selective.Retriever(lambda asked, k: search.packed_hybrid(chunks, asked, k), lambda asked, n: search.packed_hybrid(index.packs, asked, n, mode="dense_only"), lambda chunk: (chunk - chunk % 10) / 10)
+        packs = _packs(spark, sf_dir, f"memories-{preset}", held[preset])
+        return selective.Retriever(lambda asked, k: search.packed_hybrid(chunks, asked, k), lambda asked, n: search.packed_hybrid(packs, asked, n, mode="dense_only"), lambda chunk: (chunk - chunk % 10) / 10)
 
     return asked, modes.run_modes(asked, plans, held, {p: searcher(p) for p in held}, policy=POLICY)
 

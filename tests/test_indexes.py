@@ -152,3 +152,18 @@ def test_recall_over_the_given_vectors(spark):
 
     rows = registry.queries()["ann_recall"](spark, "/root/testdata/sf0.01")
     assert rows.agg(F.sum("hits") / F.sum("expected")).first()[0] >= 0.9
+
+
+def test_lists_come_from_packs_alone_and_shuffle_no_pairs(spark, corpus, tmp_path):
+    """Both lists against scoring every pair; packs are made without postings, rows of one id add up, and a pass ends in k rows a task."""
+    docs, asked = corpus
+    inverted.write_packs(docs, str(tmp_path / "packs"))
+    packs = inverted.read_packs(spark, str(tmp_path / "packs"))
+    found = search.lists(packs, asked, 5, (1, 2))
+    plain = {1: retrieve.bm25(docs, asked).withColumnRenamed("bm25", "score"), 2: retrieve.technical_overlap(docs, asked).select("query_id", "doc_id", F.round("technical", 9).alias("score"))}
+    for kind, scored in plain.items():
+        assert as_rows(found.where(F.col("kind") == kind).select("query_id", "doc_id", "score", "rank")) == as_rows(retrieve.top_k(scored, "score", 5).select("query_id", "doc_id", "score", "rank"))
+    again = spark.createDataFrame([(1, "a b b"), (1, "b c"), (2, "c"), (3, None)], "doc_id long, text string")
+    inverted.write_packs(again, str(tmp_path / "again"))
+    items = {r["doc_id"]: r for r in inverted.read_packs(spark, str(tmp_path / "again")).where("kind = 'docs'").selectExpr("inline(items)").collect()}
+    assert {i: (r["dl"], r["nt"], sorted(r["tf"])) for i, r in items.items()} == {1: (3, 2, [1, 1, 3]), 2: (1, 1, [1]), 3: (0, 0, [])}
