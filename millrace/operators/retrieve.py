@@ -20,6 +20,8 @@ K1, B = 1.2, 0.75
 #: Default fusion weights: dense, BM25, technical.
 FUSION = (0.58, 0.34, 0.08)
 RRF_K = 60
+#: Queries whose trigrams are sent to every task at most.
+FEW_QUERIES = 1000
 
 
 def exploded(tokens: Column) -> Column:
@@ -155,10 +157,15 @@ def pattern_pool(docs: DataFrame, patterns: DataFrame, k: int = 10, columns: tup
 
 
 def trigram_pool(items: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.0) -> DataFrame:
-    """Top k by trigram similarity for ``items(doc_id, text)`` and ``queries(query_id, text)``, by postings."""
+    """Top k by trigram similarity for ``items(doc_id, text)`` and ``queries(query_id, text)``, by postings.
+
+    Spark estimates the trigrams of the items by the size of the texts and would send them all through the driver. So the
+    side to send is named here: that of the queries if they are few, else none.
+    """
     own = items.select("doc_id", V.trigrams(F.col("text")).alias("g")).select("doc_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     asked = queries.select("query_id", V.trigrams(F.col("text")).alias("g")).select("query_id", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    shared = own.join(asked, "gram").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("nq").alias("nq"))
+    few = queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES
+    shared = own.join(F.broadcast(asked) if few else asked.hint("merge"), "gram").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("nq").alias("nq"))
     scored = shared.select("query_id", "doc_id", F.round(F.col("both") / (F.col("n") + F.col("nq") - F.col("both")), 9).alias("score"))
     return top_k(scored.where(F.col("score") > floor), "score", k)
 
