@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.dense import QUERY_BLOCK, best_of_blocks
+from millrace.operators.dense import QUERY_BLOCK, best_of_blocks, bounded_batches
 from millrace.operators.retrieve import top_k
 
 #: Vectors that the cells are fitted on, cells at most, rounds of k-means, vectors of a block, sampled queries that set the number of probes.
@@ -128,7 +128,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int | No
     sizes = asked.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / QUERY_BLOCK)).cast("int").alias("parts"))  # one row
     gathered = placed.crossJoin(F.broadcast(sizes)).groupBy("cell", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
     pairs = gathered.join(index.blocks.select("cell", "d"), "cell").select("q", "d")
-    return top_k(pairs.mapInArrow(best_of_blocks(k, exclude_self), "query_id bigint, doc_id bigint, score double"), "score", k)
+    return top_k(bounded_batches(pairs).mapInArrow(best_of_blocks(k, exclude_self), "query_id bigint, doc_id bigint, score double"), "score", k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -167,3 +167,27 @@ def test_lists_come_from_packs_alone_and_shuffle_no_pairs(spark, corpus, tmp_pat
     inverted.write_packs(again, str(tmp_path / "again"))
     items = {r["doc_id"]: r for r in inverted.read_packs(spark, str(tmp_path / "again")).where("kind = 'docs'").selectExpr("inline(items)").collect()}
     assert {i: (r["dl"], r["nt"], sorted(r["tf"])) for i, r in items.items()} == {1: (3, 2, [1, 1, 3]), 2: (1, 1, [1]), 3: (0, 0, [])}
+
+
+def test_trigrams_of_items_are_never_broadcast(spark):
+    items = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("item low "), F.col("id").cast("string")).alias("text"))
+    asked = spark.createDataFrame([("low", "low"), ("9", "9")], "query_id string, text string")
+    few = retrieve.trigram_pool(items, asked, 3)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan.replace(" ", "") or "strategy=broadcast" in plan
+    retrieve.FEW_QUERIES, kept = 1, retrieve.FEW_QUERIES
+    try:
+        many = retrieve.trigram_pool(items, asked, 3)
+        assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString()
+    finally:
+        retrieve.FEW_QUERIES = kept
+    assert as_rows(few) == as_rows(many)
+
+
+def test_pairs_of_blocks_go_to_python_by_bytes(spark):
+    same = spark.range(30).select(F.col("id").alias("doc_id"), F.array(F.col("id") + 1.0, F.lit(2.0)).alias("embedding"))
+    asked = same.where("doc_id < 2").select(F.col("doc_id").alias("query_id"), "embedding")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 30)
+    found = dense.search(same, asked, 3)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == dense.PAIR_BYTES
+    assert found.where("query_id = 0").orderBy("rank").first()["doc_id"] == 1
