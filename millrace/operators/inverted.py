@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,29 +84,62 @@ def token_numbers(token: Column) -> list[Column]:
     return [(F.when(high >= 1 << 31, high - (1 << 32)).otherwise(high) * (1 << 32) + low).alias("t"), token.rlike("[A-Za-z0-9]").alias("tech")]
 
 
+class _Numbers(dict):
+    """Place of each token among those that a task has seen, and what belongs to each place: the number ``t`` and whether it is technical."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.t, self.tech, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool), 0
+
+    def __missing__(self, token: str) -> int:
+        place = self[token] = len(self)
+        self.new.append(token)
+        return place
+
+    def places(self, words: Counter) -> np.ndarray:
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            end = self.used + len(self.new)
+            while end > len(self.t):
+                self.t, self.tech = (np.concatenate([a, np.zeros_like(a)]) for a in (self.t, self.tech))
+            self.t[self.used : end] = np.frombuffer(b"".join([hashlib.sha1(w.encode()).digest()[:8] for w in self.new]), ">i8")
+            self.tech[self.used : end] = [w[0] < "\x80" and w.strip("_./-") != "" for w in self.new]
+            self.used, self.new = end, []
+        return found
+
+
+def _counted(text: str) -> Counter:
+    """Lower-case tokens of a text. Two letters become ASCII ones by lower-casing: texts with them are cut first."""
+    if "\u0130" in text or "\u212a" in text:
+        return Counter(x.lower() for x in _TOKEN.findall(text))
+    return Counter(_TOKEN.findall(text.lower()))
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches ``(id, texts)`` to packs of at most ``PACK_DOCS`` documents and about ``PACK_POSTINGS`` postings. Rows of one id add up; the longest gives the length."""
-    known: dict[str, tuple[int, bool]] = {}
+    known = _Numbers()
     rows: list[tuple] = []
     size = 0
 
     def packed() -> pa.RecordBatch:
-        items = [{"doc_id": i, "dl": dl, "nt": nt, "t": t, "tf": tf, "tech": tech} for i, dl, nt, t, tf, tech in rows]
-        return pa.RecordBatch.from_arrays([pa.array([items], pa.list_(PACK_ITEM))], names=["items"])
+        ids, dl, nt, t, tf, tech = zip(*rows, strict=True)
+        starts = pa.array(np.cumsum([0, *map(len, t)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x))) for x in (t, tf, tech)]
+        items = pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, dl, nt)), *lists], fields=list(PACK_ITEM))
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), items)], names=["items"])
 
     for batch in batches:
         for row_id, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            cut = [Counter(x.lower() for x in _TOKEN.findall(text)) for text in texts if text is not None]
-            whole = sum(cut, Counter()) if len(cut) > 1 else cut[0] if cut else Counter()
             if len(known) > KNOWN:
-                known.clear()
-            for token in whole:
-                if token not in known:
-                    known[token] = int.from_bytes(hashlib.sha1(token.encode()).digest()[:8], "big", signed=True), token[0] < "\x80" and any(c.isalnum() for c in token)
-            numbers = [known[token] for token in whole]
-            technical = [sum(known[token][1] for token in c) for c in cut]
-            rows.append((row_id, max((c.total() for c in cut), default=0), max(technical, default=0), [n for n, _ in numbers], list(whole.values()), [x for _, x in numbers]))
-            size += len(numbers)
+                known = _Numbers()
+            cut = [_counted(text) for text in texts if text is not None]
+            whole = sum(cut, Counter()) if len(cut) > 1 else cut[0] if cut else Counter()
+            places = [known.places(c) for c in cut]
+            own = places[0] if len(cut) == 1 else known.places(whole)
+            technical = [int(known.tech[p].sum()) for p in places]
+            rows.append((row_id, max((c.total() for c in cut), default=0), max(technical, default=0), known.t[own], np.fromiter(whole.values(), np.int32, len(whole)), known.tech[own]))
+            size += len(own)
             if len(rows) >= PACK_DOCS or size >= PACK_POSTINGS:
                 yield packed()
                 rows, size = [], 0
