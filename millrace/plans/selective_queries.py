@@ -31,6 +31,12 @@ def samples(spark, sf_dir):
 
 
 def memories(spark, sf_dir):
+    """The memories, cut from the texts once for the state of the tables: packs and joins read them from the shared folder."""
+    sources = [f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet"]
+    return spark.read.parquet(f"{stored_once(spark, 'memory-rows', sources, lambda folder: _cut_memories(spark, sf_dir).write.parquet(f'{folder}/rows'))}/rows")
+
+
+def _cut_memories(spark, sf_dir):
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
     first = table(spark, sf_dir, "documents").join(good, "doc_id", "left_semi").select("doc_id", "source", F.get(T.sentences(F.col("text")), F.lit(0)).alias("query_text")).where("query_text IS NOT NULL")
     return first.select(

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,21 @@ def test_lists_come_from_packs_alone_and_shuffle_no_pairs(spark, corpus, tmp_pat
     assert {i: (r["dl"], r["nt"], sorted(r["tf"])) for i, r in items.items()} == {1: (3, 2, [1, 1, 3]), 2: (1, 1, [1]), 3: (0, 0, [])}
 
 
+def test_a_pass_makes_only_the_scores_asked_for():
+    """Each kind alone is what it is among all; packs of odd letters, repeated rows and none hold what their texts do."""
+    texts = [["a\u0130b AiK a a"], ["a \u212a", "a k"], [None], [], ["... !! \uac00\ub098 x"]]
+    packs = list(inverted._numbered(iter([pa.record_batch([pa.array(range(5)), pa.array(texts, pa.list_(pa.string()))], names=["id", "texts"])])))
+    items = packs[0].column(0).flatten()
+    assert items.field("dl").to_pylist() == [5, 2, 0, 0, 3] and items.field("nt").to_pylist() == [3, 2, 0, 0, 1]
+    t = items.field("t")[0].values.to_numpy()[:3]
+    block = search.QueryBlock(np.array([7]), np.zeros(3, np.int64), t, np.ones(3), np.ones(3), np.ones(3), 5, 2.0)
+    every = block.scores(items)
+    assert all(m.any() for m in every[1:])
+    for kind in (0, 1, 2):
+        alone = block.scores(items, (kind,))
+        assert np.array_equal(alone[kind + 1], every[kind + 1]) and not any(alone[k + 1].any() for k in (0, 1, 2) if k != kind)
+
+
 def test_trigrams_of_items_are_never_broadcast(spark):
     items = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("item low "), F.col("id").cast("string")).alias("text"))
     asked = spark.createDataFrame([("low", "low"), ("9", "9")], "query_id string, text string")

@@ -225,3 +225,9 @@ def test_metrics_of_all_modes(spark, all_modes):
     plain = evaluate.retrieval_metrics(lists.where("mode = 'raw_only'").select(F.col("query_id").alias("sample_id"), F.col("doc_id").alias("item_id"), "rank"), expected.select(F.col("query_id").alias("sample_id"), F.col("doc_id").alias("item_id")))
     assert sorted(tuple(r)[1:] for r in got.where("mode = 'raw_only'").collect()) == sorted(tuple(r) for r in plain.collect())
     assert got.count() == len(reports.MODES) * plain.count()
+
+
+def test_memories_are_cut_from_the_texts_once(spark):
+    held = Q.memories(spark, SF)
+    assert "documents.parquet" not in " ".join(held.inputFiles())
+    assert sorted(map(tuple, held.select("memory_id", "query_text", "product").collect())) == sorted(map(tuple, Q._cut_memories(spark, SF).select("memory_id", "query_text", "product").collect()))
