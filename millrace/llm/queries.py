@@ -89,7 +89,7 @@ SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, copy::INT AS copy FROM d J
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    net = toxicity.train(toxicity.draw_labelled(docs, labels.where(langid.fold("doc_id", 5) != 0)))
+    net = toxicity.train_on(docs, labels.where(langid.fold("doc_id", 5) != 0))
     return toxicity.score_toxicity(docs, net).select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -192,7 +192,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS
 
 OP12_SQL = _op12_sql()
 OP13_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-]*[^ 	-]+|[ 	-]+') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
 h AS (SELECT *, len(t) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(x, i, 8))::UBIGINT::BIGINT) AS h FROM d),
 c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
 s AS (SELECT *, array_to_string(list_slice(t, 1, p), '') AS a, array_to_string(list_slice(t, p + 1, q), '') AS b, array_to_string(list_slice(t, q + 1, n), '') AS c FROM c)
