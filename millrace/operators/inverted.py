@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +39,12 @@ BLOCK_DOCS, FIRST_BLOCKS = 64, 16
 PACK_DOCS, PACK_POSTINGS, KNOWN = 256, 1 << 16, 500_000
 PACK_TYPE = "array<struct<doc_id: bigint, dl: bigint, nt: bigint, t: array<bigint>, tf: array<int>, tech: array<boolean>>>"
 PACK_ITEM = pa.struct({"doc_id": pa.int64(), "dl": pa.int64(), "nt": pa.int64(), "t": pa.list_(pa.int64()), "tf": pa.list_(pa.int32()), "tech": pa.list_(pa.bool_())})
-_TOKEN = re.compile(T.TOKEN)
+_SEEN = pa.struct({"t": pa.int64(), "df": pa.int64()})
+#: Documents and characters of them that are cut at once at most (a longer document by itself), and bytes of a row group of packs.
+PIECE_DOCS, PIECE_CHARS, ROW_GROUP = 4096, 1 << 23, 8 << 20
+_TOKEN, _HANGUL = re.compile(T.TOKEN), re.compile(T.HANGUL)
+#: ASCII letters to lower ones, what is in no token to a space.
+_SPACED = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or chr(c) in "_./-") else 32 for c in range(256))
 #: Bounds this much below the floor still count: scores are rounded to 9 digits.
 SLACK = 1e-6
 
@@ -85,73 +90,113 @@ def token_numbers(token: Column) -> list[Column]:
 
 
 class _Numbers(dict):
-    """Place of each token among those that a task has seen, and what belongs to each place: the number ``t`` and whether it is technical."""
+    """Place of each token among those that a task has seen, and what belongs to each place: the number ``t``, whether it is technical, and in how many documents it was."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
-        self.t, self.tech, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool), 0
+        self.t, self.tech, self.df, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool), np.zeros(1 << 12, np.int64), 0
+        self.docs = self.length = 0
 
     def __missing__(self, token: str) -> int:
         place = self[token] = len(self)
         self.new.append(token)
         return place
 
-    def places(self, words: Counter) -> np.ndarray:
+    def places(self, words: Collection[str]) -> np.ndarray:
         found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if self.new:
             end = self.used + len(self.new)
             while end > len(self.t):
-                self.t, self.tech = (np.concatenate([a, np.zeros_like(a)]) for a in (self.t, self.tech))
+                self.t, self.tech, self.df = (np.concatenate([a, np.zeros_like(a)]) for a in (self.t, self.tech, self.df))
             self.t[self.used : end] = np.frombuffer(b"".join([hashlib.sha1(w.encode()).digest()[:8] for w in self.new]), ">i8")
-            self.tech[self.used : end] = [w[0] < "\x80" and w.strip("_./-") != "" for w in self.new]
+            self.tech[self.used : end] = [w[:1] < "\x80" and w.strip("_./-") != "" for w in self.new]
             self.used, self.new = end, []
         return found
 
+    def seen(self) -> pa.RecordBatch:
+        """One row with what the task has counted: its documents, their tokens, and the documents of each token."""
+        had = np.flatnonzero(self.df[: self.used])
+        pairs = pa.StructArray.from_arrays([pa.array(self.t[had]), pa.array(self.df[had])], names=["t", "df"])
+        held = pa.ListArray.from_arrays(pa.array([0, len(pairs)], pa.int32()), pairs)
+        return pa.RecordBatch.from_arrays([pa.nulls(1, pa.list_(PACK_ITEM)), held, pa.array([self.docs]), pa.array([self.length])], names=["items", "seen", "docs", "length"])
 
-def _counted(text: str) -> Counter:
-    """Lower-case tokens of a text. Two letters become ASCII ones by lower-casing: texts with them are cut first."""
-    if "\u0130" in text or "\u212a" in text:
-        return Counter(x.lower() for x in _TOKEN.findall(text))
-    return Counter(_TOKEN.findall(text.lower()))
 
+def _spaced(text: str) -> bytes:
+    """Lower-case tokens of a text, with spaces between them. Letters that only become ASCII ones by lower-casing are none."""
+    if text.isascii() or not _HANGUL.search(text):
+        return text.encode("ascii", "replace").translate(_SPACED)
+    return " ".join(_TOKEN.findall(text)).lower().encode()
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches ``(id, texts)`` to packs of at most ``PACK_DOCS`` documents and about ``PACK_POSTINGS`` postings. Rows of one id add up; the longest gives the length."""
-    known = _Numbers()
-    rows: list[tuple] = []
-    size = 0
-
-    def packed() -> pa.RecordBatch:
-        ids, dl, nt, t, tf, tech = zip(*rows, strict=True)
-        starts = pa.array(np.cumsum([0, *map(len, t)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(starts, pa.array(np.concatenate(x))) for x in (t, tf, tech)]
-        items = pa.StructArray.from_arrays([*(pa.array(x, pa.int64()) for x in (ids, dl, nt)), *lists], fields=list(PACK_ITEM))
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), items)], names=["items"])
 
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int], list[bytes]]]:
+    """Batches ``(id, texts)`` as ``(ids, place among them of each text, spaced tokens of each text)``, at most ``PIECE_DOCS`` ids and about ``PIECE_CHARS`` characters at once."""
+    ids, place, texts, size = [], [], [], 0
     for batch in batches:
-        for row_id, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if len(known) > KNOWN:
-                known = _Numbers()
-            cut = [_counted(text) for text in texts if text is not None]
-            whole = sum(cut, Counter()) if len(cut) > 1 else cut[0] if cut else Counter()
-            places = [known.places(c) for c in cut]
-            own = places[0] if len(cut) == 1 else known.places(whole)
-            technical = [int(known.tech[p].sum()) for p in places]
-            rows.append((row_id, max((c.total() for c in cut), default=0), max(technical, default=0), known.t[own], np.fromiter(whole.values(), np.int32, len(whole)), known.tech[own]))
-            size += len(own)
-            if len(rows) >= PACK_DOCS or size >= PACK_POSTINGS:
-                yield packed()
-                rows, size = [], 0
-    if rows:
-        yield packed()
+        for row_id, own in zip(batch.column(0), batch.column(1), strict=True):
+            for text in own.as_py():
+                if text is not None:
+                    place.append(len(ids))
+                    texts.append(_spaced(text))
+                    size += len(texts[-1])
+            ids.append(row_id.as_py())
+            if len(ids) >= PIECE_DOCS or size >= PIECE_CHARS:
+                yield ids, place, texts
+                ids, place, texts, size = [], [], [], 0
+    if ids:
+        yield ids, place, texts
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches ``(id, texts)`` to packs of at most ``PACK_DOCS`` documents and about ``PACK_POSTINGS`` postings, and rows of what was counted. Rows of one id add up; the longest gives the length.
+
+    Arrow cuts and numbers the words of many texts at once, so that Python looks up each word once for all of them.
+    """
+    known = _Numbers()
+    for ids, place, texts in _in_pieces(batches):
+        if len(known) > KNOWN:
+            yield known.seen()
+            known = _Numbers()
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        text = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())
+        if "" in words:  # before a first space and behind a last one
+            real = code != words.index("")
+            text, code = text[real], code[real]
+        number = known.places(words)
+        wide, owner = max(1, len(words)), np.array(place, np.int64)
+        key, tf = np.unique(text * wide + code, return_counts=True)
+        dl, nt = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        np.maximum.at(dl, owner, np.bincount(text, minlength=len(texts)))
+        np.maximum.at(nt, owner, np.bincount(key // wide, known.tech[number[key % wide]], len(texts)).astype(np.int64))
+        key = owner[key // wide] * wide + key % wide
+        if len(set(place)) < len(place):
+            key, at = np.unique(key, return_inverse=True)
+            tf = np.bincount(at, tf, len(key))
+        doc, own = key // wide, number[key % wide]
+        np.add.at(known.df, own, 1)
+        known.docs, known.length = known.docs + len(ids), known.length + int(dl.sum())
+        ends = np.searchsorted(doc, np.arange(len(ids)), "right")
+        first = at = 0
+        while first < len(ids):
+            last = min(len(ids), first + PACK_DOCS, 1 + int(np.searchsorted(ends, at + PACK_POSTINGS)))
+            starts = pa.array(np.concatenate([[at], ends[first:last]]) - at, pa.int32())
+            mine = own[at : ends[last - 1]]
+            lists = [pa.ListArray.from_arrays(starts, pa.array(x)) for x in (known.t[mine], tf[at : ends[last - 1]].astype(np.int32), known.tech[mine])]
+            items = pa.StructArray.from_arrays([*(pa.array(x[first:last], pa.int64()) for x in (ids, dl, nt)), *lists], fields=list(PACK_ITEM))
+            pack = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([pack, pa.nulls(1, pa.list_(_SEEN)), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["items", "seen", "docs", "length"])
+            first, at = last, int(ends[last - 1])
+    yield known.seen()
 
 
 def write_packs(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the packs of ``docs``: its texts are read in one narrow pass, and only ids and the counts of each task's tokens are shuffled.
 
     Three kinds of rows: ``docs`` (items), ``terms`` (t and its document frequency), ``all`` (one row: documents and their
-    mean length). Weights are made where they are used, from the frequencies of a query's tokens.
+    mean length). Weights are made where they are used, from the frequencies of a query's tokens. What a task counted lies
+    beside its packs. Row groups are small: a reader holds one of them at a time, with all its packs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -160,11 +205,13 @@ def write_packs(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     if again.limit(1).count():
         several = rows.join(again, "id", "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
         once = once.join(again, "id", "left_anti").unionByName(several)
-    once.mapInArrow(_numbered, f"items {PACK_TYPE}").write.parquet(f"{folder}/kind=docs")
-    made = spark.read.schema(f"items {PACK_TYPE}").parquet(f"{folder}/kind=docs")
-    own = made.select(F.explode("items").alias("x"))
-    own.select(F.explode("x.t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/kind=terms")
-    own.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("x.dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl")).write.parquet(f"{folder}/kind=all")
+    counted = "seen array<struct<t: bigint, df: bigint>>, docs bigint, length bigint"
+    small = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1}
+    once.mapInArrow(_numbered, f"items {PACK_TYPE}, {counted}").write.options(**small).parquet(f"{folder}/kind=docs")
+    made = spark.read.schema(counted).parquet(f"{folder}/kind=docs")
+    made.select(F.inline("seen")).groupBy("t").agg(F.sum("df").alias("df")).write.parquet(f"{folder}/kind=terms")
+    n_docs = F.coalesce(F.sum("docs"), F.lit(0))
+    made.agg(n_docs.alias("n_docs"), (F.sum("length") / F.greatest(n_docs, F.lit(1))).alias("avgdl")).write.parquet(f"{folder}/kind=all")
 
 
 def read_packs(spark: SparkSession, folder: str) -> DataFrame:

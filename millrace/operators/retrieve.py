@@ -22,6 +22,8 @@ FUSION = (0.58, 0.34, 0.08)
 RRF_K = 60
 #: Queries whose trigrams are sent to every task at most.
 FEW_QUERIES = 1000
+#: Rows found that are sent to every task at most, where they meet a table of texts.
+FEW_ROWS = 1 << 17
 
 
 def exploded(tokens: Column) -> Column:
@@ -73,6 +75,12 @@ def top_k(scored: DataFrame, score: str, k: int, by: str = "query_id", tie: str
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def with_rows(found: DataFrame, docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``found`` with the columns of ``docs``: few rows are sent to the tasks that scan the table, so that no text is shuffled. ``found`` has to be stored, as it is counted."""
+    few = found.limit(FEW_ROWS + 1).count() <= FEW_ROWS
+    return docs.join(F.broadcast(found) if few else found.hint("merge"), key)
+
+
 def technical_overlap(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """``(query_id, doc_id, technical)``: shared technical tokens by the root of the product of set sizes."""
     wanted = queries.select(F.col(query_id).alias("query_id"), T.technical_tokens(T.tokens(F.col(query_text))).alias("q")).select("query_id", F.size("q").alias("nq"), exploded(F.col("q")).alias("token")).where("token IS NOT NULL")

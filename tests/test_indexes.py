@@ -1,9 +1,11 @@
 """The stored indexes: block-max top k against scoring everything, packs against texts, cells and recall, one build for many readers."""
 
+import hashlib
 import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +258,60 @@ def test_blocks_of_queries_are_bounded_by_their_tokens(spark, monkeypatch):
     blocks = list(search.query_blocks(search.packs_of(docs), asked))
     assert [b.ids.tolist() for b in blocks] == [[0, 1], [2], [3], [4, 5]]
     assert [b.ids.tolist() for b in search.query_blocks(search.packs_of(docs), asked, size=1)] == [[i] for i in range(6)]
+
+
+def test_numbers_of_words_cut_together_are_those_of_each_text(monkeypatch):
+    """Texts of any letters and spaces, rows of one id, packs that are full, and a task that forgets its words: what cutting each text alone gives."""
+    texts = [["a b a", None, "B c"], [" \x1c\x85  "], [], [None], ["café A_b ./-"], ["가나a1가 Aİb K"], ["K k K \U0001f600x"], ["Ａ ßs\x00t �z"], ["x " * 300]]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.list_(pa.string()))], names=["id", "texts"])
+    for docs, pieces, known in ((256, 4096, 500_000), (2, 4096, 500_000), (256, 2, 1)):
+        monkeypatch.setattr(inverted, "PACK_DOCS", docs)
+        monkeypatch.setattr(inverted, "PIECE_DOCS", pieces, raising=False)
+        monkeypatch.setattr(inverted, "KNOWN", known)
+        rows = [r for b in inverted._numbered(iter([batch])) for r in b.to_pylist()]
+        items = [x for r in rows for x in r["items"] or ()]
+        assert [x["doc_id"] for x in items] == list(range(len(texts))) and all(len(r["items"]) <= docs for r in rows if r["items"])
+        df, length = {}, 0
+        for x, own in zip(items, texts, strict=True):
+            cut = [[w.lower() for w in inverted._TOKEN.findall(t)] for t in own if t is not None]
+            number = {w: int.from_bytes(hashlib.sha1(w.encode()).digest()[:8], "big", signed=True) for c in cut for w in c}
+            technical = {w for w in number if any("0" <= ch <= "9" or "a" <= ch <= "z" for ch in w)}
+            assert dict(zip(x["t"], x["tf"], strict=True)) == {t: sum(c.count(w) for c in cut) for w, t in number.items()}
+            assert {t for t, is_one in zip(x["t"], x["tech"], strict=True) if is_one} == {number[w] for w in technical}
+            assert (x["dl"], x["nt"]) == (max(map(len, cut), default=0), max((len(technical & set(c)) for c in cut), default=0))
+            length += x["dl"]
+            for t in number.values():
+                df[t] = df.get(t, 0) + 1
+        seen = [r for r in rows if r["seen"] is not None]
+        assert (sum(r["docs"] for r in seen), sum(r["length"] for r in seen)) == (len(texts), length)
+        assert {t: sum(p["df"] for r in seen for p in r["seen"] if p["t"] == t) for t in df} == df
+
+
+def test_a_reader_of_packs_holds_a_small_row_group(spark, tmp_path, monkeypatch):
+    """Packs of 100 and more in a row group made a reader run out of memory."""
+    monkeypatch.setattr(inverted, "ROW_GROUP", 1 << 15, raising=False)
+    docs = spark.range(256 * 130).coalesce(1).selectExpr("id AS doc_id", "concat('w', id, ' v') AS text")
+    inverted.write_packs(docs, str(tmp_path / "packs"))
+    made = [pq.ParquetFile(p).metadata for p in (tmp_path / "packs/kind=docs").glob("*.parquet")]
+    assert sum(m.num_rows for m in made) >= 130 and max(m.row_group(i).num_rows for m in made for i in range(m.num_row_groups)) <= 20
+    packs = inverted.read_packs(spark, str(tmp_path / "packs"))
+    assert packs.where("kind = 'all'").select("n_docs", "avgdl").first() == (256 * 130, 2.0)
+    assert packs.where("kind = 'terms'").agg(F.count("t"), F.max("df")).first() == (256 * 130 + 1, 256 * 130)
+
+
+def test_terms_and_texts_are_not_shuffled_for_few_rows(spark, corpus, tmp_path, monkeypatch):
+    """Terms meet the queries' tokens, and texts the rows found, where they are read; the same rows come out when there are too many to be sent."""
+    docs, asked = corpus
+    inverted.write_packs(docs, str(tmp_path / "packs"))
+    packs = inverted.read_packs(spark, str(tmp_path / "packs"))
+    found = search.lists(packs, asked, 5, (1,))
+    few = retrieve.with_rows(found, docs.select("doc_id", "text"))
+    assert "rightHint=(strategy=broadcast)" in few._jdf.queryExecution().optimizedPlan().toString().replace(" ", "")
+    monkeypatch.setattr(retrieve, "FEW_ROWS", 0)
+    many = retrieve.with_rows(found, docs.select("doc_id", "text"))
+    assert "BroadcastHashJoin" not in many._jdf.queryExecution().executedPlan().toString() and as_rows(few.select(many.columns)) == as_rows(many)
+    blocks = [list(search.query_blocks(packs, asked))]
+    monkeypatch.setattr(search, "QUERY_TOKENS", 0)
+    blocks.append(list(search.query_blocks(packs, asked)))
+    weights = [{q: sorted(b.idf[own].round(9)) for b in each for q, own in zip(b.ids.tolist(), b.own, strict=True)} for each in blocks]
+    assert weights[0] == weights[1] and len(blocks[1]) > len(blocks[0])
