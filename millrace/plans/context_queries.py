@@ -8,7 +8,7 @@ from millrace.functions import anchors
 from millrace.functions import phrases as P
 from millrace.functions import text as T
 from millrace.functions import vectors as V
-from millrace.operators import memory
+from millrace.operators import memory, retrieve
 from millrace.plans.registry import query
 from millrace.plans.retrieval_queries import SQL_TWO_LISTS, _two_lists
 from millrace.plans.text_queries import SQL_SENTENCES
@@ -47,7 +47,7 @@ def trusted_memories(spark, sf_dir):
 def prompt_context(spark, sf_dir):
     top = _two_lists(spark, sf_dir).where("source = 0 AND rank <= 3").select("query_id", "rank", "doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(240)).alias("excerpt"), F.col("source").alias("product"))
-    return top.join(docs, "doc_id").select("query_id", "rank", "excerpt", "product")
+    return retrieve.with_rows(top, docs).select("query_id", "rank", "excerpt", "product")
 
 
 SQL_CONTEXT = """c AS (SELECT conv_id, turn, coalesce(text, '') AS raw, trim(coalesce(CASE WHEN turn % 2 = 0 THEN lag(text) OVER (PARTITION BY conv_id ORDER BY turn) END, '')) AS p, CASE WHEN turn % 3 = 0 THEN role ELSE '' END AS e, CASE WHEN turn % 2 = 1 THEN 'memory of ' || role END AS m FROM conversations)"""

@@ -18,7 +18,7 @@ SQL_POOL = f"""{SQL_BM25}, p AS (SELECT r.query_id, r.doc_id, r.rank, r.bm25, li
 
 def _pool(spark, sf_dir):
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return _ranked(spark, sf_dir).join(docs.select("doc_id", "text"), "doc_id").join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
+    return retrieve.with_rows(_ranked(spark, sf_dir), docs.select("doc_id", "text")).join(bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("q")), "query_id")
 
 
 @query("substring_rerank", f"""
