@@ -168,3 +168,69 @@ def test_pairs_of_large_units_and_methods_of_each_side(spark, monkeypatch):
     assert found == {k: (n, None if not m else "mixed" if len(m) > 1 else min(m)) for k, (n, m) in expected.items()}
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "collect_set" not in plan  # a set in the buffer makes Spark sort and spill every pair
+
+
+def test_edges_within_limits_and_without_units(spark):
+    """With limits the same edges stay as without them, in whatever parts a block is counted; a link without a unit shares none."""
+    g = random.Random(5)
+    links = [(u, f"t{min(int(g.expovariate(0.1)), 60)}", g.choice([None, "m0", "m1"]) if u % 3 else "m2") for u in range(90) for _ in range(g.choice([1, 3, 9]))]
+    terms = spark.createDataFrame([(f"t{i}", "concept" if i % 4 == 0 else "class", i != 7) for i in range(70)], "term_id string, term_type string, active boolean")
+    frame = spark.createDataFrame([*links, (None, "t1", "m0"), (None, "t2", "m0")], "unit long, term string, method string")
+    kept = lambda df: sorted(map(str, relations.best_of_each(relations.Source("k", "s", df), 0.7, 2).collect()))
+    every = relations.shared_edges(frame, terms, "unit", relations.BY_QUERY)
+    limited = relations.shared_edges(frame, terms, "unit", relations.BY_QUERY, 0.7, 2)
+    assert kept(limited) == kept(every) and limited.count() < every.count()
+    own = {u: {t for v, t, _ in links if v == u and t != "t7"} for u in range(90)}
+    expected = {}
+    for held in own.values():
+        for a in held:
+            for b in held:
+                if a != b and (int(a[1:]) % 4 or int(b[1:]) % 4):
+                    expected[a, b] = expected.get((a, b), 0) + 1
+    assert {(r["seed"], r["related"]): r["evidence"] for r in every.collect()} == expected
+    assert limited.agg(F.min("score")).first()[0] >= 0.699
+
+
+def test_units_and_pairs_in_pieces(monkeypatch):
+    """What tasks count does not depend on how many rows, terms or pairs are taken at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    g = random.Random(6)
+    links = sorted(((u, 2 * (t := min(int(g.expovariate(0.15)), 30)) + (t % 4 == 0), g.choice([None, 3, 8])) for u in range(60) for _ in range(g.choice([1, 4, 12]))), key=lambda r: r[0])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([0] * len(rows), pa.int32()), pa.array([1] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=["u", "code", "part", "parts", "_h"])
+
+    def counted(step, least=1, most=None):
+        rows = list(relations._units(batch(links[i : i + step]) for i in range(0, len(links), step)))
+        found, blocks = {}, {k for b in rows for k in b["block"].to_pylist()}
+        for block in blocks:
+            mine = [b.filter(pc.equal(b["block"], block)) for b in rows]
+            for b in relations._counted(iter(mine), True, least, most):
+                for r in b.to_pylist():
+                    n, lo, hi = found.get((r["a"], r["b"]), (0, 99, -99))
+                    found[r["a"], r["b"]] = (n + r["evidence"], min(lo, 99 if r["lo"] is None else r["lo"]), max(hi, -99 if r["hi"] is None else r["hi"]))
+        return found
+
+    expected = {}
+    for u in range(60):
+        own = {}
+        for v, t, m in links:
+            if v == u:
+                own.setdefault(t, set()).update({m} - {None})
+        for a, methods in own.items():
+            for b in own:
+                if a != b and not a & b & 1:
+                    n, lo, hi = expected.get((a, b), (0, 99, -99))
+                    expected[a, b] = (n + 1, min([lo, *methods]), max([hi, *methods]))
+    assert counted(1000) == expected
+    best = {}
+    for (a, b), x in sorted(expected.items(), key=lambda r: (r[0][0], -r[1][0], r[0][1])):
+        if x[0] >= 2 and sum(k[0] == a for k in best) < 3:
+            best[a, b] = x
+    assert counted(1000, 2, 3) == best
+    for name, value in (("PIECE", 7), ("HOT", 3), ("BLOCK", 4), ("VISITS", 5)):
+        monkeypatch.setattr(relations, name, value)
+        assert counted(5) == expected and counted(5, 2, 3) == best
+    monkeypatch.setattr(relations, "BLOCK", 1024)
+    monkeypatch.setattr(relations, "ENTRIES", 20)
+    assert counted(5, 2, 3) == expected  # more than fits together: all is passed on, to be added up
