@@ -261,15 +261,15 @@ def grounding(raw: Column, final: Column, expected_chunk: Column, expected_doc:
     return F.struct(support.alias("grounding"), intent.alias("intent"), drift.alias("drift"), overall.alias("overall"), label.alias("label"))
 
 
-def subquery_search(docs: DataFrame, subqueries: DataFrame, pool: int = 10, k: int = 10) -> DataFrame:
+def subquery_search(packs: DataFrame, subqueries: DataFrame, pool: int = 10, k: int = 10) -> DataFrame:
     """Agentic retrieval: each subquery searches on its own (BM25), the lists of a query meet by reciprocal ranks.
 
     ``subqueries(query_id, seq, text)``; gives ``(query_id, doc_id, rrf, best, rank)``. All subqueries are
-    searched in one plan, told apart by a number made of query and place.
+    searched in the same passes over the packs, told apart by a number made of query and place; no pair of subquery and document is shuffled.
     """
-    from millrace.operators import retrieve
+    from millrace.operators import retrieve, search
 
     asked = subqueries.select(F.xxhash64("query_id", "seq").alias("item_id"), "query_id", "seq", "text")
-    found = retrieve.top_k(retrieve.bm25(docs, asked), "bm25", pool).select(F.col("query_id").alias("item_id"), "doc_id", F.col("bm25").alias("score"), "rank")
+    found = search.lists(packs, asked.select("item_id", "text"), pool, (1,)).select(F.col("query_id").alias("item_id"), "doc_id", "score", "rank")
     lists = found.join(asked.select("item_id", "query_id", F.col("seq").alias("source")), "item_id").select("query_id", "source", "doc_id", "score", "rank")
     return retrieve.rrf(lists, k).select("query_id", "doc_id", "rrf", "best", "rank")

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import inverted, rewrite
 from millrace.operators import relational as R
-from millrace.operators import rewrite
 from millrace.plans.registry import query
 from millrace.plans.relational_queries import SQL_COOC, _cooccurrence
 from millrace.plans.retrieval_queries import SQL_BM25, SQL_TWO_LISTS, _two_lists
@@ -175,4 +175,4 @@ z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best
 def agentic_rrf(spark, sf_dir):
     """The sentences of a passage stand for the subqueries of a plan."""
     parts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(T.sentences(F.col("text"))).alias("seq", "text"))
-    return rewrite.subquery_search(table(spark, sf_dir, "documents"), parts)
+    return rewrite.subquery_search(inverted.packs_of(spark, sf_dir), parts)

@@ -315,3 +315,17 @@ def test_terms_and_texts_are_not_shuffled_for_few_rows(spark, corpus, tmp_path,
     blocks.append(list(search.query_blocks(packs, asked)))
     weights = [{q: sorted(b.idf[own].round(9)) for b in each for q, own in zip(b.ids.tolist(), b.own, strict=True)} for each in blocks]
     assert weights[0] == weights[1] and len(blocks[1]) > len(blocks[0])
+
+
+def test_subqueries_are_searched_in_packs(spark, corpus, index):
+    """The fused lists of subqueries are those of scoring every document, with repeated, empty and unseen subqueries, and no text is read."""
+    from millrace.operators import rewrite
+
+    docs, asked = corpus
+    parts = asked.select((F.col("item_id") % 17).alias("query_id"), F.col("item_id").alias("seq"), "text")
+    told = parts.select(F.xxhash64("query_id", "seq").alias("item_id"), "query_id", "seq", "text")
+    plain = retrieve.top_k(retrieve.bm25(docs, told), "bm25", 5).select(F.col("query_id").alias("item_id"), "doc_id", F.col("bm25").alias("score"), "rank")
+    lists = plain.join(told.select("item_id", "query_id", F.col("seq").alias("source")), "item_id").drop("item_id")
+    expected = retrieve.rrf(lists, 5).select("query_id", "doc_id", "rrf", "best", "rank")
+    found = rewrite.subquery_search(index.packs, parts, 5, 5)
+    assert as_rows(found) == as_rows(expected) and found.count() > 50
