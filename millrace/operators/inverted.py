@@ -1,13 +1,13 @@
 """A stored inverted index with the greatest weight of each block, and exact top k that skips blocks by it.
 
-Three tables lie in the index's folder. ``postings``: (doc_id, token, tf, dl, nt), counted once from the
-texts. ``blocks``: documents are dealt into blocks in the order of their lengths, which their weights follow; a
-row holds the documents of one block that have a token, with their BM25 weights, and the greatest of them
-(``top``). Rows are sorted by token over the files, so their statistics tell which files a token is in.
+Four tables lie in the index's folder. ``blocks``: documents that are read together are dealt into blocks in the order of their lengths, which
+their weights follow; a row holds the documents of one block that have a token, with their counts, the greatest count and the least
+length. ``terms``: (token, df, most), and ``stats``: documents and their mean length. All come from one narrow pass over the texts; only the
+counts of each task's tokens are shuffled. Weights are made where they are used.
 ``packs``: documents with their postings as numbers, many in a row, for passes that score every document
-(:mod:`millrace.operators.search`); they are made from the texts by themselves, and stored alone where only they are used.
+(:mod:`millrace.operators.search`); they are made from the texts by themselves, and stored alone.
 
-The sum of ``top`` over a query's tokens bounds every score in a block. The most promising blocks of each
+The weight of the greatest count in the shortest text, summed over a query's tokens, bounds every score in a block. The most promising blocks of each
 query are scored first; its k-th score there is a floor, and only blocks whose bound reaches it are read. No
 query reads a text.
 """
@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +31,7 @@ from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import retrieve
 from millrace.operators.retrieve import K1, B, exploded, query_tokens
-from millrace.sources.stored import delete_folder, durable, stored_once
+from millrace.sources.stored import durable, stored_once
 from millrace.sources.tables import table
 
 #: Documents of a block, and blocks of a query that are scored before any is skipped.
@@ -45,42 +46,35 @@ PIECE_DOCS, PIECE_CHARS, ROW_GROUP = 4096, 1 << 23, 8 << 20
 _TOKEN, _HANGUL = re.compile(T.TOKEN), re.compile(T.HANGUL)
 #: ASCII letters to lower ones, what is in no token to a space.
 _SPACED = bytes(ord(chr(c).lower()) if c < 128 and (chr(c).isalnum() or chr(c) in "_./-") else 32 for c in range(256))
+#: Tokens of queries that are sent to every task at most.
+FEW_TOKENS = 1 << 19
 #: Bounds this much below the floor still count: scores are rounded to 9 digits.
 SLACK = 1e-6
 
 
 @dataclass(frozen=True)
 class InvertedIndex:
-    postings: DataFrame | None
-    blocks: DataFrame | None
-    packs: DataFrame
-
+    """``made`` gives the packs when they are first asked for."""
 
-def count_postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, token, tf, dl, nt)``: dl tokens and nt technical ones; a document without tokens has one row, its token null."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("t"))
-    sized = cut.select("doc_id", "t", F.size("t").alias("dl"), F.size(T.technical_tokens(F.col("t"))).alias("nt"))  # before the tokens are spread, whose rows would else carry them all
-    spread = sized.select("doc_id", "dl", "nt", exploded(F.col("t")).alias("token"))
-    counted = spread.groupBy("doc_id", "token").agg(F.count("token").alias("tf"), F.max("dl").alias("dl"), F.max("nt").alias("nt"))
-    return counted.withColumns({"dl": F.greatest("dl", F.lit(0)), "nt": F.greatest("nt", F.lit(0))})
+    blocks: DataFrame | None
+    terms: DataFrame | None
+    stats: DataFrame | None
+    made: Callable[[], DataFrame]
 
+    @property
+    def packs(self) -> DataFrame:
+        return self.made()
 
-def place_documents(postings: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """``(doc_id, dl, nt, block)``: documents sorted by length, so many a block. The rows have to be stored: numbers are given by place."""
-    docs = postings.groupBy("doc_id").agg(F.max("dl").alias("dl"), F.max("nt").alias("nt"))
-    ordered = docs.repartitionByRange("dl", "doc_id").sortWithinPartitions("dl", "doc_id")
-    return ordered.select("*", F.monotonically_increasing_id().alias("at")).select("doc_id", "dl", "nt", F.expr(f"shiftrightunsigned(at, 33) * {1 << 31} + (at & {(1 << 33) - 1}) div {block_docs}").alias("block"))
+    @property
+    def postings(self) -> DataFrame:
+        """``(token, doc_id, tf, dl, nt)``: dl tokens and nt technical ones; documents without tokens have none."""
+        return self.blocks.select("token", F.inline("held"))
 
 
-def weights(postings: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(token, doc_id, block, tf, nt, w)``: the BM25 weight of each posting, ``docs`` as placed."""
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), (F.sum("dl") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avgdl"))
-    held = postings.where("token IS NOT NULL").select("doc_id", "token", "tf")
-    df = held.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rated = held.join(df, "token").join(docs, "doc_id").crossJoin(F.broadcast(stats))  # the statistics are one row
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    length = 1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1e-9))
-    return rated.select("token", "doc_id", "block", "tf", "nt", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("w"))
+def _weight(tf: Column, dl: Column) -> Column:
+    """The BM25 weight of a posting, with ``idf`` and ``avgdl`` beside it."""
+    length = 1 - B + B * dl / F.greatest(F.col("avgdl"), F.lit(1e-9))
+    return F.col("idf") * tf * (K1 + 1) / (tf + K1 * length)
 
 
 def token_numbers(token: Column) -> list[Column]:
@@ -110,7 +104,7 @@ class _Numbers(dict):
             while end > len(self.t):
                 self.t, self.tech, self.df = (np.concatenate([a, np.zeros_like(a)]) for a in (self.t, self.tech, self.df))
             self.t[self.used : end] = np.frombuffer(b"".join([hashlib.sha1(w.encode()).digest()[:8] for w in self.new]), ">i8")
-            self.tech[self.used : end] = [w[:1] < "\x80" and w.strip("_./-") != "" for w in self.new]
+            self.tech[self.used : end] = [_technical(w) for w in self.new]
             self.used, self.new = end, []
         return found
 
@@ -147,6 +141,22 @@ def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[i
         yield ids, place, texts
 
 
+def _cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The text and the place among the words of each token, and the words."""
+    cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = cut.flatten().dictionary_encode()
+    words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())
+    if "" in words:  # before a first space and behind a last one
+        real = code != words.index("")
+        text, code = text[real], code[real]
+    return text, code, words
+
+
+def _technical(word: str) -> bool:
+    return word[:1] < "\x80" and word.strip("_./-") != ""
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches ``(id, texts)`` to packs of at most ``PACK_DOCS`` documents and about ``PACK_POSTINGS`` postings, and rows of what was counted. Rows of one id add up; the longest gives the length.
 
@@ -157,13 +167,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > KNOWN:
             yield known.seen()
             known = _Numbers()
-        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
-        coded = cut.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        text = np.repeat(np.arange(len(texts)), cut.value_lengths().to_numpy())
-        if "" in words:  # before a first space and behind a last one
-            real = code != words.index("")
-            text, code = text[real], code[real]
+        text, code, words = _cut(texts)
         number = known.places(words)
         wide, owner = max(1, len(words)), np.array(place, np.int64)
         key, tf = np.unique(text * wide + code, return_counts=True)
@@ -191,6 +195,18 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield known.seen()
 
 
+def _texts_by_id(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, texts)``: texts are shuffled only for ids that several rows have."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("_id"))
+    once = rows.select("id", F.array("text").alias("texts"))
+    if again.limit(1).count():
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        several = rows.join(again, same, "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
+        once = once.join(again, same, "left_anti").unionByName(several)
+    return once
+
+
 def write_packs(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the packs of ``docs``: its texts are read in one narrow pass, and only ids and the counts of each task's tokens are shuffled.
 
@@ -199,12 +215,7 @@ def write_packs(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     beside its packs. Row groups are small: a reader holds one of them at a time, with all its packs.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    again = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    once = rows.select("id", F.array("text").alias("texts"))
-    if again.limit(1).count():
-        several = rows.join(again, "id", "left_semi").groupBy("id").agg(F.collect_list("text").alias("texts"))
-        once = once.join(again, "id", "left_anti").unionByName(several)
+    once = _texts_by_id(docs, id_col, text_col)
     counted = "seen array<struct<t: bigint, df: bigint>>, docs bigint, length bigint"
     small = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1}
     once.mapInArrow(_numbered, f"items {PACK_TYPE}, {counted}").write.options(**small).parquet(f"{folder}/kind=docs")
@@ -223,55 +234,115 @@ def packs_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataF
     return read_packs(spark, stored_once(spark, f"packs-{name}", [f"{sf_dir}/{name}.parquet"], lambda folder: write_packs(table(spark, sf_dir, name), folder)))
 
 
-def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> None:
-    """Write the index of ``docs`` into ``folder``: texts are read once for postings and once for packs, and not shuffled.
-
-    A token of all documents has one row for each block, so no row holds more than a block's documents.
-    Null texts have no tokens; rows of one id are one document.
-    """
+def _blocked(block_docs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches ``(id, texts)`` to rows of blocks. What is read together is sorted by length; its last row has the numbers of documents and of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = TaskContext.get().partitionId() << 32
+        for ids, place, texts in _in_pieces(batches):
+            text, code, words = _cut(texts)
+            wide, owner = max(1, len(words)), np.array(place, np.int64)
+            key, tf = np.unique(text * wide + code, return_counts=True)
+            tech = np.array([_technical(w) for w in words] or [False])
+            dl, nt = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            np.maximum.at(dl, owner, np.bincount(text, minlength=len(texts)))
+            np.maximum.at(nt, owner, np.bincount(key // wide, tech[key % wide], len(texts)).astype(np.int64))
+            key, at = np.unique(owner[key // wide] * wide + key % wide, return_inverse=True)  # rows of one id add up
+            tf = np.bincount(at, tf, len(key)).astype(np.int64)
+            block = np.empty(len(ids), np.int64)
+            block[np.lexsort((np.arange(len(ids)), dl))] = np.arange(len(ids)) // block_docs
+            doc, word = key // wide, key % wide
+            order = np.lexsort((doc, block[doc], word))
+            doc, word, tf = doc[order], word[order], tf[order]
+            group = word * (len(ids) + 1) + block[doc]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+            columns = [pa.array(x, pa.int64()) for x in (pa.array(ids, pa.int64()).take(pa.array(doc)), tf, dl[doc], nt[doc])]
+            items = pa.StructArray.from_arrays(columns, names=["doc_id", "tf", "dl", "nt"])
+            held = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)), pa.int32()), items)
+            most, least = (f.reduceat(x, first) if len(first) else first for f, x in ((np.maximum, tf), (np.minimum, dl[doc])))
+            tokens = pa.array(words, pa.string()).take(pa.array(word[first]))
+            none = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([tokens, pa.array(made + block[doc[first]]), held, pa.array(most), pa.array(least), none, none], names=list(_BLOCK))
+            made += len(ids) // block_docs + 1
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.string(), pa.int64(), held.type, pa.int64(), pa.int64())] + [pa.array([len(ids)]), pa.array([int(dl.sum())])], names=list(_BLOCK))
+
+    return run
+
+
+_BLOCK = {"token": "string", "block": "bigint", "held": "array<struct<doc_id: bigint, tf: bigint, dl: bigint, nt: bigint>>", "most": "bigint", "least": "bigint", "docs": "bigint", "length": "bigint"}
+
+
+def write_blocks(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> None:
+    """Write ``blocks``, ``terms`` and ``stats`` of ``docs``. A token of all documents has one row for each block, so no row holds more than a block's documents.
+    Null texts have no tokens; rows of one id are one document."""
     spark = docs.sparkSession
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    count_postings(docs, id_col, text_col).write.parquet(f"{folder}/postings")
-    place_documents(read("postings"), block_docs).write.parquet(f"{folder}/docs")
-    weights(read("postings"), read("docs")).write.parquet(f"{folder}/weights")
-    rows = read("weights").groupBy("token", "block").agg(F.collect_list(F.struct("doc_id", "w")).alias("held"), F.max("w").alias("top"))
-    rows.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.parquet(f"{folder}/blocks")
+    small = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1}
+    _texts_by_id(docs, id_col, text_col).mapInArrow(_blocked(block_docs), ", ".join(f"{k} {v}" for k, v in _BLOCK.items())).write.options(**small).parquet(f"{folder}/blocks")
+    made = spark.read.parquet(f"{folder}/blocks")
+    counted = made.where("token IS NOT NULL").select("token", "most", F.size("held").cast("long").alias("n"))
+    counted.groupBy("token").agg(F.sum("n").alias("df"), F.max("most").alias("most")).write.parquet(f"{folder}/terms")
+    n_docs = F.coalesce(F.sum("docs"), F.lit(0))
+    made.agg(n_docs.alias("n_docs"), (F.sum("length") / F.greatest(n_docs, F.lit(1))).alias("avgdl")).write.parquet(f"{folder}/stats")
+
+
+def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> None:
+    """Write the index of ``docs`` with its packs into ``folder``: texts are read once for each, and not shuffled."""
+    write_blocks(docs, folder, id_col, text_col, block_docs)
     write_packs(docs, f"{folder}/packs", id_col, text_col)
-    delete_folder(spark, f"{folder}/weights")
 
 
-def open_index(spark: SparkSession, folder: str) -> InvertedIndex:
-    return InvertedIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "blocks")), read_packs(spark, f"{folder}/packs"))
+def open_index(spark: SparkSession, folder: str, made: Callable[[], DataFrame] | None = None) -> InvertedIndex:
+    blocks, terms, stats = (spark.read.parquet(f"{folder}/{name}") for name in ("blocks", "terms", "stats"))
+    return InvertedIndex(blocks.where("token IS NOT NULL").drop("docs", "length"), terms, stats, made or (lambda: read_packs(spark, f"{folder}/packs")))
 
 
 def index_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> InvertedIndex:
-    """The stored index of a table's texts, built the first time that it is asked for."""
-    return open_index(spark, stored_once(spark, f"inverted-{name}", [f"{sf_dir}/{name}.parquet"], lambda folder: build(table(spark, sf_dir, name), folder)))
+    """The stored index of a table's texts, built the first time that it is asked for; its packs are stored alone."""
+    folder = stored_once(spark, f"inverted-{name}", [f"{sf_dir}/{name}.parquet"], lambda folder: write_blocks(table(spark, sf_dir, name), folder))
+    return open_index(spark, folder, lambda: packs_of(spark, sf_dir, name))
 
 
-def _scored(index: InvertedIndex, asked: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, bm25)`` of all documents in the chosen blocks ``(query_id, block)`` that share a token with the query."""
-    wanted = asked.join(chosen.select("query_id", "block"), "query_id")
-    held = index.blocks.select("token", "block", "held").join(wanted, ["token", "block"]).select("query_id", F.explode("held").alias("x"))
-    return held.groupBy("query_id", F.col("x.doc_id").alias("doc_id")).agg(F.sum("x.w").alias("bm25"))
+def _rated(index: InvertedIndex, queries: DataFrame, query_id: str, query_text: str) -> tuple[DataFrame, DataFrame]:
+    """``(query_id, token, idf, avgdl)`` of the queries' tokens, and the tokens alone; few of them are sent to where the blocks are read."""
+    asked = durable(query_tokens(queries, query_id, query_text))
+    few = asked.count() <= FEW_TOKENS
+    words = asked.select("token").distinct()
+    terms = index.terms.join(F.broadcast(words) if few else words, "token", "left_semi").crossJoin(F.broadcast(index.stats))  # the statistics are one row
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    rated = durable(asked.join(terms.select("token", idf.alias("idf"), "avgdl"), "token").select("query_id", "token", "idf", "avgdl"))
+    words = rated.select("token").distinct()
+    return (F.broadcast(rated), F.broadcast(words)) if few else (rated, words)
+
 
+def _scored(index: InvertedIndex, rated: DataFrame, words: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, bm25)`` of all documents in the chosen blocks ``(query_id, block)`` that share a token with the query.
 
-def _bounded(index: InvertedIndex, queries: DataFrame, k: int, query_id: str, query_text: str, first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The queries' tokens, the scores of each query's first blocks, and ``(query_id, block, skipped)`` of the others."""
-    asked = query_tokens(queries, query_id, query_text)
-    bounds = index.blocks.select("token", "block", "top").join(asked, "token").groupBy("query_id", "block").agg(F.sum("top").alias("bound"))
+    The rows of a block meet before they are spread, so that its documents are added up where they are.
+    """
+    wanted = chosen.groupBy("block").agg(F.collect_set("query_id").alias("asking"))
+    held = index.blocks.select("token", "block", "held").join(words, "token", "left_semi").repartition("block").join(wanted, "block")
+    rows = held.join(rated, "token").where(F.array_contains("asking", F.col("query_id"))).select("block", "query_id", "idf", "avgdl", F.explode("held").alias("x"))
+    weighed = rows.select("block", "query_id", F.col("x.doc_id").alias("doc_id"), _weight(F.col("x.tf"), F.col("x.dl")).alias("w"))
+    return weighed.groupBy("block", "query_id", "doc_id").agg(F.sum("w").alias("bm25")).select("query_id", "doc_id", "bm25")
+
+
+def _bounded(index: InvertedIndex, queries: DataFrame, k: int, query_id: str, query_text: str, first: int) -> tuple[tuple[DataFrame, DataFrame], DataFrame, DataFrame]:
+    """What is known of the queries' tokens, the scores of each query's first blocks, and ``(query_id, block, skipped)`` of the others."""
+    rated = _rated(index, queries, query_id, query_text)
+    tops = index.blocks.select("token", "block", "most", "least").join(rated[0], "token").select("query_id", "block", _weight(F.col("most"), F.col("least")).alias("top"))
+    bounds = tops.groupBy("query_id", "block").agg(F.sum("top").alias("bound"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), "block"))
     ranked = durable(bounds.withColumn("place", place))  # a row for each query and block
-    early = durable(_scored(index, asked, ranked.where(F.col("place") <= first)))
+    early = durable(_scored(index, *rated, ranked.where(F.col("place") <= first)))
     floor = retrieve.top_k(early, "bm25", k).where(F.col("rank") == k).select("query_id", F.col("bm25").alias("floor"))
     skipped = F.coalesce(F.col("bound") < F.col("floor") - SLACK, F.lit(False))
-    return asked, early, ranked.where(F.col("place") > first).join(floor, "query_id", "left").select("query_id", "block", skipped.alias("skipped"))
+    return rated, early, ranked.where(F.col("place") > first).join(floor, "query_id", "left").select("query_id", "block", skipped.alias("skipped"))
 
 
 def bm25_top_k(index: InvertedIndex, queries: DataFrame, k: int = 10, query_id: str = "item_id", query_text: str = "text", first: int = FIRST_BLOCKS, digits: int = 9) -> DataFrame:
     """``(query_id, doc_id, bm25, rank)``: the k best documents of each query, ties by id; exactly those of scoring every document."""
-    asked, early, late = _bounded(index, queries, k, query_id, query_text, first)
-    found = early.union(_scored(index, asked, late.where("NOT skipped"))).withColumn("bm25", F.round("bm25", digits))
+    rated, early, late = _bounded(index, queries, k, query_id, query_text, first)
+    found = early.union(_scored(index, *rated, late.where("NOT skipped"))).withColumn("bm25", F.round("bm25", digits))
     return retrieve.top_k(found, "bm25", k)
 
 
@@ -283,9 +354,10 @@ def blocks_skipped(index: InvertedIndex, queries: DataFrame, k: int = 10, query_
 
 def bm25(index: InvertedIndex, queries: DataFrame, query_id: str = "item_id", query_text: str = "text", digits: int = 9) -> DataFrame:
     """``(query_id, doc_id, bm25)`` of every document that shares a token with the query: one join on tokens, one combine."""
-    asked = query_tokens(queries, query_id, query_text)
-    held = index.blocks.select("token", "held").join(asked, "token").select("query_id", F.explode("held").alias("x"))
-    return held.groupBy("query_id", F.col("x.doc_id").alias("doc_id")).agg(F.round(F.sum("x.w"), digits).alias("bm25"))
+    rated, _ = _rated(index, queries, query_id, query_text)
+    held = index.blocks.select("token", "held").join(rated, "token").select("query_id", "idf", "avgdl", F.explode("held").alias("x"))
+    weighed = held.select("query_id", F.col("x.doc_id").alias("doc_id"), _weight(F.col("x.tf"), F.col("x.dl")).alias("w"))
+    return weighed.groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), digits).alias("bm25"))
 
 
 def technical_overlap(index: InvertedIndex, queries: DataFrame, query_id: str = "item_id", query_text: str = "text") -> DataFrame:

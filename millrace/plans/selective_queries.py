@@ -47,7 +47,7 @@ def _cut_memories(spark, sf_dir):
 
 def memory_index(spark, sf_dir):
     """Packs of the memories; no query asks for their postings or blocks."""
-    return inverted.InvertedIndex(None, None, _packs(spark, sf_dir, "memories", memories(spark, sf_dir)))
+    return inverted.InvertedIndex(None, None, None, lambda: _packs(spark, sf_dir, "memories", memories(spark, sf_dir)))
 
 
 def _packs(spark, sf_dir, name, held):

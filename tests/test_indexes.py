@@ -329,3 +329,15 @@ def test_subqueries_are_searched_in_packs(spark, corpus, index):
     expected = retrieve.rrf(lists, 5).select("query_id", "doc_id", "rrf", "best", "rank")
     found = rewrite.subquery_search(index.packs, parts, 5, 5)
     assert as_rows(found) == as_rows(expected) and found.count() > 50
+
+
+def test_blocks_are_the_only_postings(spark, tmp_path):
+    """Counts of every posting, token and document, with repeated and null ids, and nothing stored beside the blocks but what is said of them."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "a c d e"), (2, "b. !! b."), (3, None), (4, "..."), (None, "a z"), (None, "z")], "doc_id long, text string")
+    inverted.write_blocks(docs, str(tmp_path / "x"), block_docs=2)
+    assert {p.name for p in (tmp_path / "x").iterdir()} == {"blocks", "terms", "stats"}
+    index = inverted.open_index(spark, str(tmp_path / "x"))
+    assert {(r["doc_id"], r["token"], r["tf"], r["dl"]) for r in index.postings.collect() if r["doc_id"] == 1} == {(1, "a", 3, 4), (1, "b", 1, 4), (1, "c", 1, 4), (1, "d", 1, 4), (1, "e", 1, 4)}
+    terms = {r["token"]: (r["df"], r["most"]) for r in index.terms.collect()}
+    assert terms["a"] == (2, 3) and terms["z"] == (1, 2) and terms["c"] == (1, 1) and len(terms) == 8
+    assert index.stats.first()["n_docs"] == 5
