@@ -57,9 +57,9 @@ def bm25_indexed_top10(spark, sf_dir):
 
 @query("index_terms", f"""WITH {SQL_BM25.replace("WHERE token IN (SELECT token FROM q) ", "")} SELECT token, df::BIGINT AS df, most::BIGINT AS most FROM (SELECT token, count(*) AS df, max(tf) AS most FROM tf GROUP BY token)""")
 def index_terms(spark, sf_dir):
-    """Document frequency and greatest count of every token, from the stored postings."""
-    held = inverted.index_of(spark, sf_dir).postings.where("token IS NOT NULL")
-    return held.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("most"))
+    """Document frequency and greatest count of every token, from the stored terms."""
+    return inverted.index_of(spark, sf_dir).terms.select("token", "df", "most")
+
 
 @query("technical_overlap_top10", f"""
 WITH {SQL_TECH_SETS}, x AS (SELECT item_id AS query_id, doc_id, round(len(list_intersect(q, d)) / sqrt(len(q) * len(d)), 9) AS technical FROM qs, ds WHERE len(list_intersect(q, d)) > 0),
